@@ -7,7 +7,9 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinloom.llm import bpe
+from pyspark.sql import functions as F
+
+from kinloom.llm import bpe, packing, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -24,7 +26,24 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe,)}
+def byte_vocabulary() -> tuple[str, str, str]:
+    """The byte-level vocabulary: the library's file, the ranks file, the splitting pattern."""
+    import public_tokenizers
+
+    return vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), byte_vocabulary())
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    scores = toxicity.scored(documents, toxicity.fitted(documents, table(spark, sf_dir, "labels")))
+    return scores.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+QUERIES = {f.__name__: f for f in (op4_bpe, op7_packing, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
