@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from kinloom.llm import bpe, packing, toxicity
+from kinloom.llm import bpe, lines, neardup, packing, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -33,6 +33,10 @@ def byte_vocabulary() -> tuple[str, str, str]:
     return vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), byte_vocabulary())
 
@@ -43,7 +47,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe, op7_packing, op8_toxicity)}
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    removed = lines.duplicate_lines(documents)
+    own = documents.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
+    gone = F.coalesce("removed", F.array().cast("array<int>"))
+    return own.join(removed, "doc_id", "left").select("doc_id", "n_lines", (F.col("n_lines") - F.size(gone)).alias("n_kept"), gone.alias("removed"))
+
+
+QUERIES = {f.__name__: f for f in (op4_bpe, op5_minhash, op7_packing, op8_toxicity, op10_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
