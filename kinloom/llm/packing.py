@@ -31,8 +31,8 @@ RANGE_BYTES = 8 << 20
 SEQUENCE = 2048
 #: Bits of a dimension's count in the shared number; longer texts are counted apart.
 FIELD = 21
-#: Spread of the projections, in standard deviations of a random walk, over which the curve's cells are laid.
-SPREAD = 3.0
+#: Largest mean sign, in either direction, over which the curve's cells are laid; what lies beyond falls in the outer cells.
+SPREAD = 0.15
 
 
 def hilbert_index(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -92,8 +92,8 @@ def curve_keys(column: pa.Array) -> np.ndarray:
     for i in np.flatnonzero(lengths >= 1 << FIELD):
         own = grams[borders[i] : borders[i] + lengths[i]]
         ones[i] = [int((own >> np.uint32(k) & np.uint32(1)).sum(dtype=np.int64)) for k in range(DIMENSIONS)]
-    walk = (2 * ones - lengths[:, None]) / np.sqrt(np.maximum(lengths, 1))[:, None]
-    cells = np.clip((walk / SPREAD + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1)
+    mean = (2 * ones - lengths[:, None]) / np.maximum(lengths, 1)[:, None]
+    cells = np.clip((mean / SPREAD + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1)
     return hilbert_index(cells.astype(np.int64))
 
 
@@ -140,10 +140,12 @@ def range_borders(docs: DataFrame, rows: int, ranges: int) -> list[tuple[int, in
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(curve_keys(b.column(1)), pa.int64()), b.column(2)], ["key", "tie"])
+            size = np.diff(text_bytes(b.column(1))[1]) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(curve_keys(b.column(1)), pa.int64()), b.column(2), pa.array(size, pa.int64())], ["key", "tie", "size"])
 
-    found = sample.mapInArrow(run, "key long, tie long").orderBy("key", "tie").collect()
-    at = np.linspace(0, len(found), ranges + 1)[1:-1].astype(int)
+    found = sample.mapInArrow(run, "key long, tie long, size long").orderBy("key", "tie").collect()
+    size = np.cumsum([r.size for r in found]) if found else np.zeros(1)
+    at = np.searchsorted(size, np.linspace(0, size[-1], ranges + 1)[1:-1])
     return [(r.key, r.tie) for r in (found[min(i, len(found) - 1)] for i in at)] if found else []
 
 
