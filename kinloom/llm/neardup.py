@@ -103,6 +103,18 @@ def near_duplicates(df: DataFrame, *, width: int = 5, setting: Setting = Setting
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def firsts(df: DataFrame, classes: DataFrame) -> DataFrame:
+    """df with one row of each class: rows of ids that aren't kept go, rows without an id stay.
+
+    classes: near_duplicates(df). Rows that repeat a kept id are copies too, of which one stays.
+    """
+    ids = df.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    gone = classes.where("not kept").select("doc_id").distinct()
+    rest = df.join(gone, "doc_id", "left_anti").select(*df.columns)
+    repeated = rest.join(ids, "doc_id", "left_semi").select(*df.columns).dropDuplicates(["doc_id"])
+    return rest.join(ids, "doc_id", "left_anti").select(*df.columns).unionByName(repeated)
+
+
 def linked(ws: Workspace, found: tuple[DataFrame, DataFrame], signatures: DataFrame, texts: DataFrame, shingle, setting: Setting, copies: DataFrame | None = None) -> DataFrame:
     """Edges (u, v), stored, whose components are those of all links.
 

@@ -6,10 +6,9 @@ import importlib.util
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
-from kinloom.llm import bpe, lines, neardup, packing, secrets, sharding, toxicity, urls
+from kinloom.llm import bpe, lines, neardup, packing, secrets, sharding, topk, toxicity, urls, vectors
 
 
 def vocabulary(name: str) -> str:
@@ -30,6 +29,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"), max_bytes=SHARD_BYTES)
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(table(spark, sf_dir, "embeddings"))
+
+
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"))
 
@@ -49,6 +52,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), byte_vocabulary())
 
@@ -71,7 +78,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(removed, "doc_id", "left").select("doc_id", "n_lines", (F.col("n_lines") - F.size(gone)).alias("n_kept"), gone.alias("removed"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_urls, op4_bpe, op5_minhash, op7_packing, op8_toxicity, op9_secrets, op10_lines)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_topk, op3_urls, op4_bpe, op5_minhash, op6_vectors, op7_packing, op8_toxicity, op9_secrets, op10_lines)}
 
 _SHARDS = f"""
 WITH r AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes FROM documents),

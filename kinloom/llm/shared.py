@@ -7,6 +7,7 @@ Only a local session, as in tests, may do without that setting.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -36,7 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Limit the Arrow batches handed to Python by bytes and rows, as texts have no length limit."""
+    """Limit the Arrow batches handed to Python by bytes and rows, as texts have no length limit.
+
+    Python workers also get this package's folder on their path, where the session's start didn't give it.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

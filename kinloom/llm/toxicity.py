@@ -215,3 +215,19 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(passages, kind)], ["doc_id", "score", "predicted", "passages"])
 
     return columns_checked(documents, {"doc_id": "long", "text": "string"}).mapInArrow(run, fields)
+
+
+def accepted(documents: DataFrame, model: Model, column: str = "text") -> DataFrame:
+    """The rows of documents that the model doesn't reject, with all their columns; one pass, no join."""
+    bounded_batches(documents.sparkSession)
+
+    def run(batches):
+        known: dict[bytes, float] = {}
+        for b in batches:
+            keep = []
+            for text in b.column(b.schema.get_field_index(column)):
+                tokens, found = model.scan(text.as_py(), known)
+                keep.append(model.score(len(tokens), [s for s, *_ in found]) < 0.5)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
