@@ -1,9 +1,459 @@
-"""The queries of the clustering operators and the SQL that checks them."""
+"""The queries of the clustering operators, each beside the DuckDB SQL that checks it."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from kinloom.functions import formulas, kmers
+from kinloom.operators import community, dbscan, evaluate, graph, pairs, postprocess, sketch, thresholds, trees
+from kinloom.plans import oracle as sql
+from kinloom.plans import steps
+from kinloom.sources import clusterfile, simulate
+from kinloom.streaming import repdb
+
 QUERIES: dict = {}
+_ORACLE: dict[str, str] = {}
+K, NEAR = steps.K, steps.NEAR
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            _ORACLE[f.__name__] = oracle
+        return f
+
+    return add
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLE)
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns or ("dist",)})
+
+
+def frame(spark, rows: list[dict], schema: str) -> DataFrame:
+    names = [c.split()[0] for c in schema.split(", ")]
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
+
+
+# sizes and sketches
+
+
+@query("SELECT count(n_chars) AS n, max(n_chars) AS max_size, min(n_chars) AS min_size, round(avg(n_chars), 6) AS avg_size, sum(n_chars)::BIGINT AS total_size, count(*) FILTER (n_chars < 500) AS bad FROM documents")
+def size_probe(spark, sf_dir):
+    return sketch.size_probe(steps.table(spark, sf_dir, "documents"), "n_chars", 500)
+
+
+@query(sql.TUNED)
+def tune_params(spark, sf_dir):
+    return sketch.tuned(sketch.size_probe(steps.table(spark, sf_dir, "documents"), "n_chars", 500), 21, 1000, 0.05)
+
+
+@query(sql.TUNED_COMPRESSED)
+def tune_params_compressed(spark, sf_dir):
+    return sketch.tuned(sketch.size_probe(steps.table(spark, sf_dir, "documents"), "n_chars", 500), 21, 1000, 0.05, compress=16)
+
+
+@query(sql.base("SELECT d.id, count(f.hash) AS n_shingles FROM w d LEFT JOIN full_set f USING (id) GROUP BY d.id"))
+def shingles(spark, sf_dir):
+    return steps.full_sets(spark, sf_dir).select("id", F.col("n").alias("n_shingles"))
+
+
+@query(sql.base("SELECT id, hash FROM sk"))
+def sketch_bottom_s(spark, sf_dir):
+    return pairs.postings(steps.sketches(spark, sf_dir)).select("id", "hash")
+
+
+@query(sql.base("SELECT id, count(*) AS n, min(hash) AS first, max(hash) AS last FROM (SELECT f.*, row_number() OVER (PARTITION BY id ORDER BY hash) AS r, n_chars FROM full_set f JOIN documents ON doc_id = id) WHERE r <= greatest(100, n_chars // 20) GROUP BY id"))
+def sketch_containment(spark, sf_dir):
+    own = sketch.containment_sized(steps.full_sets(spark, sf_dir), steps.lengths(spark, sf_dir), 20)
+    return own.where("n > 0").select("id", "n", F.array_min("hashes").alias("first"), F.array_max("hashes").alias("last"))
+
+
+@query(sql.base("SELECT id, hash FROM full_set WHERE hash % 16 = 0"))
+def sketch_mod_sample(spark, sf_dir):
+    return pairs.postings(sketch.mod_sampled(steps.full_sets(spark, sf_dir), 16)).select("id", "hash")
+
+
+@query(sql.KMERS)
+def canonical_kmers(spark, sf_dir):
+    docs = steps.table(spark, sf_dir, "documents")
+    own = sketch.kmer_sets(docs, "doc_id", kmers.bases(F.col("text")), 12)
+    return own.select("id", "n", F.array_min("hashes").alias("first"))
+
+
+@query(sql.BY_FILE)
+def sketch_by_file(spark, sf_dir):
+    own = sketch.grouped(sketch.shingle_sets(steps.table(spark, sf_dir, "conversations"), "conv_id", "text", K))
+    return own.select("id", "n", F.array_min("hashes").alias("first"))
+
+
+# postings and pairs
+
+
+@query(sql.base("SELECT c AS posting, count(*) AS hashes FROM (SELECT hash, count(*) AS c FROM sk GROUP BY hash) GROUP BY c"))
+def posting_counts(spark, sf_dir):
+    return pairs.posting_counts(steps.sketches(spark, sf_dir)).groupBy(F.col("c").alias("posting")).agg(F.count("*").alias("hashes"))
+
+
+@query(sql.base("SELECT b.id AS i, a.id AS j, count(*) AS common FROM (SELECT * FROM sk WHERE hash IN (SELECT hash FROM sk GROUP BY hash HAVING count(*) <= 10)) a JOIN sk b ON a.hash = b.hash AND a.id < b.id GROUP BY ALL"))
+def posting_cap(spark, sf_dir):
+    return pairs.pair_counts(steps.sketches(spark, sf_dir), max_posting=10).select("i", "j", "common")
+
+
+@query(sql.base("SELECT i, j, common, n_i, n_j FROM pcs"))
+def pair_counts(spark, sf_dir):
+    return steps.counts(spark, sf_dir)
+
+
+@query(sql.base("SELECT i, j, round(jac, 6) AS jaccard FROM pj"))
+def jaccard_pairs(spark, sf_dir):
+    return steps.counts(spark, sf_dir).select("i", "j", F.round(formulas.jaccard(F.col("common"), F.col("n_i"), F.col("n_j")), 6).alias("jaccard"))
+
+
+@query(sql.base("SELECT i, j, round(dist, 6) AS dist FROM e"))
+def mash_pairs(spark, sf_dir):
+    return rounded(steps.distances(spark, sf_dir))
+
+
+@query(sql.base("SELECT i, j, round(CASE WHEN common >= least(n_i, n_j) THEN 0.0 ELSE least(1.0, -ln(common::DOUBLE / least(n_i, n_j)) / 5) END, 6) AS dist FROM pcs"))
+def aaf_pairs(spark, sf_dir):
+    return rounded(pairs.edges(steps.counts(spark, sf_dir), K, metric="aaf"))
+
+
+@query(sql.base("SELECT i, j, round(CASE WHEN s >= 1 THEN 0.0 ELSE least(1.0, -ln(2 * s / (1 + s)) / 5) END, 6) AS dist FROM (SELECT *, common::DOUBLE / least(n_i, n_j) AS s FROM pcs)"))
+def mash_containment_pairs(spark, sf_dir):
+    return rounded(pairs.edges(steps.counts(spark, sf_dir), K, metric="mash_containment"))
+
+
+@query(sql.BASKETS + "SELECT i, j, round(CASE WHEN c >= least(a, b) THEN 0.0 ELSE least(1.0, -ln(c::DOUBLE / least(a, b)) / 21) END, 6) AS dist FROM p WHERE c >= 3 AND -ln(c::DOUBLE / least(a, b)) / 21 <= 0.08")
+def basket_aaf_pairs(spark, sf_dir):
+    counts = pairs.pair_counts(steps.baskets(spark, sf_dir)).where("common >= 3")
+    return rounded(pairs.edges(counts, 21, metric="aaf", threshold=0.08))
+
+
+@query(sql.base(f"SELECT i, j, common FROM pcs WHERE greatest(n_i, n_j) <= {formulas.max_size_ratio(NEAR, K)!r} * least(n_i, n_j)"))
+def ratio_filter(spark, sf_dir):
+    return pairs.pair_counts(steps.sketches(spark, sf_dir), max_ratio=formulas.max_size_ratio(NEAR, K)).select("i", "j", "common")
+
+
+@query(sql.base(f"SELECT i, j, common FROM pcs WHERE common >= ceil({formulas.min_jaccard(NEAR, K) / (1 + formulas.min_jaccard(NEAR, K))!r}::DOUBLE * (n_i + n_j) - 1e-9)"))
+def min_common(spark, sf_dir):
+    least = formulas.min_common(F.col("n_i"), F.col("n_j"), NEAR, K)
+    return steps.counts(spark, sf_dir).where(F.col("common") >= least).select("i", "j", "common")
+
+
+@query(sql.base("SELECT id, rank, other, round(dist, 6) AS dist FROM (SELECT a AS id, row_number() OVER (PARTITION BY a ORDER BY dist, b)::INT AS rank, b AS other, dist FROM both_e) WHERE rank <= 3"))
+def topk_neighbors(spark, sf_dir):
+    return rounded(pairs.nearest(steps.distances(spark, sf_dir), 3))
+
+
+@query(sql.base("SELECT greatest(0, least(100, floor((1 - dist) * 100 + 1e-9)))::INT AS bucket, count(*) AS cnt FROM e GROUP BY 1"))
+def ani_histogram(spark, sf_dir):
+    return pairs.ani_histogram(steps.distances(spark, sf_dir))
+
+
+@query(sql.base("SELECT id, t, sum(c) OVER (PARTITION BY id ORDER BY t)::BIGINT AS cnt FROM (SELECT a AS id, ceil(dist * 100 - 1e-9)::INT AS t, count(*) AS c FROM both_e WHERE ceil(dist * 100 - 1e-9) < 100 GROUP BY 1, 2)"))
+def density_profile(spark, sf_dir):
+    return pairs.density(steps.distances(spark, sf_dir))
+
+
+@query(sql.base("SELECT CASE WHEN dist < 0.001 THEN 'identical' WHEN dist < 0.005 THEN 'strain/subspecies' WHEN dist < 0.01 THEN 'strain' WHEN dist < 0.03 THEN 'species' WHEN dist < 0.1 THEN 'genus' WHEN dist < 0.2 THEN 'family' ELSE 'higher' END AS level, count(*) AS pairs FROM e GROUP BY 1"))
+def level_labels(spark, sf_dir):
+    return steps.distances(spark, sf_dir).groupBy(formulas.level(F.col("dist")).alias("level")).agg(F.count("*").alias("pairs"))
+
+
+@query(sql.base("SELECT round(jac, 6) AS jaccard, count(*) AS pairs FROM pj WHERE jac >= 0.5 GROUP BY 1"))
+def sql_functions(spark, sf_dir):
+    """The formulas as SQL functions."""
+    formulas.register(spark)
+    return spark.sql("SELECT round(jaccard(common, n_i, n_j), 6) AS jaccard, count(*) AS pairs FROM {p} WHERE jaccard(common, n_i, n_j) >= 0.5 GROUP BY 1", p=steps.counts(spark, sf_dir))
+
+
+# forests and clusters
+
+
+@query(sql.base("SELECT id, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM cl"))
+def components(spark, sf_dir):
+    """Single-linkage clusters: documents to sketches, pairs, distances, forest, cut and components."""
+    return steps.clusters(spark, sf_dir)
+
+
+@query(sql.forest("SELECT i, j, round(dist, 6) AS dist FROM msf"))
+def msf_edges(spark, sf_dir):
+    return rounded(steps.forest(spark, sf_dir))
+
+
+@query(sql.forest("SELECT i, j, round(dist, 6) AS dist FROM msf WHERE dist <= 0.1"))
+def forest_edges(spark, sf_dir):
+    return rounded(graph.cut(steps.forest(spark, sf_dir), NEAR))
+
+
+@query(sql.forest("SELECT component, row_number() OVER (PARTITION BY component ORDER BY dist, j, i) AS step, round(dist, 6) AS dist FROM msf JOIN (SELECT a AS i, min(b) AS component FROM reach_far GROUP BY a) USING (i)"))
+def linkage_heights(spark, sf_dir):
+    return rounded(trees.linkage_heights(steps.work(spark), steps.forest(spark, sf_dir)))
+
+
+@query()
+def linkage(spark, sf_dir):
+    return rounded(trees.linkage(steps.work(spark), steps.forest(spark, sf_dir)))
+
+
+@query()
+def newick(spark, sf_dir):
+    return trees.newick(steps.work(spark), steps.forest(spark, sf_dir))
+
+
+@query()
+def phylip(spark, sf_dir):
+    return trees.phylip(newick(spark, sf_dir))
+
+
+@query()
+def nexus(spark, sf_dir):
+    return trees.nexus(newick(spark, sf_dir))
+
+
+@query()
+def tree_distances(spark, sf_dir):
+    asked = steps.sketches(spark, sf_dir).select("id").where("id % 100 = 0")
+    return rounded(trees.tree_distances(steps.work(spark), steps.forest(spark, sf_dir), asked))
+
+
+@query(sql.forest("SELECT CASE WHEN min(i) IS NULL THEN 0 ELSE count(*) END AS n, round(min(dist), 6) AS min_dist, round(max(dist) FILTER (r = n // 4), 6) AS q1, round((max(dist) FILTER (r = n // 2) + max(dist) FILTER (r = (n - 1) // 2)) / 2, 6) AS median, round(max(dist) FILTER (r = least(n - 1, 3 * n // 4)), 6) AS q3, round(max(dist), 6) AS max_dist, round(avg(dist), 6) AS mean, round(stddev_pop(dist), 6) AS std FROM ranked"))
+def edge_stats(spark, sf_dir):
+    return thresholds.edge_stats(steps.forest(spark, sf_dir))
+
+
+@query(sql.forest("SELECT r AS edge_index, round(dist, 6) AS threshold, round(gap, 6) AS gap, round(least(1.0, 10 * gap / range), 6) AS confidence FROM (SELECT *, dist - lag(dist) OVER (ORDER BY r) AS gap, max(dist) OVER () - min(dist) OVER () AS range FROM ranked) WHERE gap > range * 0.05 ORDER BY gap DESC, r LIMIT 5"))
+def gap_candidates(spark, sf_dir):
+    return thresholds.gaps(steps.forest(spark, sf_dir))
+
+
+@query()
+def threshold_candidates(spark, sf_dir):
+    return frame(spark, thresholds.candidates(steps.forest(spark, sf_dir)), "threshold double, gap_score double, confidence double, level string")
+
+
+@query()
+def optimal_threshold(spark, sf_dir):
+    forest = steps.forest(spark, sf_dir)
+    return frame(spark, [thresholds.best(thresholds.candidates(forest), thresholds.edge_stats(forest).first())], "threshold double, gap_score double, confidence double, level string")
+
+
+@query()
+def auto_threshold_clusters(spark, sf_dir):
+    """Clusters at the threshold that the forest's gaps choose."""
+    forest = steps.forest(spark, sf_dir)
+    best = thresholds.best(thresholds.candidates(forest), thresholds.edge_stats(forest).first())
+    return graph.clusters(steps.work(spark), steps.sketches(spark, sf_dir), graph.cut(forest, best["threshold"]))
+
+
+@query()
+def stability(spark, sf_dir):
+    return frame(spark, [thresholds.stability(steps.forest(spark, sf_dir), NEAR)], "stability double, split double, merge double, near_edges long")
+
+
+@query(sql.greedy("SELECT id FROM reps_all"))
+def greedy_reps(spark, sf_dir):
+    return steps.greedy_clusters(spark, sf_dir).where("id = cluster").select("id")
+
+
+@query(sql.greedy("SELECT id, cluster, round(dist, 6) AS dist FROM assigned"))
+def greedy_assign(spark, sf_dir):
+    return rounded(steps.greedy_clusters(spark, sf_dir))
+
+
+@query(sql.DBSCAN)
+def dbscan_labels(spark, sf_dir):
+    return dbscan.dbscan(steps.work(spark), steps.sketches(spark, sf_dir), steps.near_edges(spark, sf_dir), min_points=3)
+
+
+@query()
+def dbscan_knn(spark, sf_dir):
+    return dbscan.dbscan(steps.work(spark), steps.sketches(spark, sf_dir), steps.near_edges(spark, sf_dir), min_points=3, count_self=False, knn=5)
+
+
+@query()
+def louvain(spark, sf_dir):
+    return community.louvain(steps.work(spark), steps.sketches(spark, sf_dir), steps.near_edges(spark, sf_dir))
+
+
+@query()
+def leiden(spark, sf_dir):
+    return community.leiden(steps.work(spark), steps.sketches(spark, sf_dir), steps.near_edges(spark, sf_dir))
+
+
+# after clustering
+
+
+def _noise(spark, sf_dir):
+    return postprocess.noise(steps.clusters(spark, sf_dir), pairs.density_at(steps.distances(spark, sf_dir), NEAR))
+
+
+@query(sql.noise("SELECT id FROM noise"))
+def noise_nodes(spark, sf_dir):
+    return _noise(spark, sf_dir)
+
+
+@query(sql.noise("SELECT id, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM (SELECT id, coalesce(c, id) AS cluster FROM (SELECT doc_id AS id FROM documents) LEFT JOIN (SELECT a AS id, min(b) AS c FROM reach_clean GROUP BY a) USING (id))"))
+def noise_removed_components(spark, sf_dir):
+    noisy = steps.work(spark).store(_noise(spark, sf_dir))
+    return postprocess.without_noise(steps.work(spark), steps.sketches(spark, sf_dir), graph.cut(steps.forest(spark, sf_dir), NEAR), noisy)
+
+
+@query(sql.base("SELECT doc_id AS id, coalesce(c, doc_id) AS dup_group FROM documents LEFT JOIN (SELECT a AS doc_id, min(b) AS c FROM reach_dup GROUP BY a) USING (doc_id)"))
+def dedup_groups(spark, sf_dir):
+    return dedup_medoids(spark, sf_dir).select("id", "dup_group")
+
+
+@query()
+def dedup_medoids(spark, sf_dir):
+    return postprocess.dedup_groups(steps.work(spark), steps.sketches(spark, sf_dir), steps.forest(spark, sf_dir), steps.lengths(spark, sf_dir), 0.02)
+
+
+@query()
+def k_reps(spark, sf_dir):
+    return trees.k_representatives(steps.work(spark), graph.cut(steps.forest(spark, sf_dir), NEAR), 2)
+
+
+@query(sql.base("SELECT cluster, min(id) AS rep FROM cl GROUP BY cluster"))
+def representatives(spark, sf_dir):
+    return postprocess.first_members(steps.clusters(spark, sf_dir))
+
+
+@query(sql.CLUSTER_FILE)
+def cluster_file(spark, sf_dir):
+    docs = steps.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("length"), F.col("source").alias("file"), F.col("lang").alias("name"), F.lit(None).cast("string").alias("comment"))
+    return clusterfile.cluster_lines(steps.clusters(spark, sf_dir).join(docs, "id"))
+
+
+# the database of representatives
+
+
+@query(sql.repdb("SELECT query, rank, rep, distance, cluster, coalesce(cluster_size, 0) AS cluster_size FROM q5"))
+def repdb_query(spark, sf_dir):
+    return steps.database(spark, sf_dir).query(steps.benchmark_sketches(spark, sf_dir), 5)
+
+
+@query(sql.repdb("SELECT query, CASE WHEN ok THEN cluster END AS cluster, CASE WHEN ok THEN rep END AS rep, CASE WHEN ok THEN distance END AS distance, CASE WHEN ok THEN cluster_size ELSE 0 END AS cluster_size, CASE WHEN ok THEN 'assigned' ELSE 'novel' END AS status FROM (SELECT *, rank = 1 AND distance <= 0.1 AS ok FROM q5 WHERE rank <= 1)"))
+def repdb_assign(spark, sf_dir):
+    return steps.database(spark, sf_dir).assign(steps.benchmark_sketches(spark, sf_dir))
+
+
+@query(sql.repdb("SELECT query, CASE WHEN ok THEN cluster END AS cluster, CASE WHEN ok THEN rep END AS rep, CASE WHEN ok THEN distance END AS distance, CASE WHEN ok THEN cluster_size ELSE 0 END AS cluster_size, CASE WHEN ok THEN 'assigned' ELSE 'novel' END AS status FROM (SELECT *, rank = 1 AND distance <= 0.1 AS ok FROM q5 WHERE rank <= 1)", queries="batch"))
+def append_assign(spark, sf_dir):
+    return steps.database(spark, sf_dir).assign(steps.sketches(spark, sf_dir).where("id % 5 = 0"))
+
+
+@query(sql.repdb(sql.REPDB_STATS))
+def repdb_stats(spark, sf_dir):
+    return steps.database(spark, sf_dir).stats()
+
+
+@query(sql.repdb("SELECT CASE WHEN s = 1 THEN '1' WHEN s = 2 THEN '2' WHEN s <= 5 THEN '3-5' WHEN s <= 10 THEN '6-10' WHEN s <= 100 THEN '11-100' WHEN s <= 1000 THEN '101-1000' ELSE '>1000' END AS size_class, count(*) AS clusters FROM (SELECT cluster, count(*) AS s FROM assigned GROUP BY cluster) GROUP BY 1"))
+def repdb_histogram(spark, sf_dir):
+    return steps.database(spark, sf_dir).size_histogram()
+
+
+@query()
+def repdb_append_greedy(spark, sf_dir):
+    return steps.database(spark, sf_dir).append(steps.sketches(spark, sf_dir).where("id % 5 = 0")).members
+
+
+@query()
+def repdb_append_mst(spark, sf_dir):
+    return steps.database(spark, sf_dir, "mst").append(steps.sketches(spark, sf_dir).where("id % 5 = 0")).members
+
+
+@query()
+def repdb_stream(spark, sf_dir):
+    """Documents as a stream, appended to a stored database by micro-batches."""
+    ws = steps.work(spark)
+    steps.database(spark, sf_dir).save(f"{ws.root}/db")
+    path = f"{sf_dir}/documents.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).where("doc_id % 5 = 0")
+    sketched = sketch.bottom(sketch.shingle_sets(stream, "doc_id", "text", K), steps.SIZE)
+    repdb.append_stream(sketched, f"{ws.root}/db", f"{ws.root}/stream").trigger(availableNow=True).start().awaitTermination()
+    return repdb.load(spark, f"{ws.root}/db").members
+
+
+# clusters against labels
+
+
+def _table(spark, sf_dir, label="lang"):
+    return evaluate.contingency(steps.clusters(spark, sf_dir), steps.truth(spark, sf_dir, label))
+
+
+@query(sql.labels("SELECT cluster, total, dominant_label, dominant, round(dominant / total, 6) AS purity FROM top WHERE total >= 2"))
+def purity(spark, sf_dir):
+    return evaluate.purity(_table(spark, sf_dir))
+
+
+@query(sql.labels("SELECT sum(total)::BIGINT AS members, round(sum(dominant) / sum(total), 6) AS purity, round(sum(CASE WHEN total > 1 THEN total ELSE 0 END) / sum(total), 6) AS coverage, round(min(dominant / total), 6) AS min_purity FROM top"))
+def coverage(spark, sf_dir):
+    return evaluate.overall_purity(_table(spark, sf_dir))
+
+
+@query(sql.labels(sql.NMI))
+def nmi(spark, sf_dir):
+    return evaluate.mutual_information(_table(spark, sf_dir))
+
+
+@query(sql.labels("SELECT cluster, total, n_labels, dominant_label AS majority, dominant AS majority_count, round(dominant / total, 6) AS purity, n_labels > 1 AS is_mixed FROM top"))
+def composition(spark, sf_dir):
+    return evaluate.composition(_table(spark, sf_dir))
+
+
+@query(sql.labels("SELECT cluster, label, c FROM tab"))
+def label_distribution(spark, sf_dir):
+    return _table(spark, sf_dir)
+
+
+@query(sql.labels(sql.COOCCURRENCE, "source"))
+def cooccurrence(spark, sf_dir):
+    return evaluate.cooccurrence(_table(spark, sf_dir, "source"))
+
+
+@query(sql.labels(sql.PAIR_CLUSTERS, "source"))
+def label_pair_clusters(spark, sf_dir):
+    return evaluate.pair_clusters(_table(spark, sf_dir, "source"), "src0", "src1")
+
+
+@query(sql.labels("SELECT x.cluster, x.id, y.label, y.label = dominant_label AS is_dominant FROM cl x JOIN (SELECT doc_id AS id, source AS label FROM documents) y USING (id) JOIN top USING (cluster) WHERE total >= 2 AND dominant < total", "source"))
+def purity_outliers(spark, sf_dir):
+    return evaluate.outliers(steps.clusters(spark, sf_dir), steps.truth(spark, sf_dir, "source"))
+
+
+@query()
+def matched_labels(spark, sf_dir):
+    return evaluate.matched_labels(steps.work(spark), _table(spark, sf_dir, "source"))
+
+
+@query()
+def label_scores(spark, sf_dir):
+    table = steps.work(spark).store(_table(spark, sf_dir, "source"))
+    return evaluate.scores(table, evaluate.matched_labels(steps.work(spark), table))
+
+
+# simulated sequences with known clusters
+
+
+@query()
+def simulated_clusters(spark, sf_dir):
+    """Mutated sequences, their canonical k-mers, and single-linkage clusters beside the true ones."""
+    own = steps.work(spark).store(simulate.mutated(spark, 6, 5, 1500, 0.01))
+    sets = steps.work(spark).store(sketch.kmer_sets(own, "id", F.col("sequence"), 15))
+    edges = steps.work(spark).store(pairs.edges(pairs.pair_counts(sets), 15, threshold=0.05))
+    return graph.clusters(steps.work(spark), sets, edges).join(own.select("id", "label"), "id")
+
+
+@query()
+def simulated_containment(spark, sf_dir):
+    own = steps.work(spark).store(simulate.contained(simulate.mutated(spark, 4, 1, 1500, 0.0), 4))
+    sets = steps.work(spark).store(sketch.kmer_sets(own, "id", F.col("sequence"), 15))
+    return rounded(pairs.edges(pairs.pair_counts(sets), 15, metric="aaf", threshold=0.01))
