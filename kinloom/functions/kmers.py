@@ -19,10 +19,14 @@ def windows(n: Column, width: int) -> Column:
     return F.when(n >= width, F.sequence(F.lit(1), n - width + 1)).otherwise(F.array().cast("array<int>"))
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with the value computed once: a lambda's inner loop would compute an expression at every step."""
+    return F.transform(F.array(value), body)[0]
+
+
 def word_shingles(text: Column, width: int) -> Column:
     """Lower-cased shingles of `width` words."""
-    words = F.split(F.trim(text), r"\s+")
-    return F.transform(windows(F.size(words), width), lambda i: F.lower(F.array_join(F.slice(words, i, width), " ")))
+    return bound(F.split(F.trim(text), r"\s+"), lambda words: F.transform(windows(F.size(words), width), lambda i: F.lower(F.array_join(F.slice(words, i, width), " "))))
 
 
 def distinct_hashes(items: Column) -> Column:
@@ -40,11 +44,20 @@ def canonical(kmer: Column) -> Column:
     return F.least(kmer, F.reverse(F.translate(kmer, BASES, PAIRED)))
 
 
-def canonical_kmers(sequence: Column, k: int) -> Column:
-    """Canonical k-mers of a sequence; a window with a letter other than A, C, G, T has none."""
-    s = F.upper(sequence)
-    every = F.transform(windows(F.length(s), k), lambda i: F.substring(s, i, F.lit(k)))
-    return F.transform(F.filter(every, lambda x: ~x.rlike(f"[^{BASES}]")), canonical)
+def canonical_kmers(sequence: Column, k: int, block: int = 256) -> Column:
+    """Canonical k-mers of a sequence; a window with a letter other than A, C, G, T has none.
+
+    Blocks that overlap by k - 1 letters keep each window's place near the start of a short string.
+    """
+
+    def of(s: Column) -> Column:
+        starts = F.transform(windows(F.length(s), k), lambda i: i)
+        cuts = F.filter(starts, lambda i: (i - 1) % block == 0)
+        parts = F.transform(cuts, lambda i: F.substring(s, i, F.lit(block + k - 1)))
+        return F.flatten(F.transform(parts, lambda x: F.transform(windows(F.length(x), k), lambda j: F.substring(x, j, F.lit(k)))))
+
+    every = bound(F.regexp_replace(F.upper(sequence), f"[^{BASES}]", "N"), of)
+    return F.transform(F.filter(every, lambda x: ~F.contains(x, F.lit("N"))), canonical)
 
 
 def sampled(hashes: Column, rate: int) -> Column:
