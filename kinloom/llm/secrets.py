@@ -23,6 +23,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 TOKEN = r"[A-Za-z0-9_-]{20,}"
 LEAST_VALUE = 6
+_JOIN, _LIVE = "__secrets_key", "__secrets_live"
 
 
 def spans(text: Column, kind: str, pattern: str, value_group: int = 0) -> Column:
@@ -100,14 +101,14 @@ def digests(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def masked(df: DataFrame, *, key: str = "doc_id", owner: str = "source", mask: str = "<secret>") -> DataFrame:
     """df with every live-looking span of its text replaced; all columns stay, copied examples stay too."""
-    live = secrets(df, key=key, owner=owner).where("size(live) > 0").select(F.col(key).alias("_key"), "live").dropDuplicates(["_key"])
-    both = df.join(live, F.col(key).cast("long") == F.col("_key"), "left").drop("_key")
-    text = F.col("text")
+    found = secrets(df, key=key, owner=owner).where("size(live) > 0").select(F.col(key).alias(_JOIN), F.col("live").alias(_LIVE)).dropDuplicates([_JOIN])
+    both = df.join(found, F.col(key).cast("long") == F.col(_JOIN), "left").drop(_JOIN)
+    text, live = F.col("text"), F.col(_LIVE)
 
     def step(state, s):
         start = F.greatest(state["at"], s["start"])
         gap = F.substring(text, state["at"] + 1, start - state["at"])
         return F.when(s["end"] <= state["at"], state).otherwise(F.struct(s["end"].alias("at"), F.concat(state["out"], gap, F.when(s["start"] >= state["at"], F.lit(mask)).otherwise(F.lit(""))).alias("out")))
 
-    new = F.aggregate("live", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return both.withColumn("text", F.when(F.col("live").isNull(), text).otherwise(new)).select(*df.columns)
+    new = F.aggregate(live, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return both.withColumn("text", F.when(live.isNull(), text).otherwise(new)).select(*df.columns)

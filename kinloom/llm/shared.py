@@ -1,39 +1,17 @@
-"""What several operators need: tables in the shared folder, batch limits, row checks, components.
-
-Every table that cuts a lineage goes to the folder that the cluster names in
-``spark.checkpoint.dir``, so a lost executor costs a re-read and no recomputation.
-Only a local session, as in tests, may do without that setting.
-"""
+"""What several operators need: tables in the shared folder, batch limits, row checks, components."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 8 << 20
-BATCH_ROWS = 4000
+from kinloom.functions.durable import Workspace, python_ready
+from kinloom.operators.graph import components
 
+__all__ = ["Workspace", "bounded_batches", "columns_checked", "components"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only in local sessions that name none."""
-    named = dict(spark.sparkContext.getConf().getAll()).get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    try:
-        named = spark.conf.get("spark.checkpoint.dir")
-    except Exception:  # the key is unset: Spark raises for it
-        named = None
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="kinloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+BATCH_BYTES = 8 << 20
+BATCH_ROWS = 4000
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -41,75 +19,11 @@ def bounded_batches(spark: SparkSession) -> None:
 
     Python workers also get this package's folder on their path, where the session's start didn't give it.
     """
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+    python_ready(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-class Workspace:
-    """Tables of one operator's run in the shared folder; drop() frees those that are no longer read."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
-
-    def store(self, df: DataFrame) -> DataFrame:
-        """Write df and return the table read back; its path is in the attribute stored_at."""
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
-        back = self.spark.read.schema(df.schema).parquet(path)
-        back.stored_at = path
-        return back
-
-    def drop(self, table: DataFrame) -> None:
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(table.stored_at)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def columns_checked(df: DataFrame, needed: dict[str, str]) -> DataFrame:
     """Only the needed columns, cast to their types: extra columns, whatever their names, stay out of the way."""
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in needed.items()])
-
-
-def components(ws: Workspace, edges: DataFrame) -> DataFrame:
-    """Connected components by alternating large-star and small-star.
-
-    edges: (u, v) of one orderable type; loops and repeats are allowed. Returns (id, component)
-    for every id of an edge, component being the smallest id reachable. Each round is a pair of
-    aggregations with partial sums and two joins that AQE may split, so that a hub with very
-    many neighbours is no single task. Rounds grow with the logarithm of the component size.
-    """
-    e = F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")
-    now = ws.store(edges.where("u <> v").select(*e).select("u", "v").distinct())
-    mark = _mark(now)
-    while True:
-        after = ws.store(_small_star(_large_star(now)))
-        if (seen := _mark(after)) == mark:
-            ws.drop(now)
-            break
-        ws.drop(now)
-        now, mark = after, seen
-    roots = after.select(F.col("v").alias("id")).distinct()
-    return after.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots.select("id", F.col("id").alias("component")))
-
-
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)), F.coalesce(F.sum(F.xxhash64("v", "u") % 1000003), F.lit(0))).first())
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-    out = both.join(low, both.u == low.c).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return out.where("u <> v").distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
-    out = edges.join(low, edges.u == low.c)
-    moved = out.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(low.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct()
