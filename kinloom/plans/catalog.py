@@ -372,13 +372,12 @@ def repdb_append_mst(spark, sf_dir):
 
 @query()
 def repdb_stream(spark, sf_dir):
-    """Documents as a stream, appended to a stored database by micro-batches."""
+    """Sketches as a stream of files, appended to a stored database by micro-batches."""
     ws = steps.work(spark)
     steps.database(spark, sf_dir).save(f"{ws.root}/db")
-    path = f"{sf_dir}/documents.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).where("doc_id % 5 = 0")
-    sketched = sketch.bottom(sketch.shingle_sets(stream, "doc_id", "text", K), steps.SIZE)
-    repdb.append_stream(sketched, f"{ws.root}/db", f"{ws.root}/stream").trigger(availableNow=True).start().awaitTermination()
+    source = steps.sketches(spark, sf_dir)
+    stream = spark.readStream.schema(source.schema).parquet(source.stored_at).where("id % 5 = 0")
+    repdb.append_stream(stream, f"{ws.root}/db", f"{ws.root}/stream").trigger(availableNow=True).start().awaitTermination()
     return repdb.load(spark, f"{ws.root}/db").members
 
 
