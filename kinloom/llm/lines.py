@@ -50,6 +50,25 @@ def shingles(line: str) -> np.ndarray:
     return np.unique(mixed(out))
 
 
+def shingle_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """The sets of many normal lines at once, in the form of linking.coded()."""
+    size = np.array([len(x) for x in lines], np.int64)
+    c = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4").astype(np.uint64)
+    rolled = np.zeros(max(len(c) - SHINGLE + 1, 0), np.uint64)
+    for k in range(SHINGLE):
+        rolled = rolled * np.uint64(0x100000001B3 * 0x9E37 + 2 * k + 1) + c[k : k + len(rolled)]
+    rolled = mixed(rolled)
+    owner, ends = np.repeat(np.arange(len(lines)), size), np.repeat(np.cumsum(size), size)
+    inside = np.flatnonzero(np.arange(len(rolled)) + SHINGLE <= ends[: len(rolled)])
+    short = [(i, shingles(lines[i])) for i in np.flatnonzero(size < SHINGLE)]
+    hashes = np.concatenate([rolled[inside], *(x for _, x in short)])
+    owner = np.concatenate([owner[inside], *(np.full(len(x), i) for i, x in short)])
+    many = 1 << linking.CODE_BITS
+    key = np.sort(owner * many + (hashes >> np.uint64(64 - linking.CODE_BITS)).astype(np.int64))
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+    return key % many, np.searchsorted(key, np.arange(len(lines) + 1) * many), many
+
+
 def batch_minima(lines: list[str], setting: Setting) -> np.ndarray:
     """(lines, permutations) minima of many normal lines at once."""
     a, b = setting.coefficients()
@@ -148,7 +167,7 @@ def signed(lines: DataFrame, setting: Setting) -> DataFrame:
         for batch in batches:
             own = batch.column(1).to_pylist()
             sig = linking.signature(batch_minima(own, setting)) if own else ()
-            n = [len(shingles(x)) for x in own]
+            n = np.diff(shingle_sets(own)[1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array([x.tobytes() for x in sig], pa.binary())], ["id", "text", "n", "sig"])
 
     return lines.mapInArrow(run, "id long, text string, n long, sig binary")
@@ -160,11 +179,11 @@ def duplicate_lines(df: DataFrame, *, setting: Setting = LINES) -> DataFrame:
     bounded_batches(spark)
     ws = Workspace(spark, "lines")
     docs = columns_checked(df, {"doc_id": "long", "text": "string"})
-    pairs, crowds = linking.candidates(ws, sketched(docs, setting))
+    pairs, crowds = linking.candidates(ws, ws.store(sketched(docs, setting)))
     pairs, crowds = ws.store(pairs), ws.store(crowds)
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowds.select("id")).distinct()
     known = ws.store(signed(texts(docs).join(wanted, "id", "left_semi").dropDuplicates(["id"]), setting))
-    edges = linked(ws, (pairs, crowds), known.select("id", "n", "sig"), known.select("id", "text"), shingles, setting)
+    edges = linked(ws, (pairs, crowds), known.select("id", "n", "sig"), known.select("id", "text"), shingle_sets, setting)
     part = components(ws, edges)
     found = ws.store(occurrences(docs))
     placed = found.join(part, "id", "left").select(F.coalesce("component", "id").alias("line"), F.struct("doc_id", "place").alias("at"))

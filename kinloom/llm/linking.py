@@ -26,6 +26,10 @@ from kinloom.llm.shared import Workspace
 
 CROWD = 16
 BLOCK = 1500
+#: Elements of sets that are intersected at once.
+ELEMENTS = 2_000_000
+#: Bits of a shingle's code; the rest of a signed number is for the place of a row in its batch.
+CODE_BITS = 50
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -217,26 +221,51 @@ def crowd_pairs(crowds: DataFrame, component: DataFrame, signatures: DataFrame,
     return asks.union(told).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shingles: Callable[[str], np.ndarray], setting: Setting) -> DataFrame:
-    """The pairs (u, v) that are linked by their full sets; texts(id, text) has each id of a pair once."""
+def coded(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sets of distinct hashes as one array of CODE_BITS-bit codes, its borders, and the codes' range.
+
+    Two of a pair's shingles get one code with a probability below 1e-9 for a thousand shingles.
+    """
+    borders = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    return (flat >> np.uint64(64 - CODE_BITS)).astype(np.int64), borders, 1 << CODE_BITS
+
+
+def common_counts(codes: np.ndarray, borders: np.ndarray, many: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets a[k] and b[k], some ELEMENTS at a time."""
+    size = np.diff(borders)
+    out, load = np.zeros(len(a), np.int64), np.cumsum(size[a] + size[b])
+    at = 0
+    while at < len(a):
+        end = max(at + 1, int(np.searchsorted(load, (load[at - 1] if at else 0) + ELEMENTS, "right")))
+        sets, pair = np.concatenate([a[at:end], b[at:end]]), np.tile(np.arange(end - at), 2)
+        n = size[sets]
+        where = np.arange(int(n.sum())) + np.repeat(borders[sets] - np.cumsum(n) + n, n)
+        key = np.sort(np.repeat(pair, n) * many + codes[where])
+        out[at:end] = np.bincount(key[1:][key[1:] == key[:-1]] // many, minlength=end - at)
+        at = end
+    return out
+
+
+def verified(pairs: DataFrame, texts: DataFrame, sets: Callable[[list[str]], tuple[np.ndarray, np.ndarray, int]], setting: Setting) -> DataFrame:
+    """The pairs (u, v) that are linked by their full sets; texts(id, text) has each id of a pair once.
+
+    sets: from texts to their sets in the form of coded().
+    """
     num, den = setting.num, setting.den
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     own = texts.join(wanted, "id", "left_semi")
     both = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches):
-        known: dict[int, np.ndarray] = {}
         for x in batches:
-            good = []
-            for a, b, ta, tb in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), x.column(2), x.column(3)):
-                if len(known) > 256:
-                    known.clear()
-                for i, t in ((a, ta), (b, tb)):
-                    if i not in known:
-                        known[i] = shingles(t.as_py())
-                p, q = known[a], known[b]
-                common = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-                good.append(common * den >= (len(p) + len(q) - common) * num and common > 0)
-            yield pa.RecordBatch.from_arrays([x.column(0).filter(pa.array(good, pa.bool_())), x.column(1).filter(pa.array(good, pa.bool_()))], ["u", "v"])
+            ids = np.concatenate([x.column(i).to_numpy() for i in (0, 1)])
+            _, first, at = np.unique(ids, return_index=True, return_inverse=True)
+            n = x.num_rows
+            codes, borders, many = sets([x.column(2 + int(k >= n))[int(k % n)].as_py() for k in first])
+            a, b = at[:n], at[n:]
+            size, common = np.diff(borders), common_counts(codes, borders, many, a, b)
+            good = pa.array((common * den >= (size[a] + size[b] - common) * num) & (common > 0))
+            yield pa.RecordBatch.from_arrays([x.column(0).filter(good), x.column(1).filter(good)], ["u", "v"])
 
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "u long, v long")

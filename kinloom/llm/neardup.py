@@ -45,6 +45,10 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(out)
 
 
+def shingle_sets(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, int]:
+    return linking.coded([shingles(t, width) for t in texts])
+
+
 def sketched(df: DataFrame, width: int, setting: Setting) -> DataFrame:
     """Per row of df(id, text): n, the class key (k1, k2), band keys, pivots, crowds and signature."""
 
@@ -96,7 +100,7 @@ def near_duplicates(df: DataFrame, *, width: int = 5, setting: Setting = Setting
     firsts = known.where("sig is not null")
     pairs, crowds = linking.candidates(ws, firsts)
     signatures = firsts.select("id", "n", "sig").dropDuplicates(["id"])
-    edges = linked(ws, (pairs, ws.store(crowds)), signatures, docs.where("id is not null"), partial(shingles, width=width), setting, copies)
+    edges = linked(ws, (pairs, ws.store(crowds)), signatures, docs.where("id is not null"), partial(shingle_sets, width=width), setting, copies)
     part = components(ws, edges)
     out = table.select("id", "n").join(part, "id", "left")
     component = F.coalesce("component", "id")
@@ -115,7 +119,7 @@ def firsts(df: DataFrame, classes: DataFrame) -> DataFrame:
     return rest.join(ids, "doc_id", "left_anti").select(*df.columns).unionByName(repeated)
 
 
-def linked(ws: Workspace, found: tuple[DataFrame, DataFrame], signatures: DataFrame, texts: DataFrame, shingle, setting: Setting, copies: DataFrame | None = None) -> DataFrame:
+def linked(ws: Workspace, found: tuple[DataFrame, DataFrame], signatures: DataFrame, texts: DataFrame, sets, setting: Setting, copies: DataFrame | None = None) -> DataFrame:
     """Edges (u, v), stored, whose components are those of all links.
 
     found: candidate pairs and crowds; signatures(id, n, sig) and texts(id, text) have each candidate once;
@@ -123,10 +127,10 @@ def linked(ws: Workspace, found: tuple[DataFrame, DataFrame], signatures: DataFr
     """
     pairs, crowds = found
     near = ws.store(linking.near_signatures(pairs, signatures, setting))
-    edges = linking.verified(near, texts, shingle, setting)
+    edges = linking.verified(near, texts, sets, setting)
     edges = ws.store(edges if copies is None else edges.union(copies))
     part = components(ws, edges)
     rest = ws.store(linking.crowd_pairs(crowds, part, signatures, setting).join(near, ["a", "b"], "left_anti"))
     if rest.isEmpty():
         return edges
-    return ws.store(linking.verified(rest, texts, shingle, setting).union(edges))
+    return ws.store(linking.verified(rest, texts, sets, setting).union(edges))
