@@ -2,9 +2,11 @@
 
 A rotation learned on at most SAMPLED vectors turns each vector into a balanced binary code. Every vector
 is put into several tables by substrings of its code; vectors of equal label that share a substring are
-compared by the cosine of the original vectors in double precision. Tables are added until a pair at the
-threshold itself is missed with a probability of MISSED, whatever the substrings' width, which grows with
-the logarithm of the table's rows. A pair that several tables find counts in the first.
+compared by the cosine of the original vectors in double precision. The substrings' width grows with the
+logarithm of the table's rows. Tables are added until at most MISSED of trial pairs at the threshold itself
+meet in none: the learning sample's own vectors, each turned to that cosine, and both coded as all vectors
+are, after centring. Where MOST_TABLES don't do, the substrings get narrower, at last empty, where all
+vectors meet. A pair that several tables find counts in the first.
 
 Equal vectors of a label are one class with a weight. A full table place is cut into blocks of BLOCK
 classes, and pairs of blocks are compared: only counts of links and edges of a spanning forest leave a
@@ -30,7 +32,7 @@ from kinloom.llm.shared import Workspace, bounded_batches, components
 SAMPLED, ROUNDS, MOST_BITS = 8192, 40, 64
 BLOCK, PLACE_ROWS = 512, 512
 LEAST_WIDTH, MOST_WIDTH = 8, 24
-MISSED = 1e-3
+MISSED, MOST_TABLES, TURNED_AT_ONCE = 1e-3, 256, 1024
 
 
 @dataclass(frozen=True)
@@ -65,18 +67,43 @@ def learned(unit: np.ndarray) -> Codes:
     return Codes(mean, axes @ r)
 
 
-def tables(rows: int, bits: int, cosine: float) -> list[np.ndarray]:
-    """The bits of each table's substring."""
-    width = min(bits, max(LEAST_WIDTH, min(MOST_WIDTH, math.ceil(math.log2(max(rows, 1) / PLACE_ROWS)))))
-    same = (1 - math.acos(cosine) / math.pi) ** width
-    many = max(1, math.ceil(math.log(MISSED) / math.log(1 - same))) if width and same < 1 else 1
-    draw, out, left = np.random.default_rng(11), [], np.zeros(0, int)
-    while len(out) < many:
-        if len(left) < width:
-            left = draw.permutation(bits)
-        out.append(np.sort(left[:width]))
-        left = left[width:]
-    return out
+def turned(unit: np.ndarray, cosine: float, draw: np.random.Generator, among: np.ndarray | None = None) -> np.ndarray:
+    """Unit vectors at this cosine to the given ones, in random directions, or towards random vectors of `among`."""
+    noise = draw.standard_normal(unit.shape)
+    aim = noise if among is None else among[draw.integers(len(among), size=len(unit))] + 1e-9 * noise
+    aim = aim - (aim * unit).sum(1, keepdims=True) * unit
+    size = np.sqrt((aim * aim).sum(1, keepdims=True))
+    return np.where(size > 0, cosine * unit + math.sqrt(max(0.0, 1 - cosine * cosine)) * aim / np.where(size > 0, size, 1), unit)
+
+
+def differing(codes: Codes, unit: np.ndarray, cosine: float) -> np.ndarray:
+    """(2, n): the bits that differ in trial pairs at this cosine, in random directions and towards other vectors."""
+    draw, unit = np.random.default_rng(13), np.unique(unit, axis=0)
+    own = unit[draw.permutation(len(unit))[np.arange(SAMPLED) % len(unit)]]
+    parts = (own[k : k + TURNED_AT_ONCE] for k in range(0, len(own), TURNED_AT_ONCE))
+    return np.concatenate([np.stack([codes.of(u) ^ codes.of(turned(u, cosine, draw, among)) for among in (None, unit)]) for u in parts], 1)
+
+
+def mask(pick: np.ndarray) -> np.uint64:
+    return np.uint64(sum(1 << int(p) for p in pick))
+
+
+def tables(rows: int, codes: Codes, unit: np.ndarray, cosine: float) -> list[np.ndarray]:
+    """The bits of each table's substring; unit: the vectors that the codes were learned on."""
+    differ = differing(codes, unit, cosine)
+    width = min(codes.bits, max(LEAST_WIDTH, min(MOST_WIDTH, math.ceil(math.log2(max(rows, 1) / PLACE_ROWS)))))
+    for wide in range(width, 0, -1):
+        draw, out, left = np.random.default_rng(11), [], np.zeros(0, int)
+        missed = np.ones(differ.shape, bool)
+        while len(out) < MOST_TABLES and missed.mean(1).max() > MISSED:
+            if len(left) < wide:
+                left = draw.permutation(codes.bits)
+            out.append(np.sort(left[:wide]))
+            missed &= (differ & mask(out[-1])) != 0
+            left = left[wide:]
+        if missed.mean(1).max() <= MISSED:
+            return out
+    return [np.zeros(0, int)]
 
 
 def places(codes: np.ndarray, picks: list[np.ndarray]) -> np.ndarray:
@@ -99,15 +126,16 @@ def units(column: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
-def trained(rows: DataFrame, total: int) -> Codes | None:
-    """Codes learned on a sample of about SAMPLED rows (id, label, x), on the most frequent vector length."""
+def trained(rows: DataFrame, total: int) -> tuple[Codes, np.ndarray] | None:
+    """Codes learned on a sample of about SAMPLED rows (id, label, x), on the most frequent vector length, and the sample."""
     limit = int(min(1.0, SAMPLED / max(total, 1)) * (1 << 30))
     sample = rows.where(F.pmod(F.xxhash64(F.lit("itq"), "id"), F.lit(1 << 30)) < limit).select("x").limit(4 * SAMPLED)
     own = [u for u in units(sample.toArrow().column(0).combine_chunks()) if u is not None] if total else []
     if not own:
         return None
     size = max({len(u) for u in own}, key=lambda n: sum(len(u) == n for u in own))
-    return learned(np.stack([u for u in own if len(u) == size]))
+    unit = np.stack([u for u in own if len(u) == size])
+    return learned(unit), unit
 
 
 def linked_pairs(unit: np.ndarray, asks: slice, told: slice, cosine: float) -> tuple[np.ndarray, np.ndarray]:
@@ -139,8 +167,9 @@ def near_vectors(df: DataFrame, *, cosine: float = 0.98, key: str = "vec_id", co
     rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{label}`").cast("string").alias("label"), F.col(f"`{column}`").alias("x"))
     fit = rows.where("id is not null and label is not null and x is not null")
     total = fit.count()
-    codes = trained(fit, total)
-    picks = tables(total, codes.bits, cosine) if codes else [np.zeros(0, int)]
+    codes, sample = trained(fit, total) or (None, None)
+    picks = tables(total, codes, sample, cosine) if codes else [np.zeros(0, int)]
+    masks = [mask(p) for p in picks]
 
     def code(batches):
         for b in batches:
@@ -194,9 +223,11 @@ def near_vectors(df: DataFrame, *, cosine: float = 0.98, key: str = "vec_id", co
             i, j = linked_pairs(unit, slice(0, e - s if whole else firsts), slice(0 if whole else firsts, e - s), cosine)
             if not len(i):
                 continue
-            at = places(c["code"][order].view(np.uint64), picks)
-            t = c["t"][s]
-            new = (names[order[i]] == names[order[j]]) & (at[i, t] == at[j, t]) & ~(at[i, :t] == at[j, :t]).any(1)
+            code, t = c["code"][order].view(np.uint64), c["t"][s]
+            differ = code[i] ^ code[j]
+            new = (names[order[i]] == names[order[j]]) & ((differ & masks[t]) == 0)
+            for earlier in masks[:t]:
+                new &= (differ & earlier) != 0
             i, j = i[new], j[new]
             if not whole:
                 i, j = np.concatenate([i, j]), np.concatenate([j, i])

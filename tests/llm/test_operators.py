@@ -196,6 +196,31 @@ def test_vector_links(spark):
         assert {i: r.component_id for i, r in got.items()} == roots(range(1250), zip(*map(np.ndarray.tolist, np.nonzero(near))))
 
 
+@pytest.mark.parametrize("mean_cosine", [0, 0.5, 0.8])
+@pytest.mark.parametrize("rows", [10**4, 3 * 10**6, 10**8])
+def test_vector_tables_find_pairs_at_the_threshold(mean_cosine, rows):
+    draw = np.random.default_rng(rows)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    drawn = lambda n: unit(np.sqrt(mean_cosine) * np.eye(64)[0] + np.sqrt(1 - mean_cosine) * unit(draw.standard_normal((n, 64))))
+    sample, a = drawn(8192), drawn(20_000)
+    aside = draw.standard_normal(a.shape)
+    b = 0.98 * a + np.sqrt(1 - 0.98**2) * unit(aside - (aside * a).sum(1)[:, None] * a)
+    codes = vectors.learned(sample)
+    picks = vectors.tables(rows, codes, sample, 0.98)
+    met = vectors.places(codes.of(a), picks) == vectors.places(codes.of(b), picks)
+    assert met.any(1).mean() >= 0.99
+
+
+def test_vector_tables_of_few_dimensions():
+    draw = np.random.default_rng(4)
+    turn = draw.uniform(0, 2 * np.pi, (2, 10_000))
+    turn[1] = turn[0] + np.arccos(0.98)
+    sample, a, b = (np.stack([np.cos(t), np.sin(t)], 1) for t in (draw.uniform(0, 2 * np.pi, 5000), *turn))
+    codes = vectors.learned(sample)
+    picks = vectors.tables(10**6, codes, sample, 0.98)
+    assert (vectors.places(codes.of(a), picks) == vectors.places(codes.of(b), picks)).any(1).mean() >= 0.99
+
+
 def test_vectors_of_hard_rows(spark):
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, [1.0, 0.0], None), (5, None, 1), (6, [0.0, 0.0], 1), (7, [float("inf"), 1.0], 1), (8, [1.0, None], 1), (None, [1.0, 0.0], 1), (9, [], 1), (10, [1e-200, 0.0], 1), (11, [1.0, 0.0, 0.0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
