@@ -185,7 +185,7 @@ def components(spark, sf_dir):
 
 @query(sql.forest("SELECT i, j, round(dist, 6) AS dist FROM msf"))
 def msf_edges(spark, sf_dir):
-    return rounded(steps.forest(spark, sf_dir))
+    return rounded(steps.far_forest(spark, sf_dir))
 
 
 @query(sql.forest("SELECT i, j, round(dist, 6) AS dist FROM msf WHERE dist <= 0.1"))
@@ -195,7 +195,7 @@ def forest_edges(spark, sf_dir):
 
 @query(sql.forest("SELECT component, row_number() OVER (PARTITION BY component ORDER BY dist, j, i) AS step, round(dist, 6) AS dist FROM msf JOIN (SELECT a AS i, min(b) AS component FROM reach_far GROUP BY a) USING (i)"))
 def linkage_heights(spark, sf_dir):
-    return rounded(trees.linkage_heights(steps.work(spark), steps.forest(spark, sf_dir)))
+    return rounded(trees.linkage_heights(steps.work(spark), steps.far_forest(spark, sf_dir)))
 
 
 @query()
@@ -226,12 +226,12 @@ def tree_distances(spark, sf_dir):
 
 @query(sql.forest("SELECT CASE WHEN min(i) IS NULL THEN 0 ELSE count(*) END AS n, round(min(dist), 6) AS min_dist, round(max(dist) FILTER (r = n // 4), 6) AS q1, round((max(dist) FILTER (r = n // 2) + max(dist) FILTER (r = (n - 1) // 2)) / 2, 6) AS median, round(max(dist) FILTER (r = least(n - 1, 3 * n // 4)), 6) AS q3, round(max(dist), 6) AS max_dist, round(avg(dist), 6) AS mean, round(stddev_pop(dist), 6) AS std FROM ranked"))
 def edge_stats(spark, sf_dir):
-    return thresholds.edge_stats(steps.forest(spark, sf_dir))
+    return thresholds.edge_stats(steps.far_forest(spark, sf_dir))
 
 
 @query(sql.forest("SELECT r AS edge_index, round(dist, 6) AS threshold, round(gap, 6) AS gap, round(least(1.0, 10 * gap / range), 6) AS confidence FROM (SELECT *, dist - lag(dist) OVER (ORDER BY r) AS gap, max(dist) OVER () - min(dist) OVER () AS range FROM ranked) WHERE gap > range * 0.05 ORDER BY gap DESC, r LIMIT 5"))
 def gap_candidates(spark, sf_dir):
-    return thresholds.gaps(steps.forest(spark, sf_dir))
+    return thresholds.gaps(steps.far_forest(spark, sf_dir))
 
 
 @query()

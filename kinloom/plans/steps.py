@@ -70,7 +70,13 @@ def near_edges(spark, sf_dir):
 
 @stored
 def forest(spark, sf_dir):
-    return graph.spanning_forest(work(spark), far_edges(spark, sf_dir))
+    """The spanning forest of all candidate pairs, whatever their distance."""
+    return graph.spanning_forest(work(spark), distances(spark, sf_dir))
+
+
+def far_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forest up to FAR, for the queries whose SQL ends there."""
+    return graph.cut(forest(spark, sf_dir), FAR)
 
 
 @stored

@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from kinloom.plans import catalog
+from kinloom.plans import catalog, steps
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 ORACLE = catalog.oracle_sql()
@@ -35,6 +35,24 @@ def test_query(spark, duck, small, name):
         assert plain(rows, got.columns) == plain(want.fetchall(), [d[0] for d in want.description])
 
 
+def test_trees_hold_all_candidate_pairs(spark, small):
+    root, want = {}, []
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for r in sorted(steps.distances(spark, small).collect(), key=lambda r: (r.dist, r.j, r.i)):
+        a, b = top(r.i), top(r.j)
+        if a != b:
+            root[a] = b
+            want.append(round(r.dist, 6))
+    got = [r.dist for r in catalog.linkage(spark, small).collect()]
+    assert max(want) > steps.FAR and sorted(got) == pytest.approx(sorted(want), abs=2e-6)
+    assert sum(r.leaves - 1 for r in catalog.newick(spark, small).collect()) == len(want)
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["id", "cluster", "size"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
