@@ -5,8 +5,8 @@ Every candidate's value is counted over the corpus by distinct repositories (doc
 a value that COPIED_OWNERS owners or more share is a copied example, any other looks live. All is expressed in
 DataFrame functions; only span positions and value hashes are shuffled, never texts.
 
-Null and empty texts have no span. Rows without an id keep their base spans and get no tokens; rows that
-repeat an id each come back. Positions are code points, the end exclusive. An empty table gives no rows.
+Null and empty texts have no span. Rows without an id get base spans and tokens like any other and count for
+their owner; rows that repeat an id each come back, with spans of their own text. Positions are code points, the end exclusive. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 TOKEN = r"[A-Za-z0-9_-]{20,}"
 LEAST_VALUE = 6
-_JOIN, _LIVE = "__secrets_key", "__secrets_live"
+_JOIN, _LIVE = ("__secrets_h1", "__secrets_h2"), "__secrets_live"
 
 
 def spans(text: Column, kind: str, pattern: str, value_group: int = 0) -> Column:
@@ -48,14 +48,20 @@ def _mixed_token(value: Column) -> Column:
     return value.rlike("[a-z]") & value.rlike("[A-Z]") & value.rlike("[0-9].*[0-9].*[0-9]")
 
 
+def _row_key(key: str) -> tuple[Column, Column]:
+    """128 bits of a row's id and text; rows of equal texts have equal spans, so those that share it share all."""
+    number, text = F.col(f"`{key}`").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.xxhash64(F.coalesce(number, F.lit(0)), number.isNull(), text), F.xxhash64(text, F.lit(2))
+
+
 def extracted(df: DataFrame, key: str = "doc_id", owner: str = "source") -> DataFrame:
-    """(key, owner, base, token): each row's base spans by place and its token candidates."""
+    """(key, owner, h1, h2, base, token): each row's key, base spans by place and token candidates."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{owner}`").cast("string").alias("owner"), text.alias("body"))
-    rows = rows.select("key", "owner", spans(F.col("body"), "assign", ASSIGN, 2).alias("a"), spans(F.col("body"), "access", ACCESS).alias("c"), spans(F.col("body"), "hex", HEX).alias("h"), spans(F.col("body"), "token", TOKEN).alias("t"))
+    rows = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{owner}`").cast("string").alias("owner"), *(h.alias(n) for h, n in zip(_row_key(key), ("h1", "h2"))), text.alias("body"))
+    rows = rows.select("key", "owner", "h1", "h2", spans(F.col("body"), "assign", ASSIGN, 2).alias("a"), spans(F.col("body"), "access", ACCESS).alias("c"), spans(F.col("body"), "hex", HEX).alias("h"), spans(F.col("body"), "token", TOKEN).alias("t"))
     kept = F.filter("a", lambda s: F.length(s["value"]) >= LEAST_VALUE)
     base = F.array_sort(F.concat(kept, F.col("c"), F.col("h")))
-    return rows.select("key", "owner", base.alias("base"), F.filter("t", lambda s: _mixed_token(s["value"])).alias("token"))
+    return rows.select("key", "owner", "h1", "h2", base.alias("base"), F.filter("t", lambda s: _mixed_token(s["value"])).alias("token"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -70,19 +76,23 @@ def secrets(df: DataFrame, *, key: str = "doc_id", owner: str = "source", copied
 
     added: tokens of a single owner that no base span covers; live: base and added spans whose value isn't a copied example.
     """
-    spark = df.sparkSession
-    found = Workspace(spark, "secrets").store(extracted(df, key, owner))
-    held = found.where("size(base) + size(token) > 0 and key is not null")
-    values = held.select("key", F.explode(F.concat("base", "token")).alias("s")).select("key", F.xxhash64("s.value").alias("h")).distinct()
+    return _judged(df, key, owner, copied_owners).select(F.col("key").alias(key), "base", "added", "live")
+
+
+def _judged(df: DataFrame, key: str, owner: str, copied_owners: int) -> DataFrame:
+    """(key, h1, h2, base, added, live) of each row: a value is judged over the corpus, spans are those of the row's text."""
+    found = Workspace(df.sparkSession, "secrets").store(extracted(df, key, owner))
+    held = found.where("size(base) + size(token) > 0")
+    values = held.select("h1", "h2", F.explode(F.concat("base", "token")).alias("s")).select("h1", "h2", F.xxhash64("s.value").alias("h")).distinct()
     known = values.join(ownership(found), "h").where(F.col("owners") < copied_owners)
-    own = known.groupBy("key").agg(F.collect_set("h").alias("live_h"), F.collect_set(F.when(F.col("owners") == 1, F.col("h"))).alias("single_h"))
-    rows = found.join(own.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"), "left").drop("_key")
+    own = known.groupBy("h1", "h2").agg(F.collect_set("h").alias("live_h"), F.collect_set(F.when(F.col("owners") == 1, F.col("h"))).alias("single_h"))
+    rows = found.join(own, ["h1", "h2"], "left")
     has = lambda hs: lambda s: F.coalesce(F.array_contains(hs, F.xxhash64(s["value"])), F.lit(False))
     free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     added = F.filter("token", lambda s: has("single_h")(s) & free(s))
     rows = rows.withColumn("added", added)
     live = F.filter(F.array_sort(F.concat("base", "added")), has("live_h"))
-    return rows.select(F.col("key").alias(key), "base", "added", live.alias("live"))
+    return rows.select("key", "h1", "h2", "base", "added", live.alias("live"))
 
 
 def listed(of: Column) -> Column:
@@ -101,8 +111,8 @@ def digests(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def masked(df: DataFrame, *, key: str = "doc_id", owner: str = "source", mask: str = "<secret>") -> DataFrame:
     """df with every live-looking span of its text replaced; all columns stay, copied examples stay too."""
-    found = secrets(df, key=key, owner=owner).where("size(live) > 0").select(F.col(key).alias(_JOIN), F.col("live").alias(_LIVE)).dropDuplicates([_JOIN])
-    both = df.join(found, F.col(key).cast("long") == F.col(_JOIN), "left").drop(_JOIN)
+    found = _judged(df, key, owner, COPIED_OWNERS).where("size(live) > 0").select(F.col("h1").alias(_JOIN[0]), F.col("h2").alias(_JOIN[1]), F.col("live").alias(_LIVE)).dropDuplicates([*_JOIN])
+    both = df.withColumns(dict(zip(_JOIN, _row_key(key)))).join(found, [*_JOIN], "left")
     text, live = F.col("text"), F.col(_LIVE)
 
     def step(state, s):

@@ -345,6 +345,13 @@ def test_masks_live_values_alone(spark, empty):
     assert secrets.masked(empty).count() == 0 and secrets.digests(secrets.secrets(empty)).count() == 0
 
 
+def test_masks_rows_by_their_own_text(spark):
+    rows = [(None, "no id password=NullSecret77", "a"), (None, "AKIA" + "Q" * 16, "b"), (5, "password=FirstText88 tail", "a"), (5, "clean text that must stay as it is", "a"), (5, "some words, then token=SecondText99", "b"), (5, "password=FirstText88 tail", "a")]
+    got = spark.createDataFrame(rows, "doc_id long, text string, source string").transform(secrets.masked).collect()
+    want = [(None, "no id <secret>"), (None, "<secret>"), (5, "<secret> tail"), (5, "clean text that must stay as it is"), (5, "some words, then <secret>"), (5, "<secret> tail")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, want))
+
+
 # 10
 
 
