@@ -5,8 +5,9 @@ distinct shingles of `width` words, one shingle of all words if there are fewer,
 documents are linked if den * intersection >= num * union; empty sets link with nothing.
 
 Equal sets are one class, told by 128 bits, and only classes are compared. A row without an id keeps its
-place and links with nothing (component null, kept). Rows that repeat an id are one node with the links of
-all of them. An empty table gives no rows.
+place and links with nothing (component null, kept). Links are found between texts: the texts of a repeated
+id are nodes of their own, told by 64 bits of id and text, and meet only in the reported component, which has
+the links of all of them. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ def shingle_sets(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def sketched(df: DataFrame, width: int, setting: Setting) -> DataFrame:
-    """Per row of df(id, text): n, the class key (k1, k2), band keys, pivots, crowds and signature."""
+    """Per row of df(id, text, doc): doc, n, the class key (k1, k2), band keys, pivots, crowds and signature."""
 
     def run(batches):
         a, b = setting.coefficients()
@@ -76,23 +77,29 @@ def sketched(df: DataFrame, width: int, setting: Setting) -> DataFrame:
                     sig[i] = raw[at].tobytes()
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(k1), pa.array(k2), pa.array(keys, longs), pa.array(pivots, longs), pa.array(crowds, longs), pa.array(sig, pa.binary())],
-                ["id", "n", "k1", "k2", "keys", "pivots", "crowds", "sig"],
+                [batch.column(0), pa.array(n), pa.array(k1), pa.array(k2), pa.array(keys, longs), pa.array(pivots, longs), pa.array(crowds, longs), pa.array(sig, pa.binary()), batch.column(2)],
+                ["id", "n", "k1", "k2", "keys", "pivots", "crowds", "sig", "doc"],
             )
 
-    return df.mapInArrow(run, "id long, n long, k1 long, k2 long, keys array<long>, pivots array<long>, crowds array<long>, sig binary")
+    return df.mapInArrow(run, "id long, n long, k1 long, k2 long, keys array<long>, pivots array<long>, crowds array<long>, sig binary, doc long")
+
+
+def row_key(doc, text):
+    """64 bits of an id and a text, null without an id."""
+    return F.when(doc.isNotNull(), F.xxhash64(doc.cast("long"), F.coalesce(text.cast("string"), F.lit(""))))
 
 
 def near_duplicates(df: DataFrame, *, width: int = 5, setting: Setting = Setting()) -> DataFrame:
     """Classes of near-duplicates of df(doc_id, text).
 
-    Returns per row doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and kept
-    (doc_id is its component's id).
+    Returns per row doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept
+    (doc_id is its component's id), row_key and first (the row's text is the one of its linked texts that
+    firsts keeps: that of the smallest doc_id; texts without words always are).
     """
     spark = df.sparkSession
     bounded_batches(spark)
     ws = Workspace(spark, "neardup")
-    docs = columns_checked(df, {"doc_id": "long", "text": "string"}).withColumnRenamed("doc_id", "id")
+    docs = columns_checked(df, {"doc_id": "long", "text": "string"}).select(row_key(F.col("doc_id"), F.col("text")).alias("id"), "text", F.col("doc_id").alias("doc"))
     table = ws.store(sketched(docs, width, setting))
     known = table.where("id is not null and n > 0")
     least = known.groupBy("k1", "k2", "n").agg(F.min("id").alias("least"))
@@ -100,23 +107,37 @@ def near_duplicates(df: DataFrame, *, width: int = 5, setting: Setting = Setting
     firsts = known.where("sig is not null")
     pairs, crowds = linking.candidates(ws, firsts)
     signatures = firsts.select("id", "n", "sig").dropDuplicates(["id"])
-    edges = linked(ws, (pairs, ws.store(crowds)), signatures, docs.where("id is not null"), partial(shingle_sets, width=width), setting, copies)
+    texts = docs.where("id is not null").select("id", "text")
+    repeated = ws.store(table.where("id is not null").groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id"))
+    if not repeated.isEmpty():
+        texts = texts.join(repeated, "id", "left_anti").unionByName(texts.join(repeated, "id", "left_semi").dropDuplicates(["id"]))
+    edges = linked(ws, (pairs, ws.store(crowds)), signatures, texts, partial(shingle_sets, width=width), setting, copies)
     part = components(ws, edges)
-    out = table.select("id", "n").join(part, "id", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    placed = ws.store(table.select("id", "doc", "n").join(part, "id", "left").withColumn("of", F.coalesce("component", "id")).drop("component"))
+    lead = placed.where("id is not null").groupBy("of").agg(F.min(F.struct("doc", "id")).alias("lead"))
+    rows = ws.store(placed.join(lead, "of", "left").select("id", "doc", "n", "of", F.col("lead.doc").alias("lead"), F.coalesce(F.col("id") == F.col("lead.id"), F.lit(True)).alias("first")))
+    several = ws.store(rows.where("id is not null").groupBy("doc").agg(F.min("of").alias("a"), F.max("of").alias("b")).where("a <> b").select("doc"))
+    component = F.col("lead")
+    if not several.isEmpty():
+        joined = components(ws, rows.join(several, "doc", "left_semi").select(F.col("doc").alias("u"), F.col("lead").alias("v")))
+        rows = rows.join(joined.select(F.col("id").alias("lead"), "component"), "lead", "left")
+        component = F.coalesce("component", "lead")
+    return rows.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"), F.col("id").alias("row_key"), "first")
 
 
 def firsts(df: DataFrame, classes: DataFrame) -> DataFrame:
-    """df with one row of each class: rows of ids that aren't kept go, rows without an id stay.
+    """df with one row of each class of linked texts, that of the smallest id; rows without an id or without words stay.
 
-    classes: near_duplicates(df). Rows that repeat a kept id are copies too, of which one stays.
+    classes: near_duplicates(df). Of rows that repeat an id only those go whose text is linked with a kept one, or equal.
     """
-    ids = df.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
-    gone = classes.where("not kept").select("doc_id").distinct()
-    rest = df.join(gone, "doc_id", "left_anti").select(*df.columns)
-    repeated = rest.join(ids, "doc_id", "left_semi").select(*df.columns).dropDuplicates(["doc_id"])
-    return rest.join(ids, "doc_id", "left_anti").select(*df.columns).unionByName(repeated)
+    key = "__neardup_key"
+    known = classes.where("row_key is not null")
+    rows = df.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
+    gone = known.where("not first").select(F.col("row_key").alias(key)).distinct()
+    repeated = known.where("first").groupBy(F.col("row_key").alias(key)).agg(F.count("*").alias("c")).where("c > 1").select(key)
+    rest = rows.join(gone, key, "left_anti")
+    one = rest.join(repeated, key, "left_semi").dropDuplicates([key])
+    return rest.join(repeated, key, "left_anti").unionByName(one).select(*df.columns)
 
 
 def linked(ws: Workspace, found: tuple[DataFrame, DataFrame], signatures: DataFrame, texts: DataFrame, sets, setting: Setting, copies: DataFrame | None = None) -> DataFrame:

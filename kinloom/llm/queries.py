@@ -49,7 +49,7 @@ def byte_vocabulary() -> tuple[str, str, str]:
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,6 +175,16 @@ def test_near_duplicates_of_hard_rows(hard, empty):
     assert sorted(r.doc_id for r in neardup.firsts(hard, neardup.near_duplicates(hard)).where("doc_id is not null").collect()) == [1, 3, 4, 5, 6, 8]
 
 
+def test_texts_of_a_repeated_id_are_compared_one_by_one(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(5, text(0)), (5, text(1)), (5, text(2)), (5, text(2)), (3, text(1) + " more"), (7, text(2) + " more"), (9, text(9)), (5, ""), (None, text(0))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = neardup.near_duplicates(df)
+    assert {(r.doc_id, r.component_id) for r in classes.collect()} == {(5, 3), (3, 3), (7, 3), (9, 9), (None, None)}
+    got = sorted(map(str, neardup.firsts(df, classes).collect()))
+    assert got == sorted(map(str, df.where("doc_id is null or doc_id in (3, 9)").union(spark.createDataFrame([(5, text(0)), (5, text(2)), (5, "")], df.schema)).collect()))
+
+
 # 6
 
 
