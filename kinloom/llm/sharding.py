@@ -6,8 +6,9 @@ on the next bit, all others keep their depth. Cells that are too large themselve
 bits, from their own rows alone.
 
 A bucket with one row isn't split, however long that row is. Rows that repeat an id share all bits: where
-they exceed the limit together they fill numbered pages of one bucket in the order of their sizes. Null ids
-hash like empty ones, null contents have no bytes. An empty table gives no rows.
+they exceed the limit together they are dealt to numbered pages of one bucket, none above the limit unless it
+is a single row's. Rows of up to half the limit fill pages by halves, each longer one has a page of its own, so
+there are at most twice as many pages as the bytes need, and two more; numbers may be left out. Null ids hash like empty ones, null contents have no bytes. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from kinloom.llm.shared import Workspace, columns_checked
 HASH_BITS = 60
 #: Bits of a cell beyond the depth that even shards would have, and bits added where cells are too large.
 SPARE_BITS, MORE_BITS = 4, 8
+#: Bits of a row number that count within one part of a bucket's pages: no task sorts more rows of it.
+PART_BITS = 16
+_ROW = "__sharding_row"
 
 
 def hash_of(key: Column) -> Column:
@@ -61,10 +65,14 @@ def sharded(df: DataFrame, *, max_bytes: int, key: str = "doc_id", content: str
 
     No content is shuffled. The directory has a few rows for each shard and is joined by AQE's choice.
     """
-    spark = df.sparkSession
-    ws = Workspace(spark, "sharding")
-    rows = columns_checked(df, {key: "string" if dict(df.dtypes)[key] == "string" else "long", content: "string"})
-    rows = rows.select(F.col(key), hash_of(F.col(key)).alias("h"), F.coalesce(F.octet_length(content), F.lit(0)).cast("long").alias("bytes"))
+    return _sharded(df.withColumn(_ROW, F.monotonically_increasing_id()), max_bytes, key, content).drop(_ROW)
+
+
+def _sharded(df: DataFrame, max_bytes: int, key: str, content: str) -> DataFrame:
+    """sharded() of rows that are numbered in _ROW, with their numbers."""
+    ws = Workspace(df.sparkSession, "sharding")
+    rows = columns_checked(df, {key: "string" if dict(df.dtypes)[key] == "string" else "long", content: "string", _ROW: "long"})
+    rows = rows.select(F.col(key), hash_of(F.col(key)).alias("h"), F.coalesce(F.octet_length(content), F.lit(0)).cast("long").alias("bytes"), _ROW)
     rows = ws.store(rows)
     total = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("t")).first().t
     shards = ws.store(directory(ws, rows, max_bytes, total))
@@ -77,14 +85,32 @@ def sharded(df: DataFrame, *, max_bytes: int, key: str = "doc_id", content: str
     if out is None:
         out = rows.select("*", F.lit(0).alias("depth"), F.lit("").alias("shard"), F.lit(0).cast("long").alias("shard_bytes"))
     over = F.col("shard_bytes") > max_bytes
-    before = Window.partitionBy("shard").orderBy("bytes").rowsBetween(Window.unboundedPreceding, -1)
-    paged = out.where(over).withColumn("page", F.floor(F.coalesce(F.sum("bytes").over(before), F.lit(0)) / max_bytes).cast("int"))
+    paged = _paged(ws.store(out.where(over)), max_bytes)
     whole = out.where(~over).withColumn("page", F.lit(0)).unionByName(paged)
-    return whole.select(key, F.col("bytes").alias("n_bytes"), "shard", F.col("depth").cast("int").alias("depth"), "page", "shard_bytes")
+    return whole.select(key, F.col("bytes").alias("n_bytes"), "shard", F.col("depth").cast("int").alias("depth"), "page", "shard_bytes", _ROW)
+
+
+def _paged(rows: DataFrame, max_bytes: int) -> DataFrame:
+    """rows(shard, bytes, _ROW) with their page: running sums of each part of a shard, moved on by the parts before it."""
+    small = F.col("bytes") * 2 <= max_bytes
+    light, heavy = F.when(small, F.col("bytes")).otherwise(0), F.when(small, 0).otherwise(1)
+    own = rows.withColumn("part", F.shiftright(_ROW, PART_BITS))
+    ahead = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts, shard = Window.partitionBy("shard").orderBy("part"), Window.partitionBy("shard")
+    sums = own.groupBy("shard", "part").agg(F.sum(light).alias("l"), F.sum(heavy).alias("k"))
+    sums = sums.select("shard", "part", ahead("l", parts).alias("l0"), ahead("k", parts).alias("k0"), F.sum("l").over(shard).alias("l_all"))
+    inside = Window.partitionBy("shard", "part").orderBy(_ROW)
+    own = own.withColumns({"l1": ahead(light, inside), "k1": ahead(heavy, inside)}).join(sums, ["shard", "part"])
+    half = lambda x: F.floor(x * 2 / max_bytes)
+    page = F.when(small, half(F.col("l0") + F.col("l1"))).otherwise(half(F.col("l_all")) + 1 + F.col("k0") + F.col("k1"))
+    return own.withColumn("page", page.cast("int")).select(*rows.columns, "page")
 
 
 def write_shards(df: DataFrame, path: str, *, max_bytes: int, key: str = "doc_id", content: str = "text") -> None:
-    """Write df as Parquet, one folder for each shard and page; a shard is one task's file, and no task holds more than a shard."""
-    place = sharded(df, max_bytes=max_bytes, key=key, content=content).select(F.col(key).alias("_key"), "shard", "page").distinct()
-    both = df.join(place, df[key].eqNullSafe(F.col("_key"))).drop("_key")
+    """Write df as Parquet, one folder for each shard and page; a shard is one task's file, and no task holds more than a shard.
+
+    The numbered rows are stored once before, so that each keeps its number.
+    """
+    rows = Workspace(df.sparkSession, "sharding").store(df.withColumn(_ROW, F.monotonically_increasing_id()))
+    both = rows.join(_sharded(rows, max_bytes, key, content).select(_ROW, "shard", "page"), _ROW).drop(_ROW)
     both.repartition("shard", "page").write.partitionBy("shard", "page").parquet(path)

@@ -52,6 +52,21 @@ def test_shards_of_hard_rows(hard, empty):
     assert sharding.sharded(empty, max_bytes=1000).count() == 0
 
 
+def test_pages_of_a_repeated_id_fit(spark, tmp_path):
+    rows = [(1 if i % 3 == 0 else None if i % 3 == 1 else i, "é" * (i * 7 % 60) + "x" * (i % 2)) for i in range(900)] + [(1, "y" * 700), (1, "z" * 500), (1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sharding.write_shards(df, f"file://{tmp_path}/out", max_bytes=500)
+    got = sharding.sharded(df, max_bytes=500).collect()
+    written = spark.read.schema("doc_id long, text string, shard string, page int").parquet(f"file://{tmp_path}/out").collect()
+    assert sorted(map(str, rows)) == sorted(str((r.doc_id, r.text)) for r in written) and len(got) == len(rows)
+    for found in ([(r.shard, r.page, r.n_bytes) for r in got], [(r.shard, r.page, len((r.text or "").encode())) for r in written]):
+        size, many = Counter(), Counter()
+        for shard, page, n in found:
+            size[shard, page] += n
+            many[shard, page] += 1
+        assert all(s <= 500 or many[k] == 1 for k, s in size.items()) and max(many.values()) > 2
+
+
 # 2
 
 
