@@ -1,8 +1,9 @@
 """Secrets in texts, and whose they are: spans by regular expressions, kept apart by how widely a value is copied.
 
 Base kinds are assign, access and hex; the method adds tokens, long mixed runs that belong to a single owner.
-Every candidate's value is counted over the corpus by distinct repositories (documents) and owners (sources):
-a value that COPIED_OWNERS owners or more share is a copied example, any other looks live. All is expressed in
+Every candidate's value is counted over the corpus by distinct repositories (documents, copies of a text being
+one) and owners (sources): a value that COPIED_OWNERS owners or COPIED_DOCUMENTS documents or more share is a
+copied example, any other looks live. All is expressed in
 DataFrame functions; only span positions and value hashes are shuffled, never texts.
 
 Null and empty texts have no span. Rows without an id get base spans and tokens like any other and count for
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from kinloom.llm.shared import Workspace
 
-COPIED_OWNERS = 3
+COPIED_OWNERS, COPIED_DOCUMENTS = 3, 100
 KINDS = ("assign", "access", "hex", "token")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -65,9 +66,9 @@ def extracted(df: DataFrame, key: str = "doc_id", owner: str = "source") -> Data
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(h, owners, repositories) of every candidate value, from extracted rows."""
-    each = found.select("key", "owner", F.explode(F.concat("base", "token")).alias("s")).select("key", "owner", F.xxhash64("s.value").alias("h"))
-    by_owner = each.groupBy("h", "owner", "key").count().groupBy("h", "owner").agg(F.count("*").alias("n"))
+    """(h, owners, repositories) of every candidate value, from extracted rows; a repository is a distinct text."""
+    each = found.select("h2", "owner", F.explode(F.concat("base", "token")).alias("s")).select("h2", "owner", F.xxhash64("s.value").alias("h"))
+    by_owner = each.groupBy("h", "owner", "h2").count().groupBy("h", "owner").agg(F.count("*").alias("n"))
     return by_owner.groupBy("h").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
 
 
@@ -84,7 +85,7 @@ def _judged(df: DataFrame, key: str, owner: str, copied_owners: int) -> DataFram
     found = Workspace(df.sparkSession, "secrets").store(extracted(df, key, owner))
     held = found.where("size(base) + size(token) > 0")
     values = held.select("h1", "h2", F.explode(F.concat("base", "token")).alias("s")).select("h1", "h2", F.xxhash64("s.value").alias("h")).distinct()
-    known = values.join(ownership(found), "h").where(F.col("owners") < copied_owners)
+    known = values.join(ownership(found), "h").where((F.col("owners") < copied_owners) & (F.col("repositories") < COPIED_DOCUMENTS))
     own = known.groupBy("h1", "h2").agg(F.collect_set("h").alias("live_h"), F.collect_set(F.when(F.col("owners") == 1, F.col("h"))).alias("single_h"))
     rows = found.join(own, ["h1", "h2"], "left")
     has = lambda hs: lambda s: F.coalesce(F.array_contains(hs, F.xxhash64(s["value"])), F.lit(False))

@@ -377,6 +377,14 @@ def test_masks_rows_by_their_own_text(spark):
     assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, want))
 
 
+def test_values_of_one_hot_source_are_copied_examples(spark):
+    token = "Zx9Qw8Er7Ty6Ui5Op4As3Df2"
+    rows = [(i, f"page {i} password=hotExample1 {token}", "hot") for i in range(120)] + [(1000 + i, "password=LiveButCopied2", "other") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in secrets.masked(df).collect()}
+    assert all(got[i] == t if i < 1000 else got[i] == "<secret>" for i, t, _ in rows)
+
+
 # 10
 
 
