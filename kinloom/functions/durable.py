@@ -55,7 +55,10 @@ class Workspace:
         back.stored_at = path
         return back
 
-    def drop(self, table: DataFrame) -> None:
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that store() returned; others are passed over."""
         jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(table.stored_at)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        for table in tables:
+            if path := getattr(table, "stored_at", None):
+                where = jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -19,7 +19,7 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     """(id, component) of all ids of edges (u, v), component being the smallest id reachable.
 
     Alternating large-star and small-star: a hub's neighbours are aggregated in parts and joined, so that
-    no task holds a component; the rounds grow with the logarithm of the largest one.
+    no task holds a component; the rounds grow with the logarithm of the largest one. ws.drop() frees the result.
     """
     now = ws.store(edges.where("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).select("u", "v").distinct())
     mark = _mark(now)
@@ -30,7 +30,9 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
             break
         now, mark = after, seen
     roots = after.select(F.col("v").alias("id")).distinct()
-    return after.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots.select("id", F.col("id").alias("component")))
+    found = after.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots.select("id", F.col("id").alias("component")))
+    found.stored_at = after.stored_at
+    return found
 
 
 def _mark(edges: DataFrame) -> tuple:
