@@ -3,12 +3,12 @@
 A line is what stands between line feeds, lower-cased and with runs of white space made one space. Blank
 lines are never touched. A line's set holds its distinct shingles of SHINGLE characters, the whole line as
 one if it is shorter. Lines are linked if their sets' Jaccard similarity reaches the setting's threshold;
-of each component the line with the smallest (doc_id, place) stays and all others go.
+of each component the line with the smallest (doc_id, row_key, place) stays and all others go.
 
 Equal lines are told by 64 bits of their hash. A shared band with a probability of 0.9994 at the threshold
 itself makes two lines candidates; above it the probability rises fast. Rows without an id or a text lose
-nothing and make no other line a duplicate. Rows that repeat an id share its decisions. An empty table
-gives no rows.
+nothing and make no other line a duplicate. Rows that repeat an id are told apart by their texts; rows
+equal in both are one and share its decisions. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from kinloom.llm import linking
 from kinloom.llm.linking import Setting, mixed
-from kinloom.llm.neardup import linked
-from kinloom.llm.shared import Workspace, bounded_batches, columns_checked, components
+from kinloom.llm.neardup import row_key
+from kinloom.llm.shared import Workspace, bounded_batches, columns_checked, components, touched
 
 SHINGLE = 7
 LINES = Setting(num=80, den=100, bands=14, width=4)
@@ -51,7 +51,16 @@ def shingles(line: str) -> np.ndarray:
 
 
 def shingle_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
-    """The sets of many normal lines at once, in the form of linking.coded()."""
+    """The sets of many normal lines, in the form of linking.coded()."""
+    parts = [_shingle_sets(lines[k : k + linking.AT_ONCE]) for k in range(0, max(len(lines), 1), linking.AT_ONCE)]
+    if len(parts) == 1:
+        return parts[0]
+    ends = np.cumsum([0] + [len(codes) for codes, _, _ in parts])
+    borders = np.concatenate([[0]] + [own[1:] + end for (_, own, _), end in zip(parts, ends)])
+    return np.concatenate([codes for codes, _, _ in parts]), borders, parts[0][2]
+
+
+def _shingle_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
     size = np.array([len(x) for x in lines], np.int64)
     c = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4").astype(np.uint64)
     rolled = np.zeros(max(len(c) - SHINGLE + 1, 0), np.uint64)
@@ -111,102 +120,82 @@ def batch_minima(lines: list[str], setting: Setting) -> np.ndarray:
     return out
 
 
-def _lines(batch: pa.RecordBatch):
-    """Of each row with an id and a text: the id and its normal lines."""
-    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-        if doc is not None and text.is_valid:
-            yield doc, [normal(x) for x in text.as_py().split("\n")]
-
-
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(id, doc_id, place) of every line that isn't blank."""
-
-    def run(batches):
-        for batch in batches:
-            ids, owner, places = [], [], []
-            for doc, lines in _lines(batch):
-                for k, x in enumerate(lines):
-                    if x:
-                        ids.append(line_id(x))
-                        owner.append(doc)
-                        places.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(owner, pa.int64()), pa.array(places, pa.int32())], ["id", "doc_id", "place"])
-
-    return docs.mapInArrow(run, "id long, doc_id long, place int")
-
-
 def sketched(docs: DataFrame, setting: Setting) -> DataFrame:
-    """(id, keys, pivots, crowds) of every distinct line of a batch."""
+    """Each distinct line of a batch of docs(row, doc, text): id, set size n, signature, band keys, pivots, crowds, text, and where it stands (docs, rows, places)."""
 
     def run(batches):
         for batch in batches:
-            own = {line_id(x): x for x in {y for _, lines in _lines(batch) for y in lines if y}}
-            ids = np.fromiter(own, np.int64, len(own))
-            keys, pivots, crowds = linking.combined(linking.band_keys(batch_minima([*own.values()], setting), setting), ids) if own else ([], [], [])
+            where: dict[str, tuple[list, list, list]] = {}
+            for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if row is not None and text.is_valid:
+                    for k, x in enumerate(text.as_py().split("\n")):
+                        if x := normal(x):
+                            at = where.setdefault(x, ([], [], []))
+                            at[0].append(doc)
+                            at[1].append(row)
+                            at[2].append(k)
+            own = [*where]
+            ids = np.array([line_id(x) for x in own], np.int64)
+            mins = batch_minima(own, setting) if own else np.zeros((0, setting.permutations), np.uint32)
+            parts = linking.combined(linking.band_keys(mins, setting), ids) if own else ([], [], [])
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(x, longs) for x in (keys, pivots, crowds))], ["id", "keys", "pivots", "crowds"])
-
-    return docs.mapInArrow(run, "id long, keys array<long>, pivots array<long>, crowds array<long>")
+            for k in range(0, len(own), linking.AT_ONCE):
+                some = slice(k, k + linking.AT_ONCE)
+                n = np.diff(shingle_sets(own[some])[1])
+                sig = [x.tobytes() for x in linking.signature(mins[some])]
+                at = [where[x] for x in own[some]]
+                columns = [pa.array(ids[some]), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), *(pa.array(x[some], longs) for x in parts), pa.array(own[some], pa.string())]
+                columns += [pa.array([x[0] for x in at], longs), pa.array([x[1] for x in at], longs), pa.array([x[2] for x in at], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "sig", "keys", "pivots", "crowds", "text", "docs", "rows", "places"])
 
-
-def texts(docs: DataFrame) -> DataFrame:
-    """(id, text) of every distinct line of a batch."""
-
-    def run(batches):
-        for batch in batches:
-            own = {line_id(x): x for x in {y for _, lines in _lines(batch) for y in lines if y}}
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(own.values(), pa.string())], ["id", "text"])
-
-    return docs.mapInArrow(run, "id long, text string")
-
-
-def signed(lines: DataFrame, setting: Setting) -> DataFrame:
-    """(id, text) with the set's size n and the signature sig."""
-
-    def run(batches):
-        for batch in batches:
-            own = batch.column(1).to_pylist()
-            sig = linking.signature(batch_minima(own, setting)) if own else ()
-            n = np.diff(shingle_sets(own)[1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array([x.tobytes() for x in sig], pa.binary())], ["id", "text", "n", "sig"])
-
-    return lines.mapInArrow(run, "id long, text string, n long, sig binary")
+    schema = "id long, n long, sig binary, keys array<long>, pivots array<long>, crowds array<long>, text string, docs array<long>, rows array<long>, places array<int>"
+    return docs.mapInArrow(run, schema)
 
 
 def duplicate_lines(df: DataFrame, *, setting: Setting = LINES) -> DataFrame:
-    """(doc_id, removed): the places, from 0, of the lines of df(doc_id, text) that go; only documents that lose any."""
+    """(doc_id, row_key, removed): the places, from 0, of the lines of df(doc_id, text) that go; only rows that lose any.
+
+    row_key is neardup.row_key() of the id and the text: rows that repeat an id with other texts have their own.
+    """
     spark = df.sparkSession
     bounded_batches(spark)
     ws = Workspace(spark, "lines")
-    docs = columns_checked(df, {"doc_id": "long", "text": "string"})
-    pairs, crowds = linking.candidates(ws, ws.store(sketched(docs, setting)))
-    pairs, crowds = ws.store(pairs), ws.store(crowds)
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowds.select("id")).distinct()
-    known = ws.store(signed(texts(docs).join(wanted, "id", "left_semi").dropDuplicates(["id"]), setting))
-    edges = linked(ws, (pairs, crowds), known.select("id", "n", "sig"), known.select("id", "text"), shingle_sets, setting)
+    docs = columns_checked(df, {"doc_id": "long", "text": "string"}).select(row_key(F.col("doc_id"), F.col("text")).alias("row"), F.col("doc_id").alias("doc"), "text")
+    table = ws.store(sketched(docs, setting))
+    edges = linking.linked(ws, linking.candidates(ws, table), table.select("id", "n", "sig").dropDuplicates(["id"]), table.select("id", "text"), shingle_sets, setting)
     part = components(ws, edges)
-    found = ws.store(occurrences(docs))
-    placed = found.join(part, "id", "left").select(F.coalesce("component", "id").alias("line"), F.struct("doc_id", "place").alias("at"))
-    first = placed.groupBy("line").agg(F.min("at").alias("first"), F.count("*").alias("c")).where("c > 1")
-    gone = placed.join(first, "line").where("at <> first").select("at.doc_id", "at.place").distinct()
-    return ws.store(gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("place")).alias("removed")))
+    ws.drop(edges)
+    placed = table.select("id", "docs", "rows", "places").join(part, "id", "left").select(F.coalesce("component", "id").alias("line"), "docs", "rows", "places")
+    several = placed.groupBy("line").agg(F.count("*").alias("c"), F.sum(F.size("rows")).alias("all")).where("all > 1").select("line")
+    spots = placed.join(several, "line", "left_semi").select("line", F.explode(F.arrays_zip("docs", "rows", "places")).alias("x"))
+    placed = ws.store(spots.select("line", F.struct(F.col("x.docs").alias("doc"), F.col("x.rows").alias("row"), F.col("x.places").alias("place")).alias("at")).distinct())
+    ws.drop(table, part)
+    first = placed.groupBy("line").agg(F.min("at").alias("first"))
+    gone = placed.join(first, "line").where("at <> first").select("at.*")
+    removed = ws.store(gone.groupBy("doc", "row").agg(F.sort_array(F.collect_set("place")).alias("removed")))
+    ws.drop(placed)
+    return removed.select(F.col("doc").alias("doc_id"), F.col("row").alias("row_key"), "removed")
 
 
 def without_lines(df: DataFrame, removed: DataFrame, column: str = "text") -> DataFrame:
-    """df without the lines at removed(doc_id, removed); documents that lose every line go, all other columns stay."""
-    names = df.columns
+    """df(doc_id, column, ...) without the lines at removed(row_key, removed); rows that lose every line go, all other columns stay."""
+    names, key, gone = df.columns, "__lines_row", "__lines_gone"
 
-    def cut(text, gone):
-        drop = set(gone)
+    def cut(text, places):
+        drop = set(places)
         return "\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop)
 
     def run(batches):
         for b in batches:
             at = b.schema.get_field_index(column)
-            new = [t if g is None or t is None else cut(t, g) for t, g in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist())]
-            whole = pa.array([g is None or bool(t.strip()) for t, g in zip(new, b.column(b.num_columns - 1).to_pylist())], pa.bool_())
+            places = b.column(b.num_columns - 1).to_pylist()
+            new = [t if g is None else cut(t, g) for t, g in zip(b.column(at).to_pylist(), places)]
+            whole = pa.array([g is None or bool(t.strip()) for t, g in zip(new, places)], pa.bool_())
             columns = [pa.array(new, b.schema.field(at).type) if k == at else b.column(k) for k in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([c.filter(whole) for c in columns], names)
 
-    both = df.join(removed.select(F.col("doc_id").alias("_doc"), F.col("removed").alias("_removed")), df["doc_id"].cast("long") == F.col("_doc"), "left").drop("_doc")
-    return both.mapInArrow(run, df.schema)
+    rows = df.withColumn(key, row_key(F.col("doc_id"), F.col(f"`{column}`")))
+    places = removed.select(F.col("row_key").alias(key), F.col("removed").alias(gone))
+    some, others = touched(rows, places, key)
+    both = some.join(places, key, "left").select(*[f"`{c}`" for c in names], gone)
+    return others.select(*[f"`{c}`" for c in names]).unionByName(both.mapInArrow(run, df.schema))

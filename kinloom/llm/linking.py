@@ -5,11 +5,13 @@ band are candidates; a pair at the threshold itself shares none with a probabili
 document setting. Candidates whose signatures differ by more than chance allows are put aside (below
 1e-6 at the threshold), the rest are verified on their full sets.
 
-Large groups never yield all their pairs. A band shared by more than CROWD rows links its members to a
-few pivots only: first inside each Arrow batch, which sends one row for all of them to the shuffle, then
-among what the batches send. Whoever is not yet in one component with the rest of such a crowd is then
-compared with all of it, in blocks of BLOCK rows, by signature, and what passes is verified. So no link
-between two components is lost, however large the crowd, and no task holds more than two blocks.
+Only what joins components is verified. First each row of a band meets the band's first row; inside an
+Arrow batch the rows of a band beyond CROWD send one row for all of them to the shuffle. Then the other
+pairs of small bands whose ends are still in different components are tried. The rows of large bands that
+hold several components meet through an exact prefix filter: of each set only the rarest shingles are
+indexed, as many as two linked sets can't avoid to share, and pairs are formed only where size and place
+in that order leave room for the threshold and the components differ. So no link between two components
+is lost, however large the band, no group yields its pairs, and no task holds more than a block of an index list.
 """
 
 from __future__ import annotations
@@ -19,17 +21,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.llm.shared import Workspace
+from kinloom.llm.shared import Workspace, components, touched
 
+#: Kinds of rows that bands make.
+STAR, SMALL, MEMBER = 0, 1, 2
 CROWD = 16
-BLOCK = 1500
+#: Rows of one group that are compared with each other in a task.
+BLOCK = 4000
+#: Hash buckets in which shingles of crowds are counted, as a power of two; the driver and the workers hold one byte of each.
+BUCKET_BITS = 20
+SLICE_BYTES = 1 << 21
 #: Elements of sets that are intersected at once.
 ELEMENTS = 2_000_000
 #: Bits of a shingle's code; the rest of a signed number is for the place of a row in its batch.
 CODE_BITS = 50
+#: Rows whose places fit beside a code.
+AT_ONCE = 1 << (63 - CODE_BITS)
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -115,8 +126,11 @@ def combined(keys: np.ndarray, ids: np.ndarray) -> tuple[list, list, list]:
     return [k[s] for k, s in zip(keys, sent)], [sorted(set(p)) for p in pivots], crowds
 
 
-def run_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (key, id, many) sorted by key: candidate pairs (0, a, b) and members of crowds (1, key, id)."""
+def run_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (key, id, many) sorted by key: (kind, a, b).
+
+    STAR: a band's first row and another one; SMALL: two other rows of a band of at most CROWD; MEMBER: a larger band's key and a row.
+    """
     left = None
     for b in batches:
         now = [np.asarray(b.column(i)) for i in range(3)]
@@ -126,49 +140,67 @@ def run_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         last = np.searchsorted(now[0], now[0][-1], "left")
         left = [x[last:] for x in now]
-        yield from _pairs(*(x[:last] for x in now))
+        yield from _bands(*(x[:last] for x in now))
+        if len(left[0]) > BLOCK:  # what came of a very large band is sent on; its first row stays
+            yield from _bands(*left)
+            least = int(np.argmin(left[1]))
+            left = [x[least : least + 1] for x in left]
+            left[2] = np.ones(1, bool)
     if left is not None:
-        yield from _pairs(*left)
+        yield from _bands(*left)
 
 
-def _pairs(keys: np.ndarray, ids: np.ndarray, many: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _bands(keys: np.ndarray, ids: np.ndarray, many: np.ndarray) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((~many, ids, keys))
     keys, ids, many = keys[order], ids[order], many[order]
-    if len(keys):
-        keep = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])])
-        keys, ids, many = keys[keep], ids[keep], many[keep]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+    if not len(keys):
+        return
+    keep = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])])
+    keys, ids, many = keys[keep], ids[keep], many[keep]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(keys)]]))
-    crowded = (sizes > CROWD) | (np.maximum.reduceat(many, starts) if len(starts) else np.zeros(0, bool))
-    a, b = [], []
-    for size in range(2, CROWD + 1):
-        rows = ids[starts[(sizes == size)][:, None] + np.arange(size)]
-        i, j = np.triu_indices(size, 1)
-        a.append(rows[:, i].ravel())
-        b.append(rows[:, j].ravel())
-    for s, size in zip(starts[sizes > CROWD], sizes[sizes > CROWD]):
-        own = ids[s : s + size]
-        for pivot in {int(own[0]), int(own[np.argmin(mixed(own.view(np.uint64)))]), int(own[np.argmin(mixed(own.view(np.uint64) ^ _MIX))])}:
-            rest = own[own != pivot]
-            a.append(np.minimum(rest, pivot))
-            b.append(np.maximum(rest, pivot))
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-    in_crowd = np.repeat(crowded, sizes) if len(sizes) else np.zeros(0, bool)
-    kind = np.concatenate([np.zeros(len(a), np.int8), np.ones(int(in_crowd.sum()), np.int8)])
-    a, b = np.concatenate([a, keys[in_crowd]]), np.concatenate([b, ids[in_crowd]])
-    for k in range(0, len(a), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in (kind, a, b)], ["kind", "a", "b"])
-
-
-def candidates(ws: Workspace, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b) and crowd members (key, id) from sketched(id, keys, pivots, crowds)."""
+    first = np.repeat(ids[starts], sizes)
+    other = ids != first
+    parts = [(STAR, first[other], ids[other])]
+    for size in range(3, CROWD + 1):
+        rows = ids[starts[sizes == size][:, None] + np.arange(1, size)]
+        i, j = np.triu_indices(size - 1, 1)
+        parts.append((SMALL, rows[:, i].ravel(), rows[:, j].ravel()))
+    crowded = np.repeat((sizes > CROWD) | np.maximum.reduceat(many, starts), sizes)
+    parts.append((MEMBER, keys[crowded], ids[crowded]))
+    for kind, a, b in parts:
+        for k in range(0, len(a), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[k : k + 100_000]), kind, np.int8)), pa.array(a[k : k + 100_000]), pa.array(b[k : k + 100_000])], ["kind", "a", "b"])
+
+
+@dataclass
+class Candidates:
+    """stars and small: distinct pairs (a, b), a < b; crowds: members (key, id) of large bands; all stored but small."""
+
+    stars: DataFrame
+    small: DataFrame
+    crowds: DataFrame
+    tables: tuple[DataFrame, ...]
+
+
+def candidates(ws: Workspace, sketched: DataFrame) -> Candidates:
+    """What bands have in common, from sketched(id, keys, pivots, crowds)."""
     hot = F.array_contains("crowds", F.col("key"))
     bands = sketched.select("id", F.explode("keys").alias("key"), "crowds").select("key", "id", F.coalesce(hot, F.lit(False)).alias("many"))
-    found = ws.store(bands.repartition("key").sortWithinPartitions("key").mapInArrow(run_pairs, "kind byte, a long, b long"))
-    stars = sketched.select("id", F.explode("pivots").alias("p")).where("id <> p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
-    pairs = found.where("kind = 0").select("a", "b").union(stars).distinct()
-    crowds = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("id")).union(sketched.select(F.explode("crowds").alias("key"), "id")).distinct()
-    return pairs, crowds
+    found = ws.store(bands.repartition("key").sortWithinPartitions("key").mapInArrow(run_bands, "kind byte, a long, b long"))
+    batch = sketched.select("id", F.explode("pivots").alias("p")).where("id <> p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
+    stars = ws.store(found.where(f"kind = {STAR}").select("a", "b").union(batch).distinct())
+    inside = sketched.select(F.explode("crowds").alias("key"), "id")
+    crowds = ws.store(found.where(f"kind = {MEMBER}").select(F.col("a").alias("key"), F.col("b").alias("id")).union(inside).distinct())
+    small = found.where(f"kind = {SMALL}").select("a", "b").distinct()
+    return Candidates(stars, small, crowds, (found, stars, crowds))
+
+
+def between(pairs: DataFrame, part: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components; part(id, component) has the rows that are linked at all."""
+    at = lambda c: part.select(F.col("id").alias(c), F.col("component").alias(f"{c}_of"))
+    placed = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    return placed.where(F.coalesce("a_of", "a") != F.coalesce("b_of", "b")).select("a", "b")
 
 
 def near_signatures(pairs: DataFrame, signatures: DataFrame, setting: Setting) -> DataFrame:
@@ -189,36 +221,145 @@ def near_signatures(pairs: DataFrame, signatures: DataFrame, setting: Setting) -
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def crowd_pairs(crowds: DataFrame, component: DataFrame, signatures: DataFrame, setting: Setting) -> DataFrame:
-    """Pairs of a crowd's members in different components whose signatures allow the threshold.
+def crowd_pairs(ws: Workspace, crowds: DataFrame, part: DataFrame, texts: DataFrame, sets, setting: Setting) -> DataFrame:
+    """Pairs (a, b) of rows in crowds of several components that the exact prefix filter can't rule out.
 
-    Members outside a crowd's largest component meet all its members, block by block.
+    A set's shingles are ordered by how often they are among these rows, counted in BUCKETS hash buckets: any
+    order that is the same for all sets gives right results, one that puts rare shingles first gives few pairs.
     """
-    placed = crowds.join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    by = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
-    split = by.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    rows = placed.join(split.select("key", "all", "main.component", F.col("main.c").alias("most")).withColumnRenamed("component", "main"), "key").join(signatures, "id")
-    block = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    n, m = block(F.col("all")), block(F.col("all") - F.col("most"))
-    at = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    asks = rows.where("component <> main").select("key", "id", "component", "n", "sig", F.lit(True).alias("asks"), at(m).alias("i"), F.explode(F.sequence(F.lit(0), n - 1)).alias("j"))
-    told = rows.select("key", "id", "component", "n", "sig", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), m - 1)).alias("i"), at(n).alias("j"))
-    least, num, den = setting.least_matches(), setting.num, setting.den
+    member = crowds.join(part, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    several = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    rows = ws.store(member.join(several, "key", "left_semi").select("id", "component").distinct())
+    if rows.isEmpty():
+        return crowds.select(F.col("key").alias("a"), F.col("id").alias("b")).limit(0)
+    own = ws.store(wanted_only(texts, rows.select("id")).dropDuplicates(["id"]).join(rows, "id").select("id", "component", "text"))
+    shift, num, den = CODE_BITS - BUCKET_BITS, setting.num, setting.den
+
+    def count(batches):
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        for x in sliced(batches, 0):
+            codes, _, _ = sets(x.column(0).to_pylist())
+            total += np.bincount(codes >> shift, minlength=len(total))
+        at = np.flatnonzero(total)
+        for k in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 100_000].astype(np.int32)), pa.array(total[at[k : k + 100_000]])], ["bucket", "c"])
+
+    counted = own.select("text").mapInArrow(count, "bucket int, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
+    level = np.zeros(1 << BUCKET_BITS, np.uint8)
+    level[counted.column("bucket").to_numpy()] = 1 + (8 * np.log2(counted.column("c").to_numpy())).astype(np.int64).clip(0, 250)
+
+    def index(batches):
+        for x in sliced(batches, 2):
+            ids, component = (x.column(i).to_numpy() for i in (0, 1))
+            codes, borders, _ = sets(x.column(2).to_pylist())
+            n = np.diff(borders)
+            row = np.repeat(np.arange(len(n)), n)
+            rank = level[codes >> shift]
+            order = np.lexsort((codes, rank, row))
+            place = np.arange(len(codes)) - borders[row]
+            # a linked set shares ceil(n * num / den) of n, hence one of the others and one more; what is alone in its bucket has no partner
+            use = (place <= n[row] - (n[row] * num + den - 1) // den) & (rank[order] > 1)
+            row, place, code = row[use], place[use], codes[order][use]
+            for k in range(0, len(code), 100_000):
+                r = row[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(code[k : k + 100_000]), pa.array(ids[r]), pa.array(component[r]), pa.array(n[r]), pa.array(place[k : k + 100_000])], ["code", "id", "component", "n", "place"])
+
+    listed = ws.store(own.select("id", "component", "text").mapInArrow(index, "code long, id long, component long, n long, place long"))
+    # an entry needs a partner of another component, and one small enough for what is left of its set
+    room = (F.col("n") - F.col("place")) * (num + den) >= num * (F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * num / den)))
+    for _ in range(2):
+        open_ = listed.groupBy("code").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least"), F.count("*").alias("c")).where("lo <> hi").drop("lo", "hi")
+        kept = listed.drop("least", "c").join(open_, "code").where(room)
+        before, listed = listed, ws.store(kept)
+        ws.drop(before)
+    blocks = F.ceil(F.col("c") / F.lit(BLOCK)).cast("int")
+    own_block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = listed.select("code", "id", "component", "n", "place", blocks.alias("blocks")).withColumn("at", own_block)
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("code", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "id", "component", "n", "place")
+    found = dealt.repartition("code", "i", "j").sortWithinPartitions("code", "i", "j").mapInArrow(_joined(num, den), "a long, b long")
+    pairs = ws.store(found.distinct())
+    for table in (rows, own, listed):
+        ws.drop(table)
+    return pairs
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most AT_ONCE rows and about SLICE_BYTES of text in a column."""
+    for b in batches:
+        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(column)), 0), np.int64)) if b.num_rows else ()
+        at = 0
+        while at < b.num_rows:
+            end = int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, "right"))
+            end = min(max(end, at + 1), at + AT_ONCE)
+            yield b.slice(at, end - at)
+            at = end
+
+
+def _joined(num: int, den: int):
+    """From index entries sorted by (code, i, j) to the pairs that may be linked."""
+
+    def pairs(x: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        _, i, j, at, ids, component, n, place = x
+        na, nb = n[a], n[b]
+        ok = (component[a] != component[b]) & (np.minimum(na, nb) * den >= np.maximum(na, nb) * num)
+        ok &= (num + den) * np.minimum(na - place[a], nb - place[b]) >= num * (na + nb)
+        ok &= (i[a] == j[a]) | (at[a] != at[b])
+        a, b = ids[a[ok]], ids[b[ok]]
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def compared(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if not len(x[0]):
+            return
+        new = np.zeros(len(x[0]), bool)
+        new[0] = True
+        for c in x[:3]:
+            new[1:] |= c[1:] != c[:-1]
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.concatenate([starts, [len(new)]]))
+        out = []
+        for size in range(2, CROWD + 1):
+            first = starts[sizes == size]
+            i, j = np.triu_indices(size, 1)
+            step = max(1, ELEMENTS // len(i))
+            for k in range(0, len(first), step):
+                out.append(pairs(x, (first[k : k + step, None] + i).ravel(), (first[k : k + step, None] + j).ravel()))
+        for s, size in zip(starts[sizes > CROWD], sizes[sizes > CROWD]):
+            for k in range(s, s + size, step := max(1, ELEMENTS // int(size))):
+                some = np.arange(k, min(s + size, k + step))
+                a, b = np.repeat(some, s + size - k), np.tile(np.arange(k, s + size), len(some))
+                out.append(pairs(x, a[a < b], b[a < b]))
+        both = np.stack([np.concatenate(y) for y in zip(*out)], 1) if out else np.zeros((0, 2), np.int64)
+        both = np.unique(both, axis=0)
+        for k in range(0, len(both), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(both[k : k + 100_000, 0]), pa.array(both[k : k + 100_000, 1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        rows = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append([c.to_numpy() for c in b.columns])
+            rows += b.num_rows
+            if rows < 50_000:
+                continue
+            now = [np.concatenate(c) for c in zip(*held)]
+            same = np.ones(rows, bool)
+            for c in now[:3]:
+                same &= c == c[-1]
+            last = int(np.argmax(same))
+            yield from compared([c[:last] for c in now])
+            held, rows = [[c[last:] for c in now]], rows - last
+        if held:
+            yield from compared([np.concatenate(c) for c in zip(*held)])
+
+    return run
 
-    def compare(table: pa.Table) -> pa.Table:
-        ids, comp, size, asks = (table.column(c).to_numpy() for c in ("id", "component", "n", "asks"))
-        asks = np.array(asks, bool)
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
-        q, d = np.flatnonzero(asks), np.flatnonzero(~asks)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in q:
-            ok = (comp[d] != comp[i]) & (np.minimum(size[d], size[i]) * den >= np.maximum(size[d], size[i]) * num)
-            near = d[ok][(sig[d[ok]] == sig[i]).sum(1) >= least]
-            a.append(np.minimum(ids[near], ids[i]))
-            b.append(np.maximum(ids[near], ids[i]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return asks.union(told).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+def wanted_only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """texts(id, ...) whose ids are among wanted(id)."""
+    return touched(texts, wanted, "id")[0].join(wanted.select("id").distinct(), "id", "left_semi")
 
 
 def coded(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -238,6 +379,7 @@ def common_counts(codes: np.ndarray, borders: np.ndarray, many: int, a: np.ndarr
     at = 0
     while at < len(a):
         end = max(at + 1, int(np.searchsorted(load, (load[at - 1] if at else 0) + ELEMENTS, "right")))
+        end = min(end, at + AT_ONCE)
         sets, pair = np.concatenate([a[at:end], b[at:end]]), np.tile(np.arange(end - at), 2)
         n = size[sets]
         where = np.arange(int(n.sum())) + np.repeat(borders[sets] - np.cumsum(n) + n, n)
@@ -248,14 +390,12 @@ def common_counts(codes: np.ndarray, borders: np.ndarray, many: int, a: np.ndarr
 
 
 def verified(pairs: DataFrame, texts: DataFrame, sets: Callable[[list[str]], tuple[np.ndarray, np.ndarray, int]], setting: Setting) -> DataFrame:
-    """The pairs (u, v) that are linked by their full sets; texts(id, text) has each id of a pair once.
+    """The pairs (u, v) that are linked by their full sets; texts(id, text), best few others, has each id of a pair once.
 
     sets: from texts to their sets in the form of coded().
     """
     num, den = setting.num, setting.den
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    own = texts.join(wanted, "id", "left_semi")
-    both = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches):
         for x in batches:
@@ -269,3 +409,31 @@ def verified(pairs: DataFrame, texts: DataFrame, sets: Callable[[list[str]], tup
             yield pa.RecordBatch.from_arrays([x.column(0).filter(good), x.column(1).filter(good)], ["u", "v"])
 
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "u long, v long")
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+
+
+def linked(ws: Workspace, found: Candidates, signatures: DataFrame, texts: DataFrame, sets, setting: Setting, copies: DataFrame | None = None) -> DataFrame:
+    """Edges (u, v), stored, whose components are those of all links; found's tables are dropped.
+
+    signatures(id, n, sig) and texts(id, text) have each candidate once, or equal rows; copies(u, v): edges known beforehand.
+    """
+    near = ws.store(near_signatures(found.stars, signatures, setting))
+    own = ws.store(wanted_only(texts, ends(near)).dropDuplicates(["id"]))
+    edges = verified(near, own, sets, setting)
+    edges = ws.store(edges if copies is None else edges.union(copies))
+    ws.drop(near, own)
+    part = components(ws, edges)
+    crowded = crowd_pairs(ws, found.crowds, part, texts, sets, setting)
+    rest = ws.store(between(found.small, part).union(crowded).distinct())
+    near = ws.store(near_signatures(rest, signatures, setting))
+    ws.drop(rest, part, *found.tables)
+    if near.isEmpty():
+        ws.drop(near)
+        return edges
+    own = ws.store(wanted_only(texts, ends(near)).dropDuplicates(["id"]))
+    more = ws.store(verified(near, own, sets, setting).union(edges))
+    ws.drop(near, own, edges)
+    return more

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from kinloom.llm import linking
 from kinloom.llm.linking import Setting, mixed
-from kinloom.llm.shared import Workspace, bounded_batches, columns_checked, components
+from kinloom.llm.shared import Workspace, bounded_batches, columns_checked, components, touched
 
 WORDS_REMEMBERED = 500_000
 _KNOWN: dict[bytes, int] = {}
@@ -105,17 +105,16 @@ def near_duplicates(df: DataFrame, *, width: int = 5, setting: Setting = Setting
     least = known.groupBy("k1", "k2", "n").agg(F.min("id").alias("least"))
     copies = known.select("id", "k1", "k2", "n").join(least, ["k1", "k2", "n"]).where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v"))
     firsts = known.where("sig is not null")
-    pairs, crowds = linking.candidates(ws, firsts)
     signatures = firsts.select("id", "n", "sig").dropDuplicates(["id"])
     texts = docs.where("id is not null").select("id", "text")
-    repeated = ws.store(table.where("id is not null").groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id"))
-    if not repeated.isEmpty():
-        texts = texts.join(repeated, "id", "left_anti").unionByName(texts.join(repeated, "id", "left_semi").dropDuplicates(["id"]))
-    edges = linked(ws, (pairs, ws.store(crowds)), signatures, texts, partial(shingle_sets, width=width), setting, copies)
+    edges = linking.linked(ws, linking.candidates(ws, firsts), signatures, texts, partial(shingle_sets, width=width), setting, copies)
     part = components(ws, edges)
+    ws.drop(edges)
     placed = ws.store(table.select("id", "doc", "n").join(part, "id", "left").withColumn("of", F.coalesce("component", "id")).drop("component"))
+    ws.drop(table, part)
     lead = placed.where("id is not null").groupBy("of").agg(F.min(F.struct("doc", "id")).alias("lead"))
     rows = ws.store(placed.join(lead, "of", "left").select("id", "doc", "n", "of", F.col("lead.doc").alias("lead"), F.coalesce(F.col("id") == F.col("lead.id"), F.lit(True)).alias("first")))
+    ws.drop(placed)
     several = ws.store(rows.where("id is not null").groupBy("doc").agg(F.min("of").alias("a"), F.max("of").alias("b")).where("a <> b").select("doc"))
     component = F.col("lead")
     if not several.isEmpty():
@@ -133,25 +132,9 @@ def firsts(df: DataFrame, classes: DataFrame) -> DataFrame:
     key = "__neardup_key"
     known = classes.where("row_key is not null")
     rows = df.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
-    gone = known.where("not first").select(F.col("row_key").alias(key)).distinct()
-    repeated = known.where("first").groupBy(F.col("row_key").alias(key)).agg(F.count("*").alias("c")).where("c > 1").select(key)
-    rest = rows.join(gone, key, "left_anti")
-    one = rest.join(repeated, key, "left_semi").dropDuplicates([key])
-    return rest.join(repeated, key, "left_anti").unionByName(one).select(*df.columns)
-
-
-def linked(ws: Workspace, found: tuple[DataFrame, DataFrame], signatures: DataFrame, texts: DataFrame, sets, setting: Setting, copies: DataFrame | None = None) -> DataFrame:
-    """Edges (u, v), stored, whose components are those of all links.
-
-    found: candidate pairs and crowds; signatures(id, n, sig) and texts(id, text) have each candidate once;
-    copies(u, v): edges known beforehand.
-    """
-    pairs, crowds = found
-    near = ws.store(linking.near_signatures(pairs, signatures, setting))
-    edges = linking.verified(near, texts, sets, setting)
-    edges = ws.store(edges if copies is None else edges.union(copies))
-    part = components(ws, edges)
-    rest = ws.store(linking.crowd_pairs(crowds, part, signatures, setting).join(near, ["a", "b"], "left_anti"))
-    if rest.isEmpty():
-        return edges
-    return ws.store(linking.verified(rest, texts, sets, setting).union(edges))
+    # null: stays; True: one of equal rows stays; False: goes
+    marks = known.groupBy(F.col("row_key").alias(key)).agg(F.bool_and("first").alias("__first"), F.count("*").alias("c")).where("c > 1 or not __first").drop("c")
+    some, others = touched(rows, marks, key)
+    judged = some.join(marks, key, "left")
+    one = judged.where("__first").dropDuplicates([key])
+    return others.unionByName(judged.where("__first is null").unionByName(one).drop("__first")).select(*[f"`{c}`" for c in df.columns])

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from kinloom.functions.durable import Workspace, python_ready
 from kinloom.operators.graph import components
 
-__all__ = ["Workspace", "bounded_batches", "columns_checked", "components"]
+__all__ = ["Workspace", "bounded_batches", "columns_checked", "components", "touched"]
 
+#: Hash buckets of keys that may be broadcast.
+BUCKETS = 1 << 18
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 4000
 
@@ -27,3 +29,15 @@ def bounded_batches(spark: SparkSession) -> None:
 def columns_checked(df: DataFrame, needed: dict[str, str]) -> DataFrame:
     """Only the needed columns, cast to their types: extra columns, whatever their names, stay out of the way."""
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in needed.items()])
+
+
+def touched(rows: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """rows in two parts: all that may have one of keys(column), and others; rows without a key are among the others.
+
+    Only the keys' hash buckets, at most BUCKETS, are broadcast. Where few keys are wanted, most rows thus
+    need no shuffle for an exact join with them; where many are, nearly all rows are in the first part.
+    """
+    bucket = F.pmod(F.xxhash64(column), F.lit(BUCKETS)).alias("__bucket")
+    buckets = F.broadcast(keys.where(F.col(column).isNotNull()).select(bucket).distinct())
+    marked = rows.select("*", F.when(F.col(column).isNotNull(), bucket).alias("__bucket"))
+    return tuple(marked.join(buckets, "__bucket", how).drop("__bucket") for how in ("left_semi", "left_anti"))
