@@ -6,7 +6,7 @@ Edges are (i, j, dist). Every loop cuts its lineage by a stored table.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kinloom.functions.durable import Workspace, python_ready
@@ -21,12 +21,11 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star: a hub's neighbours are aggregated in parts and joined, so that
     no task holds a component; the rounds grow with the logarithm of the largest one. ws.drop() frees the result.
     """
-    now = ws.store(edges.where("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).select("u", "v").distinct())
-    mark = _mark(now)
+    now, mark = _marked(ws, edges.where("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).select("u", "v").distinct())
     while True:
-        after = ws.store(_small_star(_large_star(now)))
+        after, seen = _marked(ws, _small_star(_large_star(now)))
         ws.drop(now)
-        if (seen := _mark(after)) == mark:
+        if seen == mark:
             break
         now, mark = after, seen
     roots = after.select(F.col("v").alias("id")).distinct()
@@ -35,8 +34,12 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     return found
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)), F.coalesce(F.sum(F.xxhash64("v", "u") % 1000003), F.lit(0))).first())
+def _marked(ws: Workspace, edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """edges stored, and what tells whether they have changed."""
+    seen = Observation()
+    own = edges.observe(seen, F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x"), F.coalesce(F.sum(F.xxhash64("v", "u") % 1000003), F.lit(0)).alias("s"))
+    table = ws.store(own)
+    return table, (seen.get["n"], seen.get["x"], seen.get["s"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
