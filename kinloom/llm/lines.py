@@ -121,7 +121,7 @@ def batch_minima(lines: list[str], setting: Setting) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, setting: Setting) -> DataFrame:
-    """Each distinct line of a batch of docs(row, doc, text): id, set size n, signature, band keys, pivots, crowds, text, and where it stands (docs, rows, places)."""
+    """Each distinct line of a batch of docs(row, doc, text): id, signature, band keys, pivots, crowds, text, and where it stands (docs, rows, places)."""
 
     def run(batches):
         for batch in batches:
@@ -137,18 +137,14 @@ def sketched(docs: DataFrame, setting: Setting) -> DataFrame:
             own = [*where]
             ids = np.array([line_id(x) for x in own], np.int64)
             mins = batch_minima(own, setting) if own else np.zeros((0, setting.permutations), np.uint32)
-            parts = linking.combined(linking.band_keys(mins, setting), ids) if own else ([], [], [])
-            longs = pa.list_(pa.int64())
-            for k in range(0, len(own), linking.AT_ONCE):
-                some = slice(k, k + linking.AT_ONCE)
-                n = np.diff(shingle_sets(own[some])[1])
-                sig = [x.tobytes() for x in linking.signature(mins[some])]
-                at = [where[x] for x in own[some]]
-                columns = [pa.array(ids[some]), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), *(pa.array(x[some], longs) for x in parts), pa.array(own[some], pa.string())]
-                columns += [pa.array([x[0] for x in at], longs), pa.array([x[1] for x in at], longs), pa.array([x[2] for x in at], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "sig", "keys", "pivots", "crowds", "text", "docs", "rows", "places"])
-
-    schema = "id long, n long, sig binary, keys array<long>, pivots array<long>, crowds array<long>, text string, docs array<long>, rows array<long>, places array<int>"
+            parts = linking.combined(linking.band_keys(mins, setting), ids)
+            sig = [x.tobytes() for x in linking.signature(mins)]
+            at = [where[x] for x in own]
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x[0]) for x in at], dtype=np.int64)]).astype(np.int32))
+            spots = [pa.ListArray.from_arrays(offsets, pa.array([y for x in at for y in x[c]], kind)) for c, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sig, pa.binary()), *parts, pa.array(own, pa.string()), *spots], ["id", "sig", "keys", "pivots", "crowds", "text", "docs", "rows", "places"])
+
+    schema = "id long, sig binary, keys array<long>, pivots array<long>, crowds array<long>, text string, docs array<long>, rows array<long>, places array<int>"
     return docs.mapInArrow(run, schema)
 
 
@@ -162,7 +158,7 @@ def duplicate_lines(df: DataFrame, *, setting: Setting = LINES) -> DataFrame:
     ws = Workspace(spark, "lines")
     docs = columns_checked(df, {"doc_id": "long", "text": "string"}).select(row_key(F.col("doc_id"), F.col("text")).alias("row"), F.col("doc_id").alias("doc"), "text")
     table = ws.store(sketched(docs, setting))
-    edges = linking.linked(ws, linking.candidates(ws, table), table.select("id", "n", "sig").dropDuplicates(["id"]), table.select("id", "text"), shingle_sets, setting)
+    edges = linking.linked(ws, linking.candidates(ws, table), table.select("id", "sig", "text"), None, shingle_sets, setting)
     part = components(ws, edges)
     ws.drop(edges)
     placed = table.select("id", "docs", "rows", "places").join(part, "id", "left").select(F.coalesce("component", "id").alias("line"), "docs", "rows", "places")

@@ -5,8 +5,8 @@ band are candidates; a pair at the threshold itself shares none with a probabili
 document setting. Candidates whose signatures differ by more than chance allows are put aside (below
 1e-6 at the threshold), the rest are verified on their full sets.
 
-Only what joins components is verified. First each row of a band meets the band's first row; inside an
-Arrow batch the rows of a band beyond CROWD send one row for all of them to the shuffle. Then the other
+Only what joins components is verified. First each row of a band meets the band's first row, and in a large
+band a few neighbours; inside an Arrow batch the rows of a band beyond CROWD send one row for all of them to the shuffle. Then the other
 pairs of small bands whose ends are still in different components are tried. The rows of large bands that
 hold several components meet through an exact prefix filter: of each set only the rarest shingles are
 indexed, as many as two linked sets can't avoid to share, and pairs are formed only where size and place
@@ -30,10 +30,15 @@ from kinloom.llm.shared import Workspace, components, touched
 #: Kinds of rows that bands make.
 STAR, SMALL, MEMBER = 0, 1, 2
 CROWD = 16
+#: How far on in a larger band are the rows that a row meets besides the first.
+CHAIN = (1, 2)
+#: Band keys that a worker holds at once, about.
+KEYS_AT_ONCE = 2_000_000
 #: Rows of one group that are compared with each other in a task.
 BLOCK = 4000
 #: Hash buckets in which shingles of crowds are counted, as a power of two; the driver and the workers hold one byte of each.
 BUCKET_BITS = 20
+PARITY_BITS = 1024
 SLICE_BYTES = 1 << 21
 #: Elements of sets that are intersected at once.
 ELEMENTS = 2_000_000
@@ -102,10 +107,10 @@ def signature(mins: np.ndarray) -> np.ndarray:
     return (mixed(mins.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
 
 
-def combined(keys: np.ndarray, ids: np.ndarray) -> tuple[list, list, list]:
-    """What a batch's rows send: for each row its band keys, its pivots and the crowds it is in.
+def combined(keys: np.ndarray, ids: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """What a batch's rows send, as lists by row: band keys, pivots and the crowds they are in.
 
-    keys (rows, bands). Rows of one key beyond CROWD are linked to the key's first row, which alone sends the key, marked in its crowds.
+    keys (rows, bands). Rows of one key beyond CROWD + 1 don't send it: they are linked to the key's first row and some neighbours and marked in its crowd.
     """
     n, bands = keys.shape
     flat = keys.ravel()
@@ -113,64 +118,108 @@ def combined(keys: np.ndarray, ids: np.ndarray) -> tuple[list, list, list]:
     ordered = flat[order]
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, int)
     sizes = np.diff(np.concatenate([starts, [len(ordered)]]))
-    sent, pivots, crowds = np.ones(n * bands, bool), [[] for _ in range(n)], [[] for _ in range(n)]
-    for s, size in zip(starts[sizes > CROWD], sizes[sizes > CROWD]):
-        members = order[s : s + size]
-        sent[members[1:]] = False
-        first = ids[members[0] // bands]
-        for m in members.tolist():
-            crowds[m // bands].append(flat[m])
-            if ids[m // bands] != first:
-                pivots[m // bands].append(first)
-    sent = sent.reshape(n, bands)
-    return [k[s] for k, s in zip(keys, sent)], [sorted(set(p)) for p in pivots], crowds
+    large, size = starts[sizes > CROWD], sizes[sizes > CROWD]
+    member = np.repeat(large - np.cumsum(size) + size, size) + np.arange(size.sum())
+    at, place = order[member], np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    sent = np.ones(n * bands, bool)
+    sent[at[place > CROWD]] = False
+    row, first = at // bands, np.repeat(order[large] // bands, size)
+    near = [np.stack([row, first], 1)] + [np.stack([row[k:], row[:-k]], 1)[place[k:] >= k] for k in CHAIN]
+    star = np.concatenate(near)
+    star = np.unique(star[ids[star[:, 0]] != ids[star[:, 1]]], axis=0)
+    return (
+        lists(np.repeat(np.arange(n), bands)[sent], flat[sent], n),
+        lists(star[:, 0], ids[star[:, 1]], n),
+        lists(row, flat[at], n),
+    )
+
+
+def lists(row: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    """The list of values of each of n rows."""
+    order = np.argsort(row, kind="stable")
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[order].astype(np.int64)))
+
+
+def packed(buckets: int):
+    """From rows (id, keys) to the keys and ids of each hash bucket of a batch, in bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = np.repeat(b.column(0).to_numpy(), np.asarray(pc.list_value_length(b.column(1))))
+            to = (mixed(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(to, kind="stable")
+            keys, ids, to = keys[order], ids[order], to[order]
+            starts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, int)
+            for k in range(0, len(starts), 10_000):
+                cut = list(zip(starts[k : k + 10_000], np.append(starts, len(to))[k + 1 : k + 10_001]))
+                columns = [pa.array(to[starts[k : k + 10_000]]), *(pa.array([x[i:j].tobytes() for i, j in cut], pa.binary()) for x in (keys, ids))]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "keys", "ids"])
+
+    return run
 
 
 def run_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (key, id, many) sorted by key: (kind, a, b).
+    """From what packed() made, sorted by bucket: (kind, a, b).
 
-    STAR: a band's first row and another one; SMALL: two other rows of a band of at most CROWD; MEMBER: a larger band's key and a row.
+    STAR: a band's first row and another one, or, in a band of more than CROWD, neighbours in it; SMALL: two other rows of a band of at most CROWD; MEMBER: a larger band's key and a row.
     """
-    left = None
+    bucket, held, many = None, [], 0
     for b in batches:
-        now = [np.asarray(b.column(i)) for i in range(3)]
-        if left is not None:
-            now = [np.concatenate(x) for x in zip(left, now)]
-        if not len(now[0]):
-            continue
-        last = np.searchsorted(now[0], now[0][-1], "left")
-        left = [x[last:] for x in now]
-        yield from _bands(*(x[:last] for x in now))
-        if len(left[0]) > BLOCK:  # what came of a very large band is sent on; its first row stays
-            yield from _bands(*left)
-            least = int(np.argmin(left[1]))
-            left = [x[least : least + 1] for x in left]
-            left[2] = np.ones(1, bool)
-    if left is not None:
-        yield from _bands(*left)
-
-
-def _bands(keys: np.ndarray, ids: np.ndarray, many: np.ndarray) -> Iterator[pa.RecordBatch]:
-    order = np.lexsort((~many, ids, keys))
-    keys, ids, many = keys[order], ids[order], many[order]
-    if not len(keys):
-        return
-    keep = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])])
-    keys, ids, many = keys[keep], ids[keep], many[keep]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    sizes = np.diff(np.concatenate([starts, [len(keys)]]))
-    first = np.repeat(ids[starts], sizes)
-    other = ids != first
-    parts = [(STAR, first[other], ids[other])]
-    for size in range(3, CROWD + 1):
-        rows = ids[starts[sizes == size][:, None] + np.arange(1, size)]
-        i, j = np.triu_indices(size - 1, 1)
-        parts.append((SMALL, rows[:, i].ravel(), rows[:, j].ravel()))
-    crowded = np.repeat((sizes > CROWD) | np.maximum.reduceat(many, starts), sizes)
-    parts.append((MEMBER, keys[crowded], ids[crowded]))
-    for kind, a, b in parts:
-        for k in range(0, len(a), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[k : k + 100_000]), kind, np.int8)), pa.array(a[k : k + 100_000]), pa.array(b[k : k + 100_000])], ["kind", "a", "b"])
+        for now, *both in zip(*(c.to_pylist() for c in b.columns)):
+            if now != bucket and held:
+                yield from _bands(held)[0]
+                held, many = [], 0
+            bucket = now
+            held.append([np.frombuffer(x, np.int64) for x in both])
+            many += len(held[-1][0])
+            if many > 2 * KEYS_AT_ONCE:  # what came of very large bands is sent on, some rows of each stay
+                found, held = _bands(held, crowds_only=True)
+                yield from found
+                many = min(len(held[0][0]), KEYS_AT_ONCE)
+    if held:
+        yield from _bands(held)[0]
+
+
+def _bands(held: list, crowds_only: bool = False) -> tuple[Iterator[pa.RecordBatch], list]:
+    keys, ids = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    alone = np.ones(len(keys) + 1, bool)
+    alone[1:-1] = ordered[1:] != ordered[:-1]
+    shared = order[~(alone[:-1] & alone[1:])]
+    order = shared[np.lexsort((ids[shared], keys[shared]))]
+    k, i = keys[order], ids[order]
+    keep = np.ones(len(k), bool)
+    keep[1:] = (k[1:] != k[:-1]) | (i[1:] != i[:-1])
+    k, i = k[keep], i[keep]
+    starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, int)
+    sizes = np.diff(np.concatenate([starts, [len(k)]]))
+    crowd = np.repeat(sizes > CROWD, sizes)
+    first = np.repeat(i[starts], sizes) if len(k) else i
+    other = (i != first) & (crowd if crowds_only else True)
+    parts = [(STAR, first[other], i[other]), (MEMBER, k[crowd], i[crowd])]
+    for on in CHAIN:
+        same = crowd[on:] & (k[on:] == k[:-on])
+        parts.append((STAR, i[:-on][same], i[on:][same]))
+    for size in range(3, 0 if crowds_only else CROWD + 1):
+        rows = i[starts[sizes == size][:, None] + np.arange(1, size)]
+        x, y = np.triu_indices(size - 1, 1)
+        parts.append((SMALL, rows[:, x].ravel(), rows[:, y].ravel()))
+    if crowds_only:
+        drop = set(k[crowd & (np.arange(len(k)) - np.repeat(starts, sizes) > CROWD)].tolist())
+        rest = ~np.isin(keys, np.fromiter(drop, np.int64, len(drop)))
+        few = crowd & np.isin(k, np.fromiter(drop, np.int64, len(drop))) & (np.arange(len(k)) - np.repeat(starts, sizes) <= CROWD)
+        held = [[np.concatenate([keys[rest], k[few]]), np.concatenate([ids[rest], i[few]])]]
+
+    def sent():
+        for kind, a, b in parts:
+            for at in range(0, len(a), 100_000):
+                n = len(a[at : at + 100_000])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), pa.array(a[at : at + n]), pa.array(b[at : at + n])], ["kind", "a", "b"])
+
+    return sent(), held
 
 
 @dataclass
@@ -185,9 +234,9 @@ class Candidates:
 
 def candidates(ws: Workspace, sketched: DataFrame) -> Candidates:
     """What bands have in common, from sketched(id, keys, pivots, crowds)."""
-    hot = F.array_contains("crowds", F.col("key"))
-    bands = sketched.select("id", F.explode("keys").alias("key"), "crowds").select("key", "id", F.coalesce(hot, F.lit(False)).alias("many"))
-    found = ws.store(bands.repartition("key").sortWithinPartitions("key").mapInArrow(run_bands, "kind byte, a long, b long"))
+    buckets = 1 + sketched.select(F.sum(F.size("keys"))).first()[0] // KEYS_AT_ONCE if not sketched.isEmpty() else 1
+    bands = sketched.select("id", "keys").mapInArrow(packed(buckets), "bucket int, keys binary, ids binary")
+    found = ws.store(bands.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run_bands, "kind byte, a long, b long"))
     batch = sketched.select("id", F.explode("pivots").alias("p")).where("id <> p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
     stars = ws.store(found.where(f"kind = {STAR}").select("a", "b").union(batch).distinct())
     inside = sketched.select(F.explode("crowds").alias("key"), "id")
@@ -204,10 +253,11 @@ def between(pairs: DataFrame, part: DataFrame) -> DataFrame:
 
 
 def near_signatures(pairs: DataFrame, signatures: DataFrame, setting: Setting) -> DataFrame:
-    """The pairs (a, b) whose set sizes and signatures allow the threshold; signatures(id, n, sig)."""
+    """The pairs (a, b) whose set sizes, where known, and signatures allow the threshold; signatures(id, [n,] sig)."""
     least, num, den = setting.least_matches(), setting.num, setting.den
-    one = signatures.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    two = signatures.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+    size = F.col("n") if "n" in signatures.columns else F.lit(1)
+    one = signatures.select(F.col("id").alias("a"), size.alias("na"), F.col("sig").alias("sa"))
+    two = signatures.select(F.col("id").alias("b"), size.alias("nb"), F.col("sig").alias("sb"))
 
     def run(batches):
         for x in batches:
@@ -226,13 +276,15 @@ def crowd_pairs(ws: Workspace, crowds: DataFrame, part: DataFrame, texts: DataFr
 
     A set's shingles are ordered by how often they are among these rows, counted in BUCKETS hash buckets: any
     order that is the same for all sets gives right results, one that puts rare shingles first gives few pairs.
+    Pairs are formed where size and place leave room for the threshold, and so do the sets' parities: the
+    shingles' counts modulo two in PARITY_BITS buckets, which differ at most as often as the sets do.
     """
     member = crowds.join(part, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     several = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     rows = ws.store(member.join(several, "key", "left_semi").select("id", "component").distinct())
     if rows.isEmpty():
         return crowds.select(F.col("key").alias("a"), F.col("id").alias("b")).limit(0)
-    own = ws.store(wanted_only(texts, rows.select("id")).dropDuplicates(["id"]).join(rows, "id").select("id", "component", "text"))
+    own = ws.store(texts.join(rows, "id").select("id", "component", "text"))
     shift, num, den = CODE_BITS - BUCKET_BITS, setting.num, setting.den
 
     def count(batches):
@@ -271,16 +323,25 @@ def crowd_pairs(ws: Workspace, crowds: DataFrame, part: DataFrame, texts: DataFr
         open_ = listed.groupBy("code").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least"), F.count("*").alias("c")).where("lo <> hi").drop("lo", "hi")
         kept = listed.drop("least", "c").join(open_, "code").where(room)
         before, listed = listed, ws.store(kept)
+        kept = listed
         ws.drop(before)
+
+    def parities(batches):
+        for x in sliced(batches, 1):
+            codes, borders, _ = sets(x.column(1).to_pylist())
+            cell = np.repeat(np.arange(x.num_rows), np.diff(borders)) * PARITY_BITS + codes % PARITY_BITS
+            odd = (np.bincount(cell, minlength=x.num_rows * PARITY_BITS) & 1).astype(np.uint8).reshape(x.num_rows, PARITY_BITS)
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array([y.tobytes() for y in np.packbits(odd, 1)], pa.binary())], ["id", "parity"])
+
+    listed = listed.join(own.select("id", "text").mapInArrow(parities, "id long, parity binary"), "id")
     blocks = F.ceil(F.col("c") / F.lit(BLOCK)).cast("int")
     own_block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = listed.select("code", "id", "component", "n", "place", blocks.alias("blocks")).withColumn("at", own_block)
+    dealt = listed.select("code", "id", "component", "n", "place", "parity", blocks.alias("blocks")).withColumn("at", own_block)
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("code", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "id", "component", "n", "place")
+    dealt = dealt.select("code", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "id", "component", "n", "place", "parity")
     found = dealt.repartition("code", "i", "j").sortWithinPartitions("code", "i", "j").mapInArrow(_joined(num, den), "a long, b long")
     pairs = ws.store(found.distinct())
-    for table in (rows, own, listed):
-        ws.drop(table)
+    ws.drop(rows, own, kept)
     return pairs
 
 
@@ -300,11 +361,14 @@ def _joined(num: int, den: int):
     """From index entries sorted by (code, i, j) to the pairs that may be linked."""
 
     def pairs(x: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        _, i, j, at, ids, component, n, place = x
+        _, i, j, at, ids, component, n, place, parity = x
         na, nb = n[a], n[b]
         ok = (component[a] != component[b]) & (np.minimum(na, nb) * den >= np.maximum(na, nb) * num)
         ok &= (num + den) * np.minimum(na - place[a], nb - place[b]) >= num * (na + nb)
         ok &= (i[a] == j[a]) | (at[a] != at[b])
+        a, b = a[ok], b[ok]
+        apart = np.concatenate([np.zeros(0, np.int64)] + [np.bitwise_count(parity[a[k : k + 50_000]] ^ parity[b[k : k + 50_000]]).sum(1, dtype=np.int64) for k in range(0, len(a), 50_000)])
+        ok = (num + den) * apart <= (den - num) * (n[a] + n[b])
         a, b = ids[a[ok]], ids[b[ok]]
         return np.minimum(a, b), np.maximum(a, b)
 
@@ -340,7 +404,7 @@ def _joined(num: int, den: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            held.append([c.to_numpy() for c in b.columns])
+            held.append([c.to_numpy() for c in b.columns[:-1]] + [np.frombuffer(b"".join(b.column(8).to_pylist()), np.uint64).reshape(b.num_rows, -1)])
             rows += b.num_rows
             if rows < 50_000:
                 continue
@@ -415,25 +479,23 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
 
-def linked(ws: Workspace, found: Candidates, signatures: DataFrame, texts: DataFrame, sets, setting: Setting, copies: DataFrame | None = None) -> DataFrame:
+def linked(ws: Workspace, found: Candidates, signatures: DataFrame, texts: DataFrame | None, sets, setting: Setting, copies: DataFrame | None = None) -> DataFrame:
     """Edges (u, v), stored, whose components are those of all links; found's tables are dropped.
 
-    signatures(id, n, sig) and texts(id, text) have each candidate once, or equal rows; copies(u, v): edges known beforehand.
+    signatures(id, [n,] sig) has each candidate, and its text too where texts(id, text) is None; copies(u, v): edges known beforehand.
     """
-    near = ws.store(near_signatures(found.stars, signatures, setting))
-    own = ws.store(wanted_only(texts, ends(near)).dropDuplicates(["id"]))
-    edges = verified(near, own, sets, setting)
+    wanted = ends(found.stars).union(found.crowds.select("id")).union(ends(found.small)).distinct()
+    wanted = ws.store(wanted)
+    own = ws.store(wanted_only(signatures, wanted).dropDuplicates(["id"]))
+    text = own.select("id", "text") if texts is None else ws.store(wanted_only(texts, wanted).dropDuplicates(["id"]))
+    near = near_signatures(found.stars, own, setting)
+    edges = verified(near, text, sets, setting)
     edges = ws.store(edges if copies is None else edges.union(copies))
-    ws.drop(near, own)
     part = components(ws, edges)
-    crowded = crowd_pairs(ws, found.crowds, part, texts, sets, setting)
-    rest = ws.store(between(found.small, part).union(crowded).distinct())
-    near = ws.store(near_signatures(rest, signatures, setting))
-    ws.drop(rest, part, *found.tables)
-    if near.isEmpty():
-        ws.drop(near)
-        return edges
-    own = ws.store(wanted_only(texts, ends(near)).dropDuplicates(["id"]))
-    more = ws.store(verified(near, own, sets, setting).union(edges))
-    ws.drop(near, own, edges)
+    crowded = crowd_pairs(ws, found.crowds, part, text, sets, setting)
+    rest = between(found.small, part).union(crowded).distinct()
+    near = ws.store(near_signatures(rest, own, setting))
+    ws.drop(part, crowded, wanted, *found.tables)
+    more = edges if near.isEmpty() else ws.store(verified(near, text, sets, setting).union(edges))
+    ws.drop(near, own, text, *([] if more is edges else [edges]))
     return more

@@ -66,18 +66,19 @@ def sketched(df: DataFrame, width: int, setting: Setting) -> DataFrame:
                 if ids[i] is not None and c[2] and c not in seen:
                     seen.add(c)
                     own.append(i)
-            keys, pivots, crowds, sig = ([[]] * len(ids) for _ in range(3)), None, None, [None] * len(ids)
-            keys, pivots, crowds = ([[] for _ in ids] for _ in range(3))
-            if own:
-                mins = np.stack([linking.minima((sets[i] >> np.uint64(32)).astype(np.uint32), a, b) for i in own])
-                parts = linking.combined(linking.band_keys(mins, setting), np.array([ids[i] for i in own], np.int64))
-                raw = linking.signature(mins)
-                for at, i in enumerate(own):
-                    keys[i], pivots[i], crowds[i] = (p[at] for p in parts)
-                    sig[i] = raw[at].tobytes()
-            longs = pa.list_(pa.int64())
+            at = np.array(own, np.int64)
+            mins = np.stack([linking.minima((sets[i] >> np.uint64(32)).astype(np.uint32), a, b) for i in own]) if own else np.zeros((0, setting.permutations), np.uint32)
+            parts = linking.combined(linking.band_keys(mins, setting), np.array([ids[i] for i in own], np.int64))
+            # rows without a set of their own have empty lists
+            place = np.full(len(ids), len(own))
+            place[at] = np.arange(len(own))
+            empty = pa.array([[]], pa.list_(pa.int64()))
+            parts = [pa.concat_arrays([p, empty]).take(pa.array(place)) for p in parts]
+            sig = [None] * len(ids)
+            for i, x in zip(own, linking.signature(mins)):
+                sig[i] = x.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(k1), pa.array(k2), pa.array(keys, longs), pa.array(pivots, longs), pa.array(crowds, longs), pa.array(sig, pa.binary()), batch.column(2)],
+                [batch.column(0), pa.array(n), pa.array(k1), pa.array(k2), *parts, pa.array(sig, pa.binary()), batch.column(2)],
                 ["id", "n", "k1", "k2", "keys", "pivots", "crowds", "sig", "doc"],
             )
 
@@ -105,7 +106,7 @@ def near_duplicates(df: DataFrame, *, width: int = 5, setting: Setting = Setting
     least = known.groupBy("k1", "k2", "n").agg(F.min("id").alias("least"))
     copies = known.select("id", "k1", "k2", "n").join(least, ["k1", "k2", "n"]).where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v"))
     firsts = known.where("sig is not null")
-    signatures = firsts.select("id", "n", "sig").dropDuplicates(["id"])
+    signatures = firsts.select("id", "n", "sig")
     texts = docs.where("id is not null").select("id", "text")
     edges = linking.linked(ws, linking.candidates(ws, firsts), signatures, texts, partial(shingle_sets, width=width), setting, copies)
     part = components(ws, edges)

@@ -11,7 +11,7 @@ from kinloom.operators.graph import components
 __all__ = ["Workspace", "bounded_batches", "columns_checked", "components", "touched"]
 
 #: Hash buckets of keys that may be broadcast.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 22
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 4000
 
