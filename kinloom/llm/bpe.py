@@ -27,14 +27,18 @@ from tokenizers import Tokenizer
 
 from kinloom.llm.shared import bounded_batches, columns_checked
 
+UNSPELLED = "the vocabulary can't spell this word"
 #: Marks a word's last byte, as its symbol in the vocabulary differs from that inside a word.
 LAST = 0x1000
 #: Words whose ids a worker remembers; beyond it the memory is emptied and the ids found anew.
 REMEMBERED = 600_000
 #: Pairs whose compatibility a worker remembers.
 PAIRS_REMEMBERED = 400_000
-#: Characters on which this module's own splitting is known to agree with the library's.
-PLAIN = re.compile("[^\x00-\x1b\x20-˿‐-‧]")
+#: Texts with any of these characters are normalised and split by the library; on all others this module's own splitting agrees.
+ODD = re.compile("[^\x00-\x1b\x20-˿‐-‧]")
+#: Words that the vocabulary spells as they are.
+SHOWN = re.compile("[!-~]*")
+SPELLED = re.compile("[^\t-\r -~]")
 
 
 def byte_symbols() -> list[str]:
@@ -137,19 +141,22 @@ class WordBpe:
                     continue
                 open_ends[at] = 0
                 if last is None:
-                    raise ValueError("the vocabulary can't spell this word")
+                    raise ValueError(UNSPELLED)
                 out.pop()
                 at, token = at - size[last], last
                 break
+            if token is None and at < len(s):
+                raise ValueError(UNSPELLED)
+        if at < len(s):
+            raise ValueError(UNSPELLED)
         return tuple(out)
 
     def split(self, text: str) -> list[str]:
         """The words of a text without special tokens, spelled in the vocabulary's symbols."""
-        if PLAIN.search(text):
-            words = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
-            return words
+        if ODD.search(text):
+            return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
         found = self.words.findall(text.lower())
-        return found if text.isascii() else [w if w.isascii() else "".join(map(self.symbols.__getitem__, w.encode())) for w in found]
+        return [w if SHOWN.fullmatch(w) else "".join(map(self.symbols.__getitem__, w.encode())) for w in found] if SPELLED.search(text) else found
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text as little-endian unsigned 32-bit numbers."""
