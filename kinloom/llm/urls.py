@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinloom.functions.kmers import bound
+
 CELLS = 2048
 SIZES = (3, 4)
 FACTORS = (1009, 9176, 51749, 350377)
@@ -88,12 +90,16 @@ def parts(url: Column) -> tuple[Column, Column]:
 def _weights_of(codes: Column, n: int, salt: int, table: Column) -> Column:
     """Sum of the weights of all n-grams of an array of code points."""
 
-    def add(total, i):
-        cell = F.pmod(sum((F.get(codes, i + k) * FACTORS[k] for k in range(1, n)), F.get(codes, i) * FACTORS[0]) + F.lit(salt), F.lit(CELLS))
-        return total + F.get(table, cell.cast("int"))
-
     none = F.lit(0).cast("bigint")
-    return F.when(F.size(codes) >= n, F.aggregate(F.sequence(F.lit(0), F.size(codes) - n), none, add)).otherwise(none)
+
+    def added(codes: Column) -> Column:
+        def add(total, i):
+            cell = F.pmod(sum((F.get(codes, i + k) * FACTORS[k] for k in range(1, n)), F.get(codes, i) * FACTORS[0]) + F.lit(salt), F.lit(CELLS))
+            return total + F.get(table, cell.cast("int"))
+
+        return F.when(F.size(codes) >= n, F.aggregate(F.sequence(F.lit(0), F.size(codes) - n), none, add)).otherwise(none)
+
+    return bound(codes, added)
 
 
 def margin(host: Column, path: Column, model: tuple[int, tuple[int, ...]]) -> Column:
