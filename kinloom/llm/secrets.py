@@ -12,10 +12,11 @@ their owner; rows that repeat an id each come back, with spans of their own text
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinloom.llm.shared import Workspace
+from kinloom.functions.kmers import bound
+from kinloom.llm.shared import Workspace, touched
 
 COPIED_OWNERS, COPIED_DOCUMENTS = 3, 100
 KINDS = ("assign", "access", "hex", "token")
@@ -24,6 +25,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 TOKEN = r"[A-Za-z0-9_-]{20,}"
 LEAST_VALUE = 6
+#: Spans of a text that are put in place in one go.
+SPANS_AT_ONCE = 256
 _JOIN, _LIVE = ("__secrets_h1", "__secrets_h2"), "__secrets_live"
 
 
@@ -33,16 +36,30 @@ def spans(text: Column, kind: str, pattern: str, value_group: int = 0) -> Column
     values = F.regexp_extract_all(text, rx, F.lit(value_group))
     sizes = F.transform(F.regexp_extract_all(text, rx, F.lit(0)), F.length)
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    none = f"cast(array() as array<struct<start: int, kind_no: int, kind: string, end: int, value: string>>)"
+    one = "struct<start: int, kind_no: int, kind: string, end: int, value: string>"
+    none = F.expr(f"cast(array() as array<{one}>)")
     each = F.arrays_zip(gaps.alias("gap"), sizes.alias("size"), values.alias("value"))
 
     def step(state, x):
         start = state["at"] + x["gap"]
-        one = F.struct(start.alias("start"), F.lit(no).alias("kind_no"), F.lit(kind).alias("kind"), (start + x["size"]).alias("end"), x["value"].alias("value"))
-        return F.when(x["size"].isNull(), state).otherwise(F.struct((start + x["size"]).alias("at"), F.concat(state["out"], F.array(one)).alias("out")))
+        found = F.struct(start.alias("start"), F.lit(no).alias("kind_no"), F.lit(kind).alias("kind"), (start + x["size"]).alias("end"), x["value"].alias("value"))
+        return F.when(x["size"].isNull(), state).otherwise(F.struct((start + x["size"]).alias("at"), F.concat(state["out"], F.array(found)).alias("out")))
 
-    found = F.aggregate(each, F.struct(F.lit(0).alias("at"), F.expr(none).alias("out")), step, lambda s: s["out"])
-    return F.when(text.rlike(pattern), found).otherwise(F.expr(none))
+    def join(state, part):
+        moved = F.struct(state["at"].alias("at"), part["out"].alias("out"))
+        return F.struct((state["at"] + part["at"]).alias("at"), F.concat(state["out"], F.array(moved)).alias("out"))
+
+    def shifted(part):
+        return F.transform(part["out"], lambda x: F.struct((x["start"] + part["at"]).alias("start"), x["kind_no"].alias("kind_no"), x["kind"].alias("kind"), (x["end"] + part["at"]).alias("end"), x["value"].alias("value")))
+
+    # arrays grow by copying: places are summed up within blocks, then over the blocks
+    def located(found: Column) -> Column:
+        first = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / SPANS_AT_ONCE).cast("int"))
+        blocks = F.transform(first, lambda k: F.aggregate(F.slice(found, k * SPANS_AT_ONCE + 1, F.lit(SPANS_AT_ONCE)), F.struct(F.lit(0).alias("at"), none.alias("out")), step))
+        start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<struct<at: int, out: array<{one}>>>)").alias("out"))
+        return F.aggregate(blocks, start, join, lambda x: F.flatten(F.transform(x["out"], shifted)))
+
+    return F.when(text.rlike(pattern), bound(each, located)).otherwise(none)
 
 
 def _mixed_token(value: Column) -> Column:
@@ -81,19 +98,24 @@ def secrets(df: DataFrame, *, key: str = "doc_id", owner: str = "source", copied
 
 
 def _judged(df: DataFrame, key: str, owner: str, copied_owners: int) -> DataFrame:
-    """(key, h1, h2, base, added, live) of each row: a value is judged over the corpus, spans are those of the row's text."""
+    """(key, h1, h2, base, added, live) of each row: a value is judged over the corpus, spans are those of the row's text.
+
+    Candidates are rows of their own here, so that a text's many spans and values meet by sorting, not each with each.
+    """
     found = Workspace(df.sparkSession, "secrets").store(extracted(df, key, owner))
-    held = found.where("size(base) + size(token) > 0")
-    values = held.select("h1", "h2", F.explode(F.concat("base", "token")).alias("s")).select("h1", "h2", F.xxhash64("s.value").alias("h")).distinct()
-    known = values.join(ownership(found), "h").where((F.col("owners") < copied_owners) & (F.col("repositories") < COPIED_DOCUMENTS))
-    own = known.groupBy("h1", "h2").agg(F.collect_set("h").alias("live_h"), F.collect_set(F.when(F.col("owners") == 1, F.col("h"))).alias("single_h"))
-    rows = found.join(own, ["h1", "h2"], "left")
-    has = lambda hs: lambda s: F.coalesce(F.array_contains(hs, F.xxhash64(s["value"])), F.lit(False))
-    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    added = F.filter("token", lambda s: has("single_h")(s) & free(s))
-    rows = rows.withColumn("added", added)
-    live = F.filter(F.array_sort(F.concat("base", "added")), has("live_h"))
-    return rows.select("key", "h1", "h2", "base", "added", live.alias("live"))
+    each = found.where("size(base) + size(token) > 0").select("h1", "h2", F.explode(F.concat("base", "token")).alias("s")).distinct()
+    each = each.select("h1", "h2", "s", F.xxhash64("s.value").alias("h"))
+    is_token = F.col("s.kind_no") == KINDS.index("token")
+    known = each.join(ownership(found), "h").withColumn("alive", (F.col("owners") < copied_owners) & (F.col("repositories") < COPIED_DOCUMENTS))
+    text, base = Window.partitionBy("h1", "h2").orderBy("s.start", "s.end", "s.kind_no"), F.when(~is_token, F.col("s"))
+    before = F.max(base["end"]).over(text.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min(base["start"]).over(text.rowsBetween(1, Window.unboundedFollowing))
+    free = (F.coalesce(before, F.lit(0)) <= F.col("s.start")) & F.coalesce(after >= F.col("s.end"), F.lit(True))
+    known = known.withColumn("added", is_token & F.col("alive") & (F.col("owners") == 1) & free)
+    live = F.col("added") | (~is_token & F.col("alive"))
+    lists = known.where(F.col("added") | live).groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.when(F.col("added"), F.col("s")))).alias("added"), F.array_sort(F.collect_list(F.when(live, F.col("s")))).alias("live"))
+    none = F.slice("base", 1, 0)
+    return found.join(lists, ["h1", "h2"], "left").select("key", "h1", "h2", "base", F.coalesce("added", none).alias("added"), F.coalesce("live", none).alias("live"))
 
 
 def listed(of: Column) -> Column:
@@ -113,7 +135,8 @@ def digests(found: DataFrame, key: str = "doc_id") -> DataFrame:
 def masked(df: DataFrame, *, key: str = "doc_id", owner: str = "source", mask: str = "<secret>") -> DataFrame:
     """df with every live-looking span of its text replaced; all columns stay, copied examples stay too."""
     found = _judged(df, key, owner, COPIED_OWNERS).where("size(live) > 0").select(F.col("h1").alias(_JOIN[0]), F.col("h2").alias(_JOIN[1]), F.col("live").alias(_LIVE)).dropDuplicates([*_JOIN])
-    both = df.withColumns(dict(zip(_JOIN, _row_key(key)))).join(found, [*_JOIN], "left")
+    some, others = touched(df.withColumns(dict(zip(_JOIN, _row_key(key)))), found, _JOIN[0])
+    both = some.join(found, [*_JOIN], "left")
     text, live = F.col("text"), F.col(_LIVE)
 
     def step(state, s):
@@ -122,4 +145,5 @@ def masked(df: DataFrame, *, key: str = "doc_id", owner: str = "source", mask: s
         return F.when(s["end"] <= state["at"], state).otherwise(F.struct(s["end"].alias("at"), F.concat(state["out"], gap, F.when(s["start"] >= state["at"], F.lit(mask)).otherwise(F.lit(""))).alias("out")))
 
     new = F.aggregate(live, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return both.withColumn("text", F.when(live.isNull(), text).otherwise(new)).select(*df.columns)
+    names = [f"`{c}`" for c in df.columns]
+    return others.select(*names).unionByName(both.withColumn("text", F.when(live.isNull(), text).otherwise(new)).select(*names))
