@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 # fixed values: upper ends of the levels' distances
 LEVELS = ((0.001, "identical"), (0.005, "strain/subspecies"), (0.01, "strain"), (0.03, "species"), (0.1, "genus"), (0.2, "family"))
+# fixed values: the coarser levels of threshold candidates
+FOUR_LEVELS = ((0.01, "strain"), (0.03, "species"), (0.1, "genus"))
 
 
 def jaccard(c: Column, a: Column, b: Column) -> Column:
@@ -66,6 +68,11 @@ def min_common(a: Column, b: Column, t: float, k: int) -> Column:
     return F.ceil(F.lit(j / (1 + j)) * (a + b) - 1e-9)
 
 
+def reaches(c: Column, a: Column, b: Column, jaccard: float) -> Column:
+    """Whether a pair's Jaccard similarity reaches a bound, without a division."""
+    return c * (1 + jaccard) >= jaccard * (a + b)
+
+
 def ani_bucket(d: Column) -> Column:
     """Whole percents of identity, 0 to 100."""
     return F.greatest(F.lit(0), F.least(F.lit(100), F.floor((1 - d) * 100 + 1e-9))).cast("int")
@@ -76,9 +83,10 @@ def density_bucket(d: Column) -> Column:
     return F.ceil(d * 100 - 1e-9).cast("int")
 
 
-def level(d: Column) -> Column:
-    out = F.when(d < LEVELS[0][0], LEVELS[0][1])
-    for end, name in LEVELS[1:]:
+def level(d: Column, levels=None) -> Column:
+    levels = LEVELS if levels is None else levels
+    out = F.when(d < levels[0][0], levels[0][1])
+    for end, name in levels[1:]:
         out = out.when(d < end, name)
     return out.otherwise("higher")
 

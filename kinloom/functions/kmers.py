@@ -60,6 +60,39 @@ def canonical_kmers(sequence: Column, k: int, block: int = 256) -> Column:
     return F.transform(F.filter(every, lambda x: ~F.contains(x, F.lit("N"))), canonical)
 
 
+def mixed_dimension(x, bits: int, xor=lambda a, b: a.bitwiseXOR(b), right=lambda a, n: F.shiftright(a, n), low=lambda a, m: a.bitwiseAND(F.lit(m))):
+    """A fixed bijection of numbers of `bits` bits, at most 24: the order in which dimensions are taken."""
+    mask = (1 << bits) - 1
+    x = low(x * (0x9E3779B1 & mask | 1), mask)
+    x = xor(x, right(x, bits // 2))
+    return low(x * (0x85EBCA77 & mask | 1), mask)
+
+
+def dimension_hashes(kmers: Column, k: int, level: int) -> Column:
+    """Hashes of the canonical k-mers (k even, at most 28) whose middle falls into one of 16^-level of all dimensions.
+
+    The middle bases are the dimension; a kept k-mer's hash is its outer bases and the place of its dimension.
+    """
+    half, sub, outer = dimension_plan(k, level)
+
+    def one(x: Column) -> Column:
+        u = F.conv(F.translate(x, BASES, "0123"), 4, 10).cast("long")
+        place = mixed_dimension(F.shiftright(u, 2 * outer).bitwiseAND(F.lit((1 << 4 * sub) - 1)), 4 * sub)
+        rest = F.shiftright(u, 2 * outer + 4 * sub) * (1 << 2 * outer) + u.bitwiseAND(F.lit((1 << 2 * outer) - 1))
+        return F.struct(place.alias("place"), (rest * (1 << 4 * (sub - level)) + place).alias("hash"))
+
+    kept = F.filter(F.transform(kmers, one), lambda s: s["place"] < (1 << 4 * (sub - level)))
+    return F.array_sort(F.array_distinct(F.transform(kept, lambda s: s["hash"])))
+
+
+def dimension_plan(k: int, level: int) -> tuple[int, int, int]:
+    """Half of k, half the bases of a dimension, half the bases outside."""
+    half, sub = k // 2, 6 if level <= 4 else level + 2
+    if k % 2 or k > 28 or sub > min(half, 6):
+        raise ValueError("k must be even, from 12 to 28, and the level at most 4")
+    return half, sub, half - sub
+
+
 def sampled(hashes: Column, rate: int) -> Column:
     """The hashes divisible by `rate`: a share of the set that grows with it."""
     return F.filter(hashes, lambda h: h % rate == 0)

@@ -108,17 +108,47 @@ def pair_clusters(table: DataFrame, label_a: str, label_b: str) -> DataFrame:
     return by.select("cluster", "total", "count_a", "count_b", F.round(ratio, 6).alias("ratio_a"), mixed.alias("is_mixed"), balance.alias("balance"))
 
 
-def ancestor_at(spark, nodes: DataFrame, rank: str, most: int = 64) -> DataFrame:
-    """(id, ancestor): each taxon's nearest ancestor-or-self of a rank; nodes: id, parent, rank. Null where none is."""
-    at = nodes.select("id", F.when(F.col("rank") == rank, F.col("id")).alias("ancestor"), F.when((F.col("rank") != rank) & (F.col("id") != F.col("parent")), F.col("parent")).alias("next"))
+def ancestor_at(spark, nodes: DataFrame, rank: str) -> DataFrame:
+    """(id, ancestor): each taxon's nearest ancestor-or-self of a rank; nodes: id, parent, rank. Null where none is.
+
+    Pointer doubling: a round doubles the levels looked at, until no taxon looks further up.
+    """
     ws = Workspace(spark, "taxa")
-    up = at.select(F.col("id").alias("next"), F.col("ancestor").alias("a"), F.col("next").alias("n"))
-    for _ in range(most.bit_length()):  # pointer doubling: 2^rounds levels
-        at = ws.store(at.join(up, "next", "left").select("id", F.coalesce("ancestor", "a").alias("ancestor"), F.when(F.col("ancestor").isNull() & F.col("a").isNull(), F.col("n")).alias("next")))
+    at = nodes.select("id", F.when(F.col("rank") == rank, F.col("id")).alias("ancestor"), F.when((F.col("rank") != rank) & (F.col("id") != F.col("parent")), F.col("parent")).alias("next"))
+    at = ws.store(at)
+    for _ in range(64):  # a circle of parents would never end
+        if at.where("next is not null").isEmpty():
+            break
         up = at.select(F.col("id").alias("next"), F.col("ancestor").alias("a"), F.col("next").alias("n"))
+        after = ws.store(at.join(up, "next", "left").select("id", F.coalesce("ancestor", "a").alias("ancestor"), F.when(F.col("ancestor").isNull() & F.col("a").isNull(), F.col("n")).alias("next")))
+        ws.drop(at)
+        at = after
     return at.select("id", "ancestor")
 
 
+def rank_agreement(table: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """(cluster, label, c, dominant_label, agreement) of the labels of a cluster that aren't its dominant one.
+
+    ancestors(id, ancestor): the labels' taxa of a rank. agreement: same, different, or unknown where neither has one.
+    """
+    top = purity(table, 1).select("cluster", "dominant_label")
+    rest = table.join(top, "cluster").where("label <> dominant_label")
+    of = lambda c, name: ancestors.select(F.col("id").alias(c), F.col("ancestor").alias(name))
+    met = rest.join(of("label", "mine"), "label", "left").join(of("dominant_label", "theirs"), "dominant_label", "left")
+    verdict = F.when(F.col("mine").isNull() & F.col("theirs").isNull(), "unknown").when(F.col("mine").eqNullSafe(F.col("theirs")), "same").otherwise("different")
+    return met.select("cluster", "label", "c", "dominant_label", verdict.alias("agreement"))
+
+
+def pure(table: DataFrame, least: int = 2) -> DataFrame:
+    """(cluster, total, label) of clusters of `least` or more with a single label."""
+    return purity(table, least).where(F.col("dominant") == F.col("total")).select("cluster", "total", F.col("dominant_label").alias("label"))
+
+
+def widest_pairs(table: DataFrame, most: int) -> DataFrame:
+    """The `most` label pairs that share the most clusters, then members; ties by name."""
+    return cooccurrence(table).orderBy(F.desc("n_clusters"), F.desc("members"), "label_a", "label_b").limit(most)
+
+
 def status_counts(report: DataFrame, reps: DataFrame) -> DataFrame:
     """(status, n_reps, n_rest) of a report(accession, best_match_status) and reps(accession)."""
     marked = report.join(reps.select("accession").distinct().withColumn("r", F.lit(1)), "accession", "left")

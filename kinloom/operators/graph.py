@@ -116,6 +116,11 @@ def spanning_forest(ws: Workspace, edges: DataFrame) -> DataFrame:
     return forest if forest is not None else edges.select("i", "j", "dist").limit(0)
 
 
+def appended_forest(ws: Workspace, forest: DataFrame, edges: DataFrame) -> DataFrame:
+    """The forest of a grown table: the old forest and the edges that have a new end; the old other edges aren't needed."""
+    return spanning_forest(ws, forest.select("i", "j", "dist").unionByName(edges.select("i", "j", "dist")))
+
+
 def cut(forest: DataFrame, threshold: float) -> DataFrame:
     return forest.where(F.col("dist") <= threshold)
 

@@ -19,6 +19,11 @@ def by_size(sketches: DataFrame) -> DataFrame:
     return sketches.select("id", F.struct((-F.col("n")).alias("down"), F.col("id").alias("id")).alias("place"))
 
 
+def by_input(sketches: DataFrame) -> DataFrame:
+    """(id, place): the order of ids, as items came in."""
+    return sketches.select("id", F.struct(F.col("id").alias("id")).alias("place"))
+
+
 def representatives(ws: Workspace, order: DataFrame, edges: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
     """(id, rep): whether each item of order(id, place) is a representative under edges(i, j).
 
@@ -50,7 +55,7 @@ def assigned(order: DataFrame, edges: DataFrame, reps: DataFrame) -> DataFrame:
     return out.select("id", F.when(F.col("rep"), F.col("id")).otherwise(F.col("best.r")).alias("cluster"), F.when(F.col("rep"), 0.0).otherwise(F.col("best.dist")).alias("dist"))
 
 
-def greedy_clusters(ws: Workspace, sketches: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, cluster, dist) of all sketches under edges (i, j, dist), all within the threshold."""
-    order = ws.store(by_size(sketches))
+def greedy_clusters(ws: Workspace, sketches: DataFrame, edges: DataFrame, order=by_size) -> DataFrame:
+    """(id, cluster, dist) of all sketches under edges (i, j, dist), all within the threshold, in an order of the items."""
+    order = ws.store(order(sketches))
     return assigned(order, edges, representatives(ws, order, edges))

@@ -47,6 +47,13 @@ def cross_counts(queries: DataFrame, targets: DataFrame) -> DataFrame:
     return a.join(b, "hash").groupBy("q", "r", "n_q", "n_r").agg(F.count("*").alias("common"))
 
 
+def intersections(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(i, j, common) of given pairs (i, j), by intersecting their sorted arrays."""
+    own = lambda c: sets.select(F.col("id").alias(c), F.col("hashes").alias(f"h_{c}"))
+    met = pairs.select("i", "j").join(own("i"), "i").join(own("j"), "j")
+    return met.select("i", "j", F.size(F.array_intersect("h_i", "h_j")).cast("long").alias("common"))
+
+
 def edges(counts: DataFrame, k: int, *, metric: str = "mash", clamp: bool = True, threshold: float | None = None) -> DataFrame:
     """(i, j, dist), up to a distance if given; the least common count acts before any logarithm."""
     if threshold is not None and metric == "mash":

@@ -24,6 +24,18 @@ def kmer_sets(df: DataFrame, id: str, sequence: Column, k: int) -> DataFrame:
     return _sized(df.select(F.col(id).cast("long").alias("id"), hashes.alias("hashes")))
 
 
+def dimension_sets(df: DataFrame, id: str, sequence: Column, k: int, level: int) -> DataFrame:
+    """Sets of canonical k-mers sampled by dimension, a share of 16^-level of all."""
+    hashes = F.coalesce(kmers.dimension_hashes(kmers.canonical_kmers(sequence, k), k, level), F.array().cast("array<long>"))
+    return _sized(df.select(F.col(id).cast("long").alias("id"), hashes.alias("hashes")))
+
+
+def cardinalities(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group, n): about how many distinct hashes each group of groups(id, group) has, by merged HyperLogLog sketches."""
+    each = sets.select("id", F.explode("hashes").alias("h")).groupBy("id").agg(F.hll_sketch_agg("h", 12).alias("s"))
+    return each.join(groups, "id").groupBy("group").agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("n"))
+
+
 def grouped(sets: DataFrame) -> DataFrame:
     """One set for each id of many records (an item of several parts)."""
     each = sets.select("id", F.explode_outer("hashes").alias("h")).distinct()

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.functions import formulas
+from kinloom.functions.durable import Workspace
+from kinloom.operators.order import numbered
 
 TINY = 1e-10
 
 
 def ranked(forest: DataFrame) -> DataFrame:
-    """(dist, r, n): distances above zero in order. The order is global, so it is one sort of the forest's edges."""
+    """(dist, r, n): distances above zero with their places in the order of all."""
     own = forest.where(F.col("dist") > TINY).select(F.round("dist", 9).alias("dist"))
-    return own.withColumn("r", F.row_number().over(Window.orderBy("dist")) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
+    places, n = numbered(Workspace(forest.sparkSession, "ranks"), own, "dist")
+    return places.join(F.broadcast(n))
 
 
 def edge_stats(forest: DataFrame) -> DataFrame:
@@ -29,8 +32,8 @@ def gaps(forest: DataFrame, ratio: float = 0.05, most: int = 5) -> DataFrame:
     """(edge_index, threshold, gap): the widest steps between neighbouring distances above `ratio` of the range."""
     own = ranked(forest)
     wide = own.agg((F.max("dist") - F.min("dist")).alias("range"))
-    step = F.col("dist") - F.lag("dist").over(Window.orderBy("r"))
-    found = own.select("r", "dist", step.alias("gap")).join(F.broadcast(wide)).where(F.col("gap") > F.col("range") * ratio)
+    before = own.select((F.col("r") + 1).alias("r"), F.col("dist").alias("before"))
+    found = own.join(before, "r").select("r", "dist", (F.col("dist") - F.col("before")).alias("gap")).join(F.broadcast(wide)).where(F.col("gap") > F.col("range") * ratio)
     best = found.orderBy(F.desc("gap"), "r").limit(most)
     return best.select(F.col("r").cast("long").alias("edge_index"), F.round("dist", 6).alias("threshold"), F.round("gap", 6).alias("gap"), F.round(F.least(F.lit(1.0), 10 * F.col("gap") / F.col("range")), 6).alias("confidence"))
 
@@ -55,6 +58,18 @@ def candidates(forest: DataFrame, ratio: float = 0.05) -> list[dict]:
     return [{"threshold": t, "gap_score": g, "confidence": c, "level": level_name(t)} for t, g, c in sorted(found)]
 
 
+def report(forest: DataFrame, ratio: float = 0.05) -> list[str]:
+    """The lines of a threshold analysis: statistics, the chosen threshold, all candidates. Distances stay a table."""
+    stats, found = edge_stats(forest).first(), candidates(forest, ratio)
+    chosen = best(found, stats)
+    keep = stability(forest, chosen["threshold"])
+    number = lambda x: f"{x or 0:.6f}"
+    lines = ["# Automatic Threshold Selection Analysis", "# Based on MST Edge Length Distribution", "# ===========================================", "", "## Edge Length Statistics", f"Total edges: {stats.n}"]
+    lines += [f"{name}: {number(stats[c])}" for name, c in (("Min distance", "min_dist"), ("Max distance", "max_dist"), ("Mean distance", "mean"), ("Median distance", "median"), ("Q1 (25%)", "q1"), ("Q3 (75%)", "q3"), ("Standard deviation", "std"))]
+    lines += [f"Range: {number((stats.max_dist or 0) - (stats.min_dist or 0))}", "", "## Optimal Threshold (Recommended)", f"Threshold: {number(chosen['threshold'])}", f"Confidence: {chosen['confidence']:.3f}", f"Stability (overall): {keep['stability']:.3f}", f"Suggested level: {chosen['level']}", "", "## All Candidate Thresholds", "# Threshold\tConfidence\tLevel\tGap_Score"]
+    return lines + [f"{number(c['threshold'])}\t{c['confidence']:.3f}\t{c['level']}\t{number(c['gap_score'])}" for c in found]
+
+
 def level_name(d: float) -> str:
     return next((name for end, name in formulas.LEVELS if d < end), "higher")
 
@@ -76,9 +91,12 @@ def best(found: list[dict], stats=None) -> dict:
 
 
 def stability(forest: DataFrame, threshold: float) -> dict:
-    """How few forest edges change sides near a threshold: overall, split and merge consistency."""
-    near, width, low, high = 0, 0.01, threshold, threshold
-    while near < 100 and width <= threshold / 2:
+    """How few forest edges change sides near a threshold: overall, split and merge consistency.
+
+    The width around it grows from 0.01, or from half the threshold where that is less, until 100 edges are near.
+    """
+    near, width, low, high = 0, min(0.01, threshold / 2), threshold, threshold
+    while near < 100 and 0 < width <= threshold / 2:
         low, high = max(0.0, threshold - width), threshold + width
         near = forest.where(F.col("dist").between(low, high)).count()
         width *= 1.5

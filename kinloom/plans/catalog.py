@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.functions import formulas, kmers
-from kinloom.operators import community, dbscan, evaluate, graph, pairs, postprocess, sketch, thresholds, trees
+from kinloom.operators import community, dbscan, evaluate, graph, greedy, pairs, postprocess, sketch, thresholds, trees
 from kinloom.plans import oracle as sql
 from kinloom.plans import steps
-from kinloom.sources import clusterfile, simulate
+from kinloom.sources import clusterfile, simulate, tables
 from kinloom.streaming import repdb
 
 QUERIES: dict = {}
 _ORACLE: dict[str, str] = {}
-K, NEAR = steps.K, steps.NEAR
+K, SIZE, NEAR = steps.K, steps.SIZE, steps.NEAR
 
 
 def query(oracle: str | None = None):
@@ -92,6 +92,25 @@ def sketch_by_file(spark, sf_dir):
     return own.select("id", "n", F.array_min("hashes").alias("first"))
 
 
+@query(sql.BOTTOM_BY_FILE)
+def sketch_bottom_by_file(spark, sf_dir):
+    own = sketch.bottom(sketch.grouped(sketch.shingle_sets(steps.table(spark, sf_dir, "conversations"), "conv_id", "text", K)), SIZE)
+    return own.where("n > 0").select("id", "n", F.array_min("hashes").alias("first"), F.array_max("hashes").alias("last"))
+
+
+@query(sql.DIMENSIONS)
+def sketch_dimensions(spark, sf_dir):
+    own = sketch.dimension_sets(steps.table(spark, sf_dir, "documents"), "doc_id", kmers.bases(F.col("text")), 16, 1)
+    return own.select("id", "n", F.array_min("hashes").alias("first"), F.array_max("hashes").alias("last"))
+
+
+@query()
+def cardinalities(spark, sf_dir):
+    """Distinct shingles of each language, by merged HyperLogLog sketches."""
+    groups = steps.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("group"))
+    return sketch.cardinalities(steps.full_sets(spark, sf_dir), groups)
+
+
 # postings and pairs
 
 
@@ -147,6 +166,17 @@ def min_common(spark, sf_dir):
     return steps.counts(spark, sf_dir).where(F.col("common") >= least).select("i", "j", "common")
 
 
+@query(sql.base("SELECT i, j, common FROM pcs WHERE common * 1.5::DOUBLE >= 0.5::DOUBLE * (n_i + n_j)"))
+def jaccard_bound(spark, sf_dir):
+    """Pairs of a Jaccard similarity of 0.5 or more, told without a division."""
+    return steps.counts(spark, sf_dir).where(formulas.reaches(F.col("common"), F.col("n_i"), F.col("n_j"), 0.5)).select("i", "j", "common")
+
+
+@query(sql.base("SELECT i, j, common FROM pcs WHERE (i, j) IN (SELECT i, j FROM e WHERE dist <= 0.1)"))
+def array_intersections(spark, sf_dir):
+    return pairs.intersections(steps.near_edges(spark, sf_dir), steps.sketches(spark, sf_dir))
+
+
 @query(sql.base("SELECT id, rank, other, round(dist, 6) AS dist FROM (SELECT a AS id, row_number() OVER (PARTITION BY a ORDER BY dist, b)::INT AS rank, b AS other, dist FROM both_e) WHERE rank <= 3"))
 def topk_neighbors(spark, sf_dir):
     return rounded(pairs.nearest(steps.distances(spark, sf_dir), 3))
@@ -167,6 +197,11 @@ def level_labels(spark, sf_dir):
     return steps.distances(spark, sf_dir).groupBy(formulas.level(F.col("dist")).alias("level")).agg(F.count("*").alias("pairs"))
 
 
+@query(sql.base("SELECT CASE WHEN dist < 0.01 THEN 'strain' WHEN dist < 0.03 THEN 'species' WHEN dist < 0.1 THEN 'genus' ELSE 'higher' END AS level, count(*) AS pairs FROM e GROUP BY 1"))
+def four_levels(spark, sf_dir):
+    return steps.distances(spark, sf_dir).groupBy(formulas.level(F.col("dist"), formulas.FOUR_LEVELS).alias("level")).agg(F.count("*").alias("pairs"))
+
+
 @query(sql.base("SELECT round(jac, 6) AS jaccard, count(*) AS pairs FROM pj WHERE jac >= 0.5 GROUP BY 1"))
 def sql_functions(spark, sf_dir):
     """The formulas as SQL functions."""
@@ -185,7 +220,24 @@ def components(spark, sf_dir):
 
 @query(sql.forest("SELECT i, j, round(dist, 6) AS dist FROM msf"))
 def msf_edges(spark, sf_dir):
-    return rounded(steps.far_forest(spark, sf_dir))
+    return rounded(steps.forest(spark, sf_dir))
+
+
+@query(sql.forest("SELECT i, j, round(dist, 6) AS dist FROM msf"))
+def append_msf(spark, sf_dir):
+    """The forest of the documents whose id isn't divisible by 5, grown by the edges of the others: the forest of all."""
+    edges = steps.distances(spark, sf_dir)
+    old = steps.work(spark).store(graph.spanning_forest(steps.work(spark), edges.where("i % 5 <> 0 and j % 5 <> 0")))
+    return rounded(graph.appended_forest(steps.work(spark), old, edges.where("i % 5 = 0 or j % 5 = 0")))
+
+
+@query(sql.forest("SELECT i, j, round(dist, 6) AS dist FROM msf WHERE dist <= 0.2"))
+def recut_saved_forest(spark, sf_dir):
+    """A forest saved with its densities, loaded again and cut at another distance."""
+    where = f"{steps.work(spark).root}/saved"
+    tables.save(where, {"k": K}, forest=steps.forest(spark, sf_dir), density=pairs.density(steps.distances(spark, sf_dir)))
+    _, saved = tables.load(spark, where, "forest", "density")
+    return rounded(graph.cut(saved["forest"], 0.2))
 
 
 @query(sql.forest("SELECT i, j, round(dist, 6) AS dist FROM msf WHERE dist <= 0.1"))
@@ -193,9 +245,9 @@ def forest_edges(spark, sf_dir):
     return rounded(graph.cut(steps.forest(spark, sf_dir), NEAR))
 
 
-@query(sql.forest("SELECT component, row_number() OVER (PARTITION BY component ORDER BY dist, j, i) AS step, round(dist, 6) AS dist FROM msf JOIN (SELECT a AS i, min(b) AS component FROM reach_far GROUP BY a) USING (i)"))
+@query(sql.forest_reach("SELECT component, row_number() OVER (PARTITION BY component ORDER BY dist, j, i) AS step, round(dist, 6) AS dist FROM msf JOIN (SELECT a AS i, min(b) AS component FROM reach_e GROUP BY a) USING (i)"))
 def linkage_heights(spark, sf_dir):
-    return rounded(trees.linkage_heights(steps.work(spark), steps.far_forest(spark, sf_dir)))
+    return rounded(trees.linkage_heights(steps.work(spark), steps.forest(spark, sf_dir)))
 
 
 @query()
@@ -226,26 +278,26 @@ def tree_distances(spark, sf_dir):
 
 @query(sql.forest("SELECT CASE WHEN min(i) IS NULL THEN 0 ELSE count(*) END AS n, round(min(dist), 6) AS min_dist, round(max(dist) FILTER (r = n // 4), 6) AS q1, round((max(dist) FILTER (r = n // 2) + max(dist) FILTER (r = (n - 1) // 2)) / 2, 6) AS median, round(max(dist) FILTER (r = least(n - 1, 3 * n // 4)), 6) AS q3, round(max(dist), 6) AS max_dist, round(avg(dist), 6) AS mean, round(stddev_pop(dist), 6) AS std FROM ranked"))
 def edge_stats(spark, sf_dir):
-    return thresholds.edge_stats(steps.far_forest(spark, sf_dir))
+    return thresholds.edge_stats(steps.forest(spark, sf_dir))
 
 
 @query(sql.forest("SELECT r AS edge_index, round(dist, 6) AS threshold, round(gap, 6) AS gap, round(least(1.0, 10 * gap / range), 6) AS confidence FROM (SELECT *, dist - lag(dist) OVER (ORDER BY r) AS gap, max(dist) OVER () - min(dist) OVER () AS range FROM ranked) WHERE gap > range * 0.05 ORDER BY gap DESC, r LIMIT 5"))
 def gap_candidates(spark, sf_dir):
-    return thresholds.gaps(steps.far_forest(spark, sf_dir))
+    return thresholds.gaps(steps.forest(spark, sf_dir))
 
 
-@query()
+@query(sql.candidates("SELECT threshold, gap_score, confidence, level FROM candidates"))
 def threshold_candidates(spark, sf_dir):
     return frame(spark, thresholds.candidates(steps.forest(spark, sf_dir)), "threshold double, gap_score double, confidence double, level string")
 
 
-@query()
+@query(sql.candidates("SELECT threshold, gap_score, confidence, level FROM optimal"))
 def optimal_threshold(spark, sf_dir):
     forest = steps.forest(spark, sf_dir)
     return frame(spark, [thresholds.best(thresholds.candidates(forest), thresholds.edge_stats(forest).first())], "threshold double, gap_score double, confidence double, level string")
 
 
-@query()
+@query(sql.chosen_clusters("SELECT id, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM (SELECT doc_id AS id, coalesce(c, doc_id) AS cluster FROM documents LEFT JOIN (SELECT a AS doc_id, min(b) AS c FROM reach_auto GROUP BY a) USING (doc_id))"))
 def auto_threshold_clusters(spark, sf_dir):
     """Clusters at the threshold that the forest's gaps choose."""
     forest = steps.forest(spark, sf_dir)
@@ -253,9 +305,16 @@ def auto_threshold_clusters(spark, sf_dir):
     return graph.clusters(steps.work(spark), steps.sketches(spark, sf_dir), graph.cut(forest, best["threshold"]))
 
 
-@query()
+@query(sql.STABILITY)
 def stability(spark, sf_dir):
-    return frame(spark, [thresholds.stability(steps.forest(spark, sf_dir), NEAR)], "stability double, split double, merge double, near_edges long")
+    found = frame(spark, [thresholds.stability(steps.forest(spark, sf_dir), NEAR)], "stability double, split double, merge double, near_edges long")
+    return rounded(found, "stability", "split", "merge")
+
+
+@query()
+def threshold_report(spark, sf_dir):
+    """The analysis as numbered lines of text."""
+    return spark.createDataFrame(list(enumerate(thresholds.report(steps.forest(spark, sf_dir)))), "line long, text string")
 
 
 @query(sql.greedy("SELECT id FROM reps_all"))
@@ -263,21 +322,32 @@ def greedy_reps(spark, sf_dir):
     return steps.greedy_clusters(spark, sf_dir).where("id = cluster").select("id")
 
 
+@query(sql.greedy("SELECT id, cluster, round(dist, 6) AS dist FROM assigned", "doc_id"))
+def greedy_input_order(spark, sf_dir):
+    return rounded(greedy.greedy_clusters(steps.work(spark), steps.sketches(spark, sf_dir), steps.near_edges(spark, sf_dir), greedy.by_input))
+
+
 @query(sql.greedy("SELECT id, cluster, round(dist, 6) AS dist FROM assigned"))
 def greedy_assign(spark, sf_dir):
     return rounded(steps.greedy_clusters(spark, sf_dir))
 
 
-@query(sql.DBSCAN)
+@query(sql.dbscan("SELECT id, cluster, is_core, is_noise FROM placed"))
 def dbscan_labels(spark, sf_dir):
     return dbscan.dbscan(steps.work(spark), steps.sketches(spark, sf_dir), steps.near_edges(spark, sf_dir), min_points=3)
 
 
-@query()
+@query(sql.dbscan("SELECT id, cluster, is_core, is_noise FROM placed", "both_knn", 0))
 def dbscan_knn(spark, sf_dir):
     return dbscan.dbscan(steps.work(spark), steps.sketches(spark, sf_dir), steps.near_edges(spark, sf_dir), min_points=3, count_self=False, knn=5)
 
 
+@query(sql.dbscan(sql.DBSCAN_FILE))
+def dbscan_file(spark, sf_dir):
+    found = dbscan_labels(spark, sf_dir)
+    return clusterfile.density_lines(found.join(_named(spark, sf_dir), "id"), NEAR, 3)
+
+
 @query()
 def louvain(spark, sf_dir):
     return community.louvain(steps.work(spark), steps.sketches(spark, sf_dir), steps.near_edges(spark, sf_dir))
@@ -292,7 +362,8 @@ def leiden(spark, sf_dir):
 
 
 def _noise(spark, sf_dir):
-    return postprocess.noise(steps.clusters(spark, sf_dir), pairs.density_at(steps.distances(spark, sf_dir), NEAR))
+    wide = graph.clusters(steps.work(spark), steps.sketches(spark, sf_dir), graph.cut(steps.forest(spark, sf_dir), steps.WIDE))
+    return postprocess.noise(wide, pairs.density_at(steps.distances(spark, sf_dir), steps.WIDE))
 
 
 @query(sql.noise("SELECT id FROM noise"))
@@ -303,7 +374,7 @@ def noise_nodes(spark, sf_dir):
 @query(sql.noise("SELECT id, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM (SELECT id, coalesce(c, id) AS cluster FROM (SELECT doc_id AS id FROM documents) LEFT JOIN (SELECT a AS id, min(b) AS c FROM reach_clean GROUP BY a) USING (id))"))
 def noise_removed_components(spark, sf_dir):
     noisy = steps.work(spark).store(_noise(spark, sf_dir))
-    return postprocess.without_noise(steps.work(spark), steps.sketches(spark, sf_dir), graph.cut(steps.forest(spark, sf_dir), NEAR), noisy)
+    return postprocess.without_noise(steps.work(spark), steps.sketches(spark, sf_dir), graph.cut(steps.forest(spark, sf_dir), steps.WIDE), noisy)
 
 
 @query(sql.base("SELECT doc_id AS id, coalesce(c, doc_id) AS dup_group FROM documents LEFT JOIN (SELECT a AS doc_id, min(b) AS c FROM reach_dup GROUP BY a) USING (doc_id)"))
@@ -326,10 +397,18 @@ def representatives(spark, sf_dir):
     return postprocess.first_members(steps.clusters(spark, sf_dir))
 
 
+def _named(spark, sf_dir):
+    return steps.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("length"), F.col("source").alias("file"), F.col("lang").alias("name"), F.lit(None).cast("string").alias("comment"))
+
+
 @query(sql.CLUSTER_FILE)
 def cluster_file(spark, sf_dir):
-    docs = steps.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("length"), F.col("source").alias("file"), F.col("lang").alias("name"), F.lit(None).cast("string").alias("comment"))
-    return clusterfile.cluster_lines(steps.clusters(spark, sf_dir).join(docs, "id"))
+    return clusterfile.cluster_lines(steps.clusters(spark, sf_dir).join(_named(spark, sf_dir), "id"))
+
+
+@query(sql.base("SELECT cluster, size, row_number() OVER (ORDER BY size DESC, cluster) - 1 AS number FROM (SELECT cluster, count(*) AS size FROM cl GROUP BY cluster)"))
+def clusters_by_size(spark, sf_dir):
+    return clusterfile.by_size(steps.clusters(spark, sf_dir))
 
 
 # the database of representatives
@@ -347,7 +426,12 @@ def repdb_assign(spark, sf_dir):
 
 @query(sql.repdb("SELECT query, CASE WHEN ok THEN cluster END AS cluster, CASE WHEN ok THEN rep END AS rep, CASE WHEN ok THEN distance END AS distance, CASE WHEN ok THEN cluster_size ELSE 0 END AS cluster_size, CASE WHEN ok THEN 'assigned' ELSE 'novel' END AS status FROM (SELECT *, rank = 1 AND distance <= 0.1 AS ok FROM q5 WHERE rank <= 1)", queries="batch"))
 def append_assign(spark, sf_dir):
-    return steps.database(spark, sf_dir).assign(steps.sketches(spark, sf_dir).where("id % 5 = 0"))
+    return steps.database(spark, sf_dir, base=True).assign(steps.sketches(spark, sf_dir).where("id % 5 = 0"))
+
+
+@query(sql.repdb("SELECT query, CASE WHEN rank = 1 AND distance <= 0.1 THEN query || chr(9) || cluster || chr(9) || rep || chr(9) || printf('%.6f', distance) || chr(9) || cluster_size || chr(9) || 'assigned' ELSE query || chr(9) || '-1' || chr(9) || 'unassigned' || chr(9) || '-1' || chr(9) || '0' || chr(9) || 'novel' END AS text FROM q5 WHERE rank <= 1"))
+def repdb_assign_lines(spark, sf_dir):
+    return clusterfile.assignment_lines(repdb_assign(spark, sf_dir))
 
 
 @query(sql.repdb(sql.REPDB_STATS))
@@ -360,21 +444,21 @@ def repdb_histogram(spark, sf_dir):
     return steps.database(spark, sf_dir).size_histogram()
 
 
-@query()
+@query(sql.APPEND_GREEDY)
 def repdb_append_greedy(spark, sf_dir):
-    return steps.database(spark, sf_dir).append(steps.sketches(spark, sf_dir).where("id % 5 = 0")).members
+    return steps.database(spark, sf_dir, base=True).append(steps.sketches(spark, sf_dir).where("id % 5 = 0")).members
 
 
 @query()
 def repdb_append_mst(spark, sf_dir):
-    return steps.database(spark, sf_dir, "mst").append(steps.sketches(spark, sf_dir).where("id % 5 = 0")).members
+    return steps.database(spark, sf_dir, "mst", base=True).append(steps.sketches(spark, sf_dir).where("id % 5 = 0")).members
 
 
 @query()
 def repdb_stream(spark, sf_dir):
     """Sketches as a stream of files, appended to a stored database by micro-batches."""
     ws = steps.work(spark)
-    steps.database(spark, sf_dir).save(f"{ws.root}/db")
+    steps.database(spark, sf_dir, base=True).save(f"{ws.root}/db")
     source = steps.sketches(spark, sf_dir)
     stream = spark.readStream.schema(source.schema).parquet(source.stored_at).where("id % 5 = 0")
     repdb.append_stream(stream, f"{ws.root}/db", f"{ws.root}/stream").trigger(availableNow=True).start().awaitTermination()
@@ -428,6 +512,28 @@ def purity_outliers(spark, sf_dir):
     return evaluate.outliers(steps.clusters(spark, sf_dir), steps.truth(spark, sf_dir, "source"))
 
 
+@query(sql.labels("SELECT cluster, total, dominant_label AS label FROM top WHERE total >= 2 AND n_labels = 1"))
+def pure_clusters(spark, sf_dir):
+    return evaluate.pure(_table(spark, sf_dir))
+
+
+@query(sql.labels(f"SELECT * FROM ({sql.COOCCURRENCE}) ORDER BY n_clusters DESC, members DESC, label_a, label_b LIMIT 5", "source"))
+def widest_label_pairs(spark, sf_dir):
+    return evaluate.widest_pairs(_table(spark, sf_dir, "source"), 5)
+
+
+@query(sql.labels("SELECT t.cluster, t.label, t.c, dominant_label, CASE WHEN x.n_regionkey = y.n_regionkey THEN 'same' ELSE 'different' END AS agreement FROM tab t JOIN top USING (cluster) JOIN nation x ON x.n_nationkey = t.label JOIN nation y ON y.n_nationkey = dominant_label WHERE t.label <> dominant_label", "doc_id % 25"))
+def rank_agreement(spark, sf_dir):
+    """Whether a cluster's other labels are of the dominant one's kin: nations as labels, regions as the rank above."""
+    nations, regions = steps.table(spark, sf_dir, "nation"), steps.table(spark, sf_dir, "region")
+    up = lambda key: (1000 + F.col(key)).cast("long")
+    nodes = nations.select(F.col("n_nationkey").cast("long").alias("id"), up("n_regionkey").alias("parent"), F.lit("nation").alias("rank"))
+    nodes = nodes.union(regions.select(up("r_regionkey"), up("r_regionkey"), F.lit("region")))
+    labels = steps.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 25).alias("label"))
+    table = steps.work(spark).store(evaluate.contingency(steps.clusters(spark, sf_dir), labels))
+    return evaluate.rank_agreement(table, evaluate.ancestor_at(spark, nodes, "region"))
+
+
 @query()
 def matched_labels(spark, sf_dir):
     return evaluate.matched_labels(steps.work(spark), _table(spark, sf_dir, "source"))

@@ -11,8 +11,8 @@ from kinloom.functions.durable import Workspace
 from kinloom.operators import graph, greedy, pairs, sketch
 from kinloom.streaming import repdb
 
-#: Words of a shingle, hashes of a sketch, the clusters' distance, the largest distance of stored edges.
-K, SIZE, NEAR, FAR = 5, 200, 0.1, 0.2
+#: Words of a shingle, hashes of a sketch, the clusters' distance, the distance at which noise is looked for.
+K, SIZE, NEAR, WIDE = 5, 200, 0.1, 0.5
 
 _STORED: dict[tuple, DataFrame] = {}
 
@@ -58,14 +58,9 @@ def distances(spark, sf_dir):
     return pairs.edges(counts(spark, sf_dir), K)
 
 
-@stored
-def far_edges(spark, sf_dir):
-    return pairs.edges(counts(spark, sf_dir), K, threshold=FAR)
-
-
 @stored
 def near_edges(spark, sf_dir):
-    return graph.cut(far_edges(spark, sf_dir), NEAR)
+    return pairs.edges(counts(spark, sf_dir), K, threshold=NEAR)
 
 
 @stored
@@ -74,11 +69,6 @@ def forest(spark, sf_dir):
     return graph.spanning_forest(work(spark), distances(spark, sf_dir))
 
 
-def far_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The forest up to FAR, for the queries whose SQL ends there."""
-    return graph.cut(forest(spark, sf_dir), FAR)
-
-
 @stored
 def clusters(spark, sf_dir):
     return graph.clusters(work(spark), sketches(spark, sf_dir), graph.cut(forest(spark, sf_dir), NEAR))
@@ -102,10 +92,11 @@ def base_clusters(spark, sf_dir):
     return greedy.greedy_clusters(work(spark), base, edges)
 
 
-def database(spark: SparkSession, sf_dir: str, kind: str = "greedy") -> repdb.RepDB:
-    """Representatives of the documents whose id isn't divisible by 5."""
-    base = sketches(spark, sf_dir).where("id % 5 <> 0")
-    return repdb.build(base, base_clusters(spark, sf_dir), k=K, threshold=NEAR, kind=kind)
+def database(spark: SparkSession, sf_dir: str, kind: str = "greedy", *, base: bool = False) -> repdb.RepDB:
+    """Representatives of all documents; base: of those whose id isn't divisible by 5, for an append of the others."""
+    if base:
+        return repdb.build(sketches(spark, sf_dir).where("id % 5 <> 0"), base_clusters(spark, sf_dir), k=K, threshold=NEAR, kind=kind)
+    return repdb.build(sketches(spark, sf_dir), greedy_clusters(spark, sf_dir), k=K, threshold=NEAR, kind=kind)
 
 
 @stored

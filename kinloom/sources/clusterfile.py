@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinloom.functions.durable import Workspace
+from kinloom.operators.order import numbered
+
 
 def cluster_lines(members: DataFrame, *, threshold: float | None = None) -> DataFrame:
     """(cluster, text): each cluster as a block of text, from members(cluster, id, length, file, name, comment).
@@ -20,8 +23,9 @@ def cluster_lines(members: DataFrame, *, threshold: float | None = None) -> Data
     line = F.format_string("\t%d\t%d\t%dnt\t%s\t%s\t%s", place, "id", F.coalesce("length", F.lit(0)), fill("file"), fill("name"), fill("comment"))
     rows = members.select("cluster", "id", place.alias("place"), line.alias("line"))
     blocks = rows.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda s: s["line"]).alias("lines"))
-    number = F.row_number().over(Window.orderBy("cluster")) - 1
-    out = blocks.select(number.cast("long").alias("cluster"), F.concat(F.lit("the cluster "), number.cast("string"), F.lit(" is: \n"), F.array_join("lines", "\n"), F.lit("\n")).alias("text"))
+    numbers, _ = numbered(Workspace(members.sparkSession, "clusterfile"), blocks, "cluster", name="number")
+    number = F.col("number")
+    out = numbers.select(number.cast("long").alias("cluster"), F.concat(F.lit("the cluster "), number.cast("string"), F.lit(" is: \n"), F.array_join("lines", "\n"), F.lit("\n")).alias("text"))
     if threshold is None:
         return out
     head = blocks.agg(F.lit(-1).cast("long").alias("cluster"), F.format_string("# Clustering threshold: %.6f\n# Total clusters: %d\n#", F.lit(float(threshold)), F.count("*")).alias("text"))
@@ -33,6 +37,34 @@ def write_clusters(members: DataFrame, path: str, *, threshold: float | None = N
     cluster_lines(members, threshold=threshold).orderBy("cluster").select("text").write.text(path)
 
 
+def density_lines(members: DataFrame, eps: float, min_points: int) -> DataFrame:
+    """(cluster, text) of density clusters, from members(cluster, id, length, file, name, comment, is_noise): a head with cluster -1,
+    the clusters by their smallest core, then each noise item as a cluster of its own."""
+    far = F.lit(1 << 62)
+    placed = members.withColumn("cluster", F.when(F.col("is_noise"), F.col("id") + far).otherwise(F.col("cluster")))
+    head = members.agg(F.lit(-1).cast("long").alias("cluster"), F.format_string("# DBSCAN clustering parameters: eps=%.6f, minPts=%d\n# Total clusters: %d\n# Total noise points (outliers): %d\n#", F.lit(float(eps)), F.lit(min_points), F.count_distinct("cluster"), F.count_if("is_noise")).alias("text"))
+    return head.union(cluster_lines(placed))
+
+
+def by_size(clustered: DataFrame) -> DataFrame:
+    """(cluster, size, number): clusters numbered from 0, larger ones first, then by their names."""
+    sizes = clustered.groupBy("cluster").agg(F.count("*").alias("size"))
+    return numbered(Workspace(clustered.sparkSession, "clusterfile"), sizes, F.desc("size"), F.col("cluster"), name="number")[0].select("cluster", "size", "number")
+
+
+def accessions(spark: SparkSession, path: str, pattern: str = r"GC[AF]_\d+\.\d+") -> DataFrame:
+    """(cluster, accession): the names in a cluster file's lines that fit a pattern."""
+    blocks = spark.read.text(path, lineSep="the cluster ").select(F.regexp_extract("value", r"^(\d+) is:", 1).alias("cluster"), F.regexp_extract_all("value", F.lit(pattern), F.lit(0)).alias("found")).where("cluster <> ''")
+    return blocks.select(F.col("cluster").cast("long").alias("cluster"), F.explode("found").alias("accession"))
+
+
+def assignment_lines(assigned: DataFrame) -> DataFrame:
+    """Assignments as tab-separated lines; a novel query has cluster -1."""
+    own = F.format_string("%s\t%d\t%s\t%.6f\t%d\tassigned", F.col("query").cast("string"), "cluster", F.col("rep").cast("string"), "distance", "cluster_size")
+    none = F.concat(F.col("query").cast("string"), F.lit("\t-1\tunassigned\t-1\t0\tnovel"))
+    return assigned.select("query", F.when(F.col("status") == "novel", none).otherwise(own).alias("text"))
+
+
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:
     """(cluster, place, id, length, file, name, comment) of a cluster file; head lines and blanks are skipped."""
     blocks = spark.read.text(path, lineSep="the cluster ").select(F.regexp_extract("value", r"^(\d+) is:", 1).alias("cluster"), F.split("value", "\n").alias("lines")).where("cluster <> ''")

@@ -10,6 +10,7 @@ sketch size. kind "mst": items that match several clusters merge them, the neare
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,6 +20,7 @@ from kinloom.functions import formulas
 from kinloom.functions.durable import Workspace
 from kinloom.operators import greedy, pairs
 from kinloom.operators.graph import components
+from kinloom.operators.order import numbered
 from kinloom.sources import tables
 
 
@@ -62,9 +64,8 @@ class RepDB:
 
     def stats(self) -> DataFrame:
         """One row of totals, cluster sizes with quantiles by place, and sketch sizes."""
-        sizes = self.sizes().withColumn("r", F.row_number().over(Window.orderBy("cluster_size", "cluster")) - 1)
-        n = F.count("*").over(Window.partitionBy())
-        sizes = sizes.withColumn("n", n)
+        places, n = numbered(Workspace(self.spark, "repdb"), self.sizes(), "cluster_size", "cluster")
+        sizes = places.join(F.broadcast(n))
         at = lambda q, name: F.max(F.when(F.col("r") == F.least(F.col("n") - 1, F.floor(F.col("n") * q)), F.col("cluster_size"))).alias(name)
         own = sizes.agg(F.count("*").alias("clusters"), F.sum("cluster_size").alias("members"), F.min("cluster_size").alias("min_size"), F.max("cluster_size").alias("max_size"), F.round(F.avg("cluster_size"), 6).alias("mean_size"), at(0.5, "median_size"), at(0.9, "p90_size"), at(0.95, "p95_size"), at(0.99, "p99_size"), F.count_if(F.col("cluster_size") == 1).alias("singletons"))
         sketch = self.reps.agg(F.min("n").alias("min_sketch"), F.max("n").alias("max_sketch"), F.round(F.avg("n"), 6).alias("mean_sketch"))
@@ -85,14 +86,25 @@ class RepDB:
         return ws.store(self.hits(batch).where(F.col("distance") <= self.params["threshold"]))
 
     def _append_greedy(self, batch: DataFrame) -> RepDB:
+        """Items without an old representative near open clusters in the order of sketch size; each other item joins
+        the nearest of the old representatives and of the new ones before it, at equal distance an old one."""
         ws = Workspace(self.spark, "repdb")
-        known = self._near(ws, batch).groupBy("q").agg(F.min(F.struct("distance", "r")).alias("best"))
-        joined = ws.store(known.select(F.col("q").alias("id"), F.col("best.r").alias("rep")).join(self.reps.select("rep", "cluster"), "rep").select("id", "cluster"))
-        rest = ws.store(batch.join(joined.select("id"), "id", "left_anti").select("id", "hashes", "n"))
-        edges = ws.store(pairs.edges(pairs.pair_counts(rest), self.params["k"], metric=self.params["metric"], threshold=self.params["threshold"]))
-        new = ws.store(greedy.greedy_clusters(ws, rest, edges))
-        reps = rest.join(new.where("id = cluster").select("id"), "id", "left_semi").select(F.col("id").alias("rep"), F.col("id").alias("cluster"), "hashes", "n")
-        return RepDB(self.params, self.reps.unionByName(reps), self.members.unionByName(joined).unionByName(new.select("id", "cluster")))
+        near = self._near(ws, batch)
+        rest = ws.store(batch.join(near.select(F.col("q").alias("id")), "id", "left_anti").select("id", "hashes", "n"))
+        edges = ws.store(pairs.edges(pairs.pair_counts(batch), self.params["k"], metric=self.params["metric"], threshold=self.params["threshold"]))
+        among = edges.join(rest.select(F.col("id").alias("i")), "i", "left_semi").join(rest.select(F.col("id").alias("j")), "j", "left_semi")
+        new = ws.store(greedy.representatives(ws, ws.store(greedy.by_size(rest)), among).where("rep").select("id"))
+        order = greedy.by_size(batch)
+        both = edges.select(F.col("i").alias("id"), F.col("j").alias("r"), "dist").union(edges.select("j", "i", "dist")).join(new.select(F.col("id").alias("r")), "r", "left_semi")
+        later = both.join(order.withColumnsRenamed({"id": "r", "place": "p"}), "r").join(order, "id").where("p < place").select("id", "r", "dist", F.lit(1).alias("age"), F.col("p.down").alias("down"))
+        old = near.select(F.col("q").alias("id"), "r", F.col("distance").alias("dist"), F.lit(0).alias("age"), F.lit(0).cast("long").alias("down"))
+        best = old.unionByName(later).groupBy("id").agg(F.min(F.struct("dist", "age", "down", "r")).alias("best"))
+        of_rep = self.reps.select(F.col("rep").alias("r"), "cluster").union(new.select("id", F.col("id").alias("cluster")))
+        joined = best.join(new, "id", "left_anti").select("id", F.col("best.r").alias("r")).join(of_rep, "r").select("id", "cluster")
+        added = ws.store(joined.union(new.select("id", F.col("id").alias("cluster"))))
+        reps = rest.join(new, "id", "left_semi").select(F.col("id").alias("rep"), F.col("id").alias("cluster"), "hashes", "n")
+        ws.drop(near, edges)
+        return RepDB(self.params, self.reps.unionByName(reps), self.members.unionByName(added))
 
     def _append_mst(self, batch: DataFrame) -> RepDB:
         """New items, representatives and the pairs within the threshold form a graph; each of its components becomes one
@@ -116,21 +128,26 @@ class RepDB:
         return RepDB(self.params, reps, kept.unionByName(new.join(target.select("part", "cluster"), "part").select("id", "cluster")))
 
     def save(self, path: str) -> int:
-        """Write the next version under path and mark it; returns its number."""
-        number = max(versions(self.spark, path), default=0) + 1
-        tables.save(f"{path}/v{number}", self.params, reps=self.reps, members=self.members)
-        self.spark.createDataFrame([(number,)], "version long").coalesce(1).write.parquet(f"{path}/marks/{number}")
+        """Write the next version under path and mark it; returns its number.
+
+        Tables go to a folder of a name of its own, which the mark tells: what a failed save left is never met again.
+        """
+        number, folder = max(versions(self.spark, path), default=0) + 1, uuid.uuid4().hex
+        tables.save(f"{path}/{folder}", self.params, reps=self.reps, members=self.members)
+        self.spark.createDataFrame([(number, folder)], "version long, folder string").coalesce(1).write.parquet(f"{path}/marks/{folder}")
         return number
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the versions that are whole."""
+def versions(spark: SparkSession, path: str) -> dict[int, str]:
+    """Number and folder of each version that is whole, in order; of two writers of one number the smaller folder name counts."""
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/marks")
     files = where.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(where):
-        return []
+        return {}
     done = spark._jvm.org.apache.hadoop.fs.Path
-    return sorted(int(s.getPath().getName()) for s in files.listStatus(where) if files.exists(done(s.getPath(), "_SUCCESS")))
+    whole = [str(s.getPath()) for s in files.listStatus(where) if files.exists(done(s.getPath(), "_SUCCESS"))]
+    marks = spark.read.schema("version long, folder string").parquet(*whole).collect() if whole else []
+    return dict(sorted(((m.version, m.folder) for m in marks), key=lambda m: (m[0], m[1]), reverse=True))
 
 
 def build(sketches: DataFrame, clusters: DataFrame, *, k: int, threshold: float, metric: str = "mash", kind: str = "greedy", reps: DataFrame | None = None) -> RepDB:
@@ -142,8 +159,8 @@ def build(sketches: DataFrame, clusters: DataFrame, *, k: int, threshold: float,
 
 
 def load(spark: SparkSession, path: str, version: int | None = None) -> RepDB:
-    number = version or max(versions(spark, path))
-    params, found = tables.load(spark, f"{path}/v{number}", "reps", "members")
+    known = versions(spark, path)
+    params, found = tables.load(spark, f"{path}/{known[version or max(known)]}", "reps", "members")
     return RepDB(params, found["reps"], found["members"])
 
 
