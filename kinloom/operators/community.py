@@ -18,12 +18,14 @@ from kinloom.operators.graph import by_tree
 PASSES = 100
 
 
-def _local_moves(graph: dict, size: dict, total: float, resolution: float, cpm: bool) -> dict:
-    """Each node's community after moving single nodes to their best neighbouring one until none gains."""
-    community = {v: v for v in graph}
+def _local_moves(graph: dict, size: dict, total: float, resolution: float, cpm: bool, start: dict | None = None) -> dict:
+    """Each node's community after moving single nodes to their best neighbouring one until none gains, from single nodes or from start."""
+    community = {v: v for v in graph} if start is None else dict(start)
     degree = {v: sum(graph[v].values()) for v in graph}
     mass = {v: (size[v] if cpm else degree[v]) for v in graph}
-    inside = dict(mass)
+    inside: dict = defaultdict(float)
+    for v in graph:
+        inside[community[v]] += mass[v]
     for _ in range(PASSES):
         moved = False
         for v in sorted(graph):
@@ -58,24 +60,62 @@ def _pieces(graph: dict, community: dict) -> dict:
     return out
 
 
-def communities(edges: list[tuple[int, int, float]], total: float, resolution: float, cpm: bool, connected: bool) -> dict:
-    graph: dict = defaultdict(dict)
+def _refined(graph: dict, size: dict, resolution: float, community: dict) -> dict:
+    """Each community taken apart and merged anew: a single node that is well tied to its community joins the part of it,
+    itself well tied to the rest, that gains most. Parts are connected."""
+    all_in: dict = defaultdict(float)
+    for v in graph:
+        all_in[community[v]] += size[v]
+    part, members = {v: v for v in graph}, {v: 1 for v in graph}
+    mass = {v: size[v] for v in graph}
+    out = {v: sum(w for u, w in graph[v].items() if u != v and community[u] == community[v]) for v in graph}
+    for v in sorted(graph):
+        rest = all_in[community[v]] - size[v]
+        if part[v] != v or members[v] > 1 or out[v] < resolution * size[v] * rest:
+            continue
+        ties: dict = defaultdict(float)
+        for u, w in graph[v].items():
+            if u != v and community[u] == community[v]:
+                ties[part[u]] += w
+        best, gain = None, 0.0
+        for c in sorted(ties):
+            tied = out[c] >= resolution * mass[c] * (all_in[community[v]] - mass[c])
+            if tied and ties[c] - resolution * size[v] * mass[c] > gain + 1e-12:
+                best, gain = c, ties[c] - resolution * size[v] * mass[c]
+        if best is not None:
+            out[best] += out[v] - 2 * ties[best]
+            mass[best] += size[v]
+            members[best] += 1
+            part[v] = best
+    return part
+
+
+def communities(edges: list[tuple[int, int, float]], total: float, resolution: float, cpm: bool, refine: bool) -> dict:
+    """Each node's community, named by its smallest node; refine: levels are built from refined parts, communities are connected."""
+    whole: dict = defaultdict(dict)
     for i, j, w in edges:
-        graph[i][j] = graph[j][i] = w
+        whole[i][j] = whole[j][i] = w
+    graph, start = dict(whole), None
     size, label = {v: 1 for v in graph}, {v: v for v in graph}
     while True:
-        found = _local_moves(graph, size, total, resolution, cpm)
-        found = _pieces(graph, found) if connected else found
-        if len(set(found.values())) == len(graph):
+        found = _local_moves(graph, size, total, resolution, cpm, start)
+        done = len(set(found.values())) == len(graph)
+        parts = found if done or not refine else _refined(graph, size, resolution, found)
+        if not done and len(set(parts.values())) == len(graph):
+            parts = _pieces(graph, found)
+        if done or len(set(parts.values())) == len(graph):
             break
         above: dict = defaultdict(lambda: defaultdict(float))
         sizes: dict = defaultdict(int)
         for v, row in graph.items():
-            sizes[found[v]] += size[v]
+            sizes[parts[v]] += size[v]
             for u, w in row.items():
-                above[found[v]][found[u]] += w
-        label = {v: found[c] for v, c in label.items()}
+                above[parts[v]][parts[u]] += w
+        label = {v: parts[c] for v, c in label.items()}
+        start = {parts[v]: found[v] for v in graph} if refine else None
         graph, size = {v: dict(above[v]) for v in sizes}, sizes
+    label = {v: found[c] for v, c in label.items()}
+    label = _pieces(whole, label) if refine else label
     least: dict = {}
     for v, c in label.items():
         least[c] = min(v, least.get(c, v))
@@ -88,18 +128,35 @@ def louvain(ws: Workspace, nodes: DataFrame, edges: DataFrame, *, resolution: fl
 
 
 def leiden(ws: Workspace, nodes: DataFrame, edges: DataFrame, *, resolution: float = 0.5) -> DataFrame:
-    """(id, community) by the constant Potts model with unit nodes; communities are connected."""
+    """(id, community) by the constant Potts model with unit nodes, local moves and refinement; communities are connected.
+
+    Weights are spread over 0 to 1 where they range over less than a half.
+    """
     return _found(ws, nodes, edges, resolution, True, True)
 
 
-def _found(ws: Workspace, nodes: DataFrame, edges: DataFrame, resolution: float, cpm: bool, connected: bool) -> DataFrame:
+def sweep(ws: Workspace, nodes: DataFrame, edges: DataFrame, resolutions: list[float], *, find=leiden) -> DataFrame:
+    """(resolution, communities, largest, single): the same stored edges at several resolutions."""
+    out = None
+    for r in resolutions:
+        sizes = ws.store(find(ws, nodes, edges, resolution=r)).groupBy("community").agg(F.count("*").alias("c"))
+        row = sizes.agg(F.lit(float(r)).alias("resolution"), F.count("*").alias("communities"), F.max("c").alias("largest"), F.count_if(F.col("c") == 1).alias("single"))
+        out = row if out is None else out.union(row)
+    return out
+
+
+def _found(ws: Workspace, nodes: DataFrame, edges: DataFrame, resolution: float, cpm: bool, refine: bool) -> DataFrame:
     python_ready(ws.spark)
     edges = ws.store(edges.select("i", "j", "dist"))
-    total = 2 * (edges.agg(F.sum(1 - F.col("dist")).alias("w")).first().w or 1.0)
+    seen = edges.agg(F.sum(1 - F.col("dist")).alias("w"), F.min(1 - F.col("dist")).alias("low"), F.max(1 - F.col("dist")).alias("high")).first()
+    total, low, wide = 2 * (seen.w or 1.0), seen.low or 0.0, (seen.high or 0.0) - (seen.low or 0.0)
+    spread = refine and 1e-6 < wide < 0.5
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["j", "i"])
-        got = communities([*zip(rows["i"].tolist(), rows["j"].tolist(), (1 - rows["dist"]).tolist())], total, resolution, cpm, connected)
+        weight = 1 - rows["dist"]
+        weight = (weight - low) / wide if spread else weight
+        got = communities([*zip(rows["i"].tolist(), rows["j"].tolist(), weight.tolist())], total, resolution, cpm, refine)
         return pd.DataFrame({"id": [*got], "community": [*got.values()]})
 
     part = by_tree(ws, edges).groupBy("component").applyInPandas(run, "id long, community long")

@@ -348,14 +348,37 @@ def dbscan_file(spark, sf_dir):
     return clusterfile.density_lines(found.join(_named(spark, sf_dir), "id"), NEAR, 3)
 
 
+def _graph(spark, sf_dir):
+    """Edges of a graph for communities: sizes within a factor of two, nearer than the threshold."""
+    counts = steps.counts(spark, sf_dir).where("least(n_i, n_j) * 2 >= greatest(n_i, n_j)")
+    return pairs.edges(counts, K, threshold=NEAR).where(F.col("dist") < NEAR)
+
+
 @query()
 def louvain(spark, sf_dir):
-    return community.louvain(steps.work(spark), steps.sketches(spark, sf_dir), steps.near_edges(spark, sf_dir))
+    return community.louvain(steps.work(spark), steps.sketches(spark, sf_dir), _graph(spark, sf_dir))
 
 
 @query()
 def leiden(spark, sf_dir):
-    return community.leiden(steps.work(spark), steps.sketches(spark, sf_dir), steps.near_edges(spark, sf_dir))
+    return community.leiden(steps.work(spark), steps.sketches(spark, sf_dir), _graph(spark, sf_dir))
+
+
+@query()
+def leiden_sweep(spark, sf_dir):
+    """Communities of one saved graph at several resolutions."""
+    ws = steps.work(spark)
+    saved = f"{ws.root}/graph"
+    tables.save_graph(_graph(spark, sf_dir), saved)
+    return community.sweep(ws, steps.sketches(spark, sf_dir), tables.saved_graph(spark, saved), [0.1, 0.5, 0.9])
+
+
+@query(sql.base("SELECT i, j, round(1 - round(1 - dist, 6), 6) AS dist FROM e JOIN (SELECT id AS i, n AS ni FROM sz) USING (i) JOIN (SELECT id AS j, n AS nj FROM sz) USING (j) WHERE dist < 0.1 AND least(ni, nj) * 2 >= greatest(ni, nj)"))
+def saved_graph(spark, sf_dir):
+    """The graph for communities, written as text and read again."""
+    saved = f"{steps.work(spark).root}/graph"
+    tables.save_graph(_graph(spark, sf_dir), saved)
+    return rounded(tables.saved_graph(spark, saved))
 
 
 # after clustering

@@ -84,7 +84,7 @@ counted AS (SELECT k, greatest(0, 0.1::DOUBLE - w) AS lo, 0.1::DOUBLE + w AS hi,
 used AS MATERIALIZED (SELECT * FROM counted WHERE k = coalesce((SELECT min(k) FROM counted WHERE near >= 100), 4)),
 five AS (SELECT i, lo + (hi - lo) * i / 4 AS t, near FROM used, range(5) x(i)),
 keep AS (SELECT i, t, near, 1 - (SELECT count(*) FROM msf WHERE dist > least(t, 0.1::DOUBLE) AND dist <= greatest(t, 0.1::DOUBLE)) / near AS k FROM five)
-SELECT round(least(a, b), 6) AS stability, round(a, 6) AS split, round(b, 6) AS merge, near AS near_edges FROM (SELECT coalesce(avg(k) FILTER (t < 0.1::DOUBLE), 0.5) AS a, coalesce(avg(k) FILTER (t > 0.1::DOUBLE), 0.5) AS b, max(near) AS near FROM keep)"""
+SELECT CASE WHEN near = 0 THEN 1 ELSE round(least(a, b), 6) END AS stability, CASE WHEN near = 0 THEN 1 ELSE round(a, 6) END AS split, CASE WHEN near = 0 THEN 1 ELSE round(b, 6) END AS merge, near AS near_edges FROM (SELECT coalesce(avg(k) FILTER (t < 0.1::DOUBLE), 0.5) AS a, coalesce(avg(k) FILTER (t > 0.1::DOUBLE), 0.5) AS b, max(near) AS near FROM keep)"""
 
 
 def forest_reach(select: str) -> str:

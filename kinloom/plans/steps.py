@@ -25,12 +25,29 @@ def work(spark: SparkSession) -> Workspace:
     return Workspace(spark, "plans")
 
 
+def contents(spark: SparkSession, sf_dir: str) -> tuple:
+    """What tells whether a folder's tables are still the same: their files' names, sizes and times."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((str(f.getPath()), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
+def forget(spark: SparkSession) -> None:
+    """Drop all stored steps of a session."""
+    for key in [k for k in _STORED if k[0] == spark.sparkContext.applicationId]:
+        work(spark).drop(_STORED.pop(key))
+
+
 def stored(step):
-    """Store a step's table once for each session and folder, as an index that later queries read."""
+    """Store a step's table once for each session and state of a folder, as an index that later queries read."""
 
     @wraps(step)
     def once(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, step.__name__, sf_dir)
+        key = (spark.sparkContext.applicationId, step.__name__, contents(spark, sf_dir))
         if key not in _STORED:
             _STORED[key] = work(spark).store(step(spark, sf_dir))
         return _STORED[key]

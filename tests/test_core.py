@@ -180,3 +180,108 @@ def test_planted_clusters_are_found(spark, ws):
     sets = ws.store(sketch.kmer_sets(own, "id", F.col("sequence"), 15))
     found = graph.clusters(ws, sets, ws.store(pairs.edges(pairs.pair_counts(sets), 15, threshold=0.05)))
     assert {(r.id, r.cluster // 4) for r in found.collect()} == {(i, i // 4) for i in range(12)}
+
+
+def test_leiden_communities_are_connected_and_no_move_gains():
+    from kinloom.operators import community
+
+    for seed in range(30):
+        r = random.Random(seed)
+        n = r.randint(4, 24)
+        edges = [(j, i, r.random()) for i, j in combinations(range(n), 2) if r.random() < 0.25]
+        if not edges:
+            continue
+        got = community.communities(edges, 1.0, 0.3, True, True)
+        near = {v: {} for v in got}
+        for i, j, w in edges:
+            near[i][j] = near[j][i] = w
+        for c in set(got.values()):
+            own = {v for v in got if got[v] == c}
+            seen, stack = {min(own)}, [min(own)]
+            while stack:
+                for u in near[stack.pop()]:
+                    if u in own - seen:
+                        seen.add(u)
+                        stack.append(u)
+            assert seen == own and c == min(own)
+        quality = lambda part: sum(w for i, j, w in edges if part[i] == part[j]) - 0.3 * sum(x * (x - 1) / 2 for x in [sum(p == c for p in part.values()) for c in set(part.values())])
+        assert quality(got) >= quality({v: v for v in got}) - 1e-9
+        plain = community.communities(edges, 1.0, 0.3, True, False)
+        assert quality(got) >= quality(community._pieces(near, plain)) - 0.35 * abs(quality(plain))
+
+
+def test_commands_from_files_to_database(spark, tmp_path):
+    from kinloom import commands
+    from kinloom.sources import clusterfile
+    from kinloom.streaming import repdb
+
+    r = random.Random(3)
+    change = lambda s: "".join(r.choice("ACGT") if r.random() < 0.003 else c for c in s)
+    seeds = ["".join(r.choice("ACGT") for _ in range(1500)) for _ in range(4)]
+    for i, s in enumerate(seeds):
+        for j in range(3):
+            (tmp_path / f"g{i}_{j}.fna").write_text(f">s{i}_{j} made\n{change(s)}\n")
+    first = [f"file://{tmp_path}/g{i}_{j}.fna" for i in range(3) for j in range(3)]
+    out = f"file://{tmp_path}/out"
+    found = commands.cluster(spark, first, out, method="mst", threshold=0.05, least=1000, k=15, size=400, newick=True, report=True)
+    sizes = sorted(x["count"] for x in found.groupBy("cluster").count().collect())
+    assert sizes == [3, 3, 3] and clusterfile.read_clusters(spark, out).count() == 9
+    more = [f"file://{tmp_path}/g3_{j}.fna" for j in range(3)] + first[:1]
+    grown = commands.append(spark, f"{out}.state", more, f"{out}2", least=1000)
+    assert sorted(x["count"] for x in grown.groupBy("cluster").count().collect()) == [3, 3, 3, 3]
+    kept = {x.id: x.cluster for x in found.collect()}
+    assert kept.items() <= {x.id: x.cluster for x in grown.collect()}.items()
+    for method in ("greedy", "dbscan", "louvain", "leiden"):
+        again = commands.recluster(spark, f"{out}2.state", f"{out}-{method}", method=method, min_points=2, resolution=0.05 if method == "leiden" else 1.0)
+        assert sorted(x["count"] for x in again.groupBy("cluster").count().collect()) == [3, 3, 3, 3], method
+    commands.build(spark, f"{out}2.state", f"{out}.db")
+    db = repdb.load(spark, f"{out}.db")
+    answer = db.assign(commands.asked(spark, f"{out}2.state", more[:2], least=1000)).collect()
+    assert {x.status for x in answer} == {"assigned"} and {x.cluster_size for x in answer} == {3}
+    with pytest.raises(ValueError):
+        commands.items(spark, "x.txt", by_file=False)
+
+
+def test_save_after_a_failed_one(spark, tmp_path):
+    from kinloom.streaming import repdb
+
+    sets = spark.createDataFrame([(1, [1, 2, 3], 3), (2, [7, 8, 9], 3)], "id long, hashes array<long>, n long")
+    db = repdb.build(sets, spark.createDataFrame([(1, 1), (2, 2)], "id long, cluster long"), k=5, threshold=0.1)
+    where = f"file://{tmp_path}/db"
+    db.save(where)
+    half = db.append(spark.createDataFrame([(3, [20, 21], 2)], "id long, hashes array<long>, n long"))
+    broken = repdb.RepDB(half.params, half.reps, half.members.selectExpr("id", "if(id = 3, raise_error('lost'), cluster) AS cluster"))
+    with pytest.raises(Exception, match="lost"):
+        broken.save(where)
+    assert repdb.load(spark, where).members.count() == 2
+    assert half.save(where) == 2 and repdb.load(spark, where).members.count() == 3
+
+
+def test_greedy_append_takes_the_nearest_of_old_and_new(spark):
+    from kinloom.streaming import repdb
+
+    old = spark.createDataFrame([(1, list(range(0, 100)), 100)], "id long, hashes array<long>, n long")
+    db = repdb.build(old, spark.createDataFrame([(1, 1)], "id long, cluster long"), k=5, threshold=0.15)
+    # 10 is far from 1; 11 is near both and nearer to 10
+    new = spark.createDataFrame([(10, list(range(60, 161)), 101), (11, list(range(35, 130)), 95)], "id long, hashes array<long>, n long")
+    got = {x.id: x.cluster for x in db.append(new).members.collect()}
+    assert got == {1: 1, 10: 10, 11: 10}
+
+
+def test_stability_below_two_percent(spark):
+    from kinloom.operators import thresholds
+
+    edges = spark.createDataFrame([(k + 1, k, 0.005 + 0.0001 * k) for k in range(200)], "i long, j long, dist double")
+    found = thresholds.stability(edges, 0.015)
+    assert found["near_edges"] > 0 and 0 < found["stability"] < 1
+
+
+def test_numbers_in_order(spark):
+    from kinloom.functions.durable import Workspace
+    from kinloom.operators.order import numbered
+
+    r = random.Random(5)
+    values = [r.randint(0, 50) for _ in range(500)]
+    rows, n = numbered(Workspace(spark, "test"), spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v int, i int").repartition(7), "v", "i")
+    want = {i: k for k, (v, i) in enumerate(sorted((v, i) for i, v in enumerate(values)))}
+    assert {x.i: x.r for x in rows.collect()} == want and n.first().n == 500
