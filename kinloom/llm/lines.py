@@ -26,6 +26,7 @@ from kinloom.llm.shared import Workspace, bounded_batches, columns_checked, comp
 
 SHINGLE = 7
 LINES = Setting(num=80, den=100, bands=14, width=4)
+LETTERS = 1 << 20
 _CELLS = 1 << 18
 _P = 0x2545F491
 
@@ -79,7 +80,17 @@ def _shingle_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def batch_minima(lines: list[str], setting: Setting) -> np.ndarray:
-    """(lines, permutations) minima of many normal lines at once."""
+    """(lines, permutations) minima of many normal lines, some LETTERS at a time."""
+    ends = np.cumsum([len(x) for x in lines])
+    parts, at = [np.zeros((0, setting.permutations), np.uint32)], 0
+    while at < len(lines):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LETTERS, "right")))
+        parts.append(_batch_minima(lines[at:end], setting))
+        at = end
+    return np.concatenate(parts)
+
+
+def _batch_minima(lines: list[str], setting: Setting) -> np.ndarray:
     a, b = setting.coefficients()
     out = np.empty((len(lines), setting.permutations), np.uint32)
     size = np.array([len(x) for x in lines])
@@ -139,12 +150,12 @@ def sketched(docs: DataFrame, setting: Setting) -> DataFrame:
             mins = batch_minima(own, setting) if own else np.zeros((0, setting.permutations), np.uint32)
             parts = linking.combined(linking.band_keys(mins, setting), ids)
             sig = [x.tobytes() for x in linking.signature(mins)]
-            at = [where[x] for x in own]
+            at = [x if len(x[0]) == 1 else tuple(zip(*sorted(zip(*x)))) for x in map(where.get, own)]
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x[0]) for x in at], dtype=np.int64)]).astype(np.int32))
             spots = [pa.ListArray.from_arrays(offsets, pa.array([y for x in at for y in x[c]], kind)) for c, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sig, pa.binary()), *parts, pa.array(own, pa.string()), *spots], ["id", "sig", "keys", "pivots", "crowds", "text", "docs", "rows", "places"])
 
-    schema = "id long, sig binary, keys array<long>, pivots array<long>, crowds array<long>, text string, docs array<long>, rows array<long>, places array<int>"
+    schema = "id long, sig binary, keys binary, pivots array<long>, crowds array<long>, text string, docs array<long>, rows array<long>, places array<int>"
     return docs.mapInArrow(run, schema)
 
 
@@ -161,15 +172,18 @@ def duplicate_lines(df: DataFrame, *, setting: Setting = LINES) -> DataFrame:
     edges = linking.linked(ws, linking.candidates(ws, table), table.select("id", "sig", "text"), None, shingle_sets, setting)
     part = components(ws, edges)
     ws.drop(edges)
-    placed = table.select("id", "docs", "rows", "places").join(part, "id", "left").select(F.coalesce("component", "id").alias("line"), "docs", "rows", "places")
-    several = placed.groupBy("line").agg(F.count("*").alias("c"), F.sum(F.size("rows")).alias("all")).where("all > 1").select("line")
-    spots = placed.join(several, "line", "left_semi").select("line", F.explode(F.arrays_zip("docs", "rows", "places")).alias("x"))
-    placed = ws.store(spots.select("line", F.struct(F.col("x.docs").alias("doc"), F.col("x.rows").alias("row"), F.col("x.places").alias("place")).alias("at")).distinct())
+    found = table.select(F.col("id").alias("line"), "docs", "rows", "places")
+    some, others = touched(found, part.select(F.col("id").alias("line")), "line")
+    moved = some.join(part.select(F.col("id").alias("line"), "component"), "line", "left").select(F.coalesce("component", "line").alias("line"), "docs", "rows", "places")
+    placed = ws.store(others.unionByName(moved))
     ws.drop(table, part)
-    first = placed.groupBy("line").agg(F.min("at").alias("first"))
-    gone = placed.join(first, "line").where("at <> first").select("at.*")
+    # each row's places are sorted
+    at = F.struct(F.col("docs")[0].alias("doc"), F.col("rows")[0].alias("row"), F.col("places")[0].alias("place"))
+    first = ws.store(placed.groupBy("line").agg(F.min(at).alias("first"), F.sum(F.size("rows")).alias("c")).where("c > 1").select("line", "first"))
+    each = touched(placed, first, "line")[0].join(first, "line").select("first", F.explode(F.arrays_zip("docs", "rows", "places")).alias("x"))
+    gone = each.select("first", F.struct(F.col("x.docs").alias("doc"), F.col("x.rows").alias("row"), F.col("x.places").alias("place")).alias("at")).where("at <> first").select("at.*")
     removed = ws.store(gone.groupBy("doc", "row").agg(F.sort_array(F.collect_set("place")).alias("removed")))
-    ws.drop(placed)
+    ws.drop(placed, first)
     return removed.select(F.col("doc").alias("doc_id"), F.col("row").alias("row_key"), "removed")
 
 

@@ -108,7 +108,7 @@ def signature(mins: np.ndarray) -> np.ndarray:
 
 
 def combined(keys: np.ndarray, ids: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
-    """What a batch's rows send, as lists by row: band keys, pivots and the crowds they are in.
+    """What a batch's rows send: their band keys in bytes, and lists of their pivots and of the crowds they are in.
 
     keys (rows, bands). Rows of one key beyond CROWD + 1 don't send it: they are linked to the key's first row and some neighbours and marked in its crowd.
     """
@@ -128,12 +128,18 @@ def combined(keys: np.ndarray, ids: np.ndarray) -> tuple[pa.Array, pa.Array, pa.
     star = np.concatenate(near)
     star = np.unique(star[ids[star[:, 0]] != ids[star[:, 1]]], axis=0)
     return (
-        lists(np.repeat(np.arange(n), bands)[sent], flat[sent], n),
+        packed_rows(flat[sent], sent.reshape(n, bands).sum(1)),
         lists(star[:, 0], ids[star[:, 1]], n),
         lists(row, flat[at], n),
     )
 
 
+def packed_rows(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Each row's run of 64-bit numbers as bytes."""
+    offsets = 8 * np.concatenate([[0], np.cumsum(sizes)])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+
+
 def lists(row: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
     """The list of values of each of n rows."""
     order = np.argsort(row, kind="stable")
@@ -146,8 +152,8 @@ def packed(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            ids = np.repeat(b.column(0).to_numpy(), np.asarray(pc.list_value_length(b.column(1))))
+            keys = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
+            ids = np.repeat(b.column(0).to_numpy(), np.asarray(pc.binary_length(b.column(1))) // 8)
             to = (mixed(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(to, kind="stable")
             keys, ids, to = keys[order], ids[order], to[order]
@@ -234,7 +240,7 @@ class Candidates:
 
 def candidates(ws: Workspace, sketched: DataFrame) -> Candidates:
     """What bands have in common, from sketched(id, keys, pivots, crowds)."""
-    buckets = 1 + sketched.select(F.sum(F.size("keys"))).first()[0] // KEYS_AT_ONCE if not sketched.isEmpty() else 1
+    buckets = 1 + sketched.select(F.sum(F.length("keys"))).first()[0] // (8 * KEYS_AT_ONCE) if not sketched.isEmpty() else 1
     bands = sketched.select("id", "keys").mapInArrow(packed(buckets), "bucket int, keys binary, ids binary")
     found = ws.store(bands.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run_bands, "kind byte, a long, b long"))
     batch = sketched.select("id", F.explode("pivots").alias("p")).where("id <> p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))

@@ -24,7 +24,7 @@ from kinloom.llm import linking
 from kinloom.llm.linking import Setting, mixed
 from kinloom.llm.shared import Workspace, bounded_batches, columns_checked, components, touched
 
-WORDS_REMEMBERED = 500_000
+WORDS_REMEMBERED = 200_000
 _KNOWN: dict[bytes, int] = {}
 _STEP = np.uint64(0xA24BAED4963EE407)
 
@@ -72,8 +72,7 @@ def sketched(df: DataFrame, width: int, setting: Setting) -> DataFrame:
             # rows without a set of their own have empty lists
             place = np.full(len(ids), len(own))
             place[at] = np.arange(len(own))
-            empty = pa.array([[]], pa.list_(pa.int64()))
-            parts = [pa.concat_arrays([p, empty]).take(pa.array(place)) for p in parts]
+            parts = [pa.concat_arrays([p, pa.array([b"" if pa.types.is_binary(p.type) else []], p.type)]).take(pa.array(place)) for p in parts]
             sig = [None] * len(ids)
             for i, x in zip(own, linking.signature(mins)):
                 sig[i] = x.tobytes()
@@ -81,8 +80,9 @@ def sketched(df: DataFrame, width: int, setting: Setting) -> DataFrame:
                 [batch.column(0), pa.array(n), pa.array(k1), pa.array(k2), *parts, pa.array(sig, pa.binary()), batch.column(2)],
                 ["id", "n", "k1", "k2", "keys", "pivots", "crowds", "sig", "doc"],
             )
+        _KNOWN.clear()  # other stages run in the same worker
 
-    return df.mapInArrow(run, "id long, n long, k1 long, k2 long, keys array<long>, pivots array<long>, crowds array<long>, sig binary, doc long")
+    return df.mapInArrow(run, "id long, n long, k1 long, k2 long, keys binary, pivots array<long>, crowds array<long>, sig binary, doc long")
 
 
 def row_key(doc, text):

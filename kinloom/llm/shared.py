@@ -12,7 +12,7 @@ __all__ = ["Workspace", "bounded_batches", "columns_checked", "components", "tou
 
 #: Hash buckets of keys that may be broadcast.
 BUCKETS = 1 << 22
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BATCH_ROWS = 4000
 
 

@@ -36,7 +36,7 @@ DRIFT, LOW, HIGH = 0.5, -2.0, 6.0
 #: Numbers of top segments that a sum statistic joins.
 SUMS = (1, 2, 4, 8)
 SIGNIFICANT = 0.05
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 BIN = 0.1
 
 _SPACED = bytes(32 if chr(b) in string.punctuation else b for b in range(256))
