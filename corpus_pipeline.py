@@ -62,5 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = ws.store(stage(spark, docs, sf_dir))
+        before, docs = docs, ws.store(stage(spark, docs, sf_dir))
+        ws.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
