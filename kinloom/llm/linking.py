@@ -45,7 +45,7 @@ ELEMENTS = 2_000_000
 #: Bits of a shingle's code; the rest of a signed number is for the place of a row in its batch.
 CODE_BITS = 50
 #: Rows whose places fit beside a code.
-AT_ONCE = 1 << (63 - CODE_BITS)
+AT_ONCE = (1 << (63 - CODE_BITS)) - 1
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
