@@ -421,3 +421,140 @@ def test_lines_of_hard_rows(hard, empty):
     kept = lines.without_lines(hard, gone)
     assert kept.count() == 9 and kept.columns == hard.columns
     assert lines.duplicate_lines(empty).count() == 0 and lines.without_lines(empty, lines.duplicate_lines(empty)).count() == 0
+
+
+def test_lines_of_a_repeated_id_are_told_apart(spark):
+    line = "alpha is a line that stands in several texts of this table"
+    rows = [(1, line), (2, f"{line}\nzz"), (2, "gamma is never seen elsewhere in all of these texts\nyy"), (2, f"{line}\nzz"), (None, line)]
+    df = spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id long, text string, _doc int, _removed string")
+    got = lines.without_lines(df, lines.duplicate_lines(df))
+    assert got.columns == df.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, [(1, line), (2, "zz"), (2, "zz"), (2, rows[2][1]), (None, line)]))
+
+
+def test_sets_of_many_lines():
+    own = [f"line number {i} of a long list" for i in range(9000)] + ["b", "ab"]
+    codes, borders, _ = lines.shingle_sets(own)
+    for i in (0, 8191, 8192, 8999, 9000, 9001):
+        got = codes[borders[i] : borders[i + 1]]
+        assert sorted(got) == sorted((lines.shingles(own[i]) >> np.uint64(14)).astype(np.int64))
+
+
+def test_families_in_a_crowd_equal_brute_force(spark):
+    """A hundred families of mid similarity share most words: crowds hold many components, and few links join some of them."""
+    draw = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(60)]
+    rows, i = [], 0
+    for f in range(100):
+        own = list(base)
+        for k in draw.choice(60, 9, replace=False):
+            own[k] = f"f{f % 70}k{k}"
+        for _ in range(3):
+            text = list(own)
+            for k in draw.choice(60, int(draw.integers(0, 4)), replace=False):
+                text[k] = f"n{i}k{k}"
+            rows.append((i, " ".join(text)))
+            i += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    for width in (1, 2):
+        sets = word_sets(dict(rows), width)
+        want = roots(sets, near_sets(sets))
+        assert len(set(want.values())) > 20
+        assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df, width=width).collect()} == want
+
+
+def test_bpe_spells_every_character():
+    t, own = library("word_bpe_49k.json"), bpe.loaded(queries.vocabulary("word_bpe_49k.json"))
+    draw = np.random.default_rng(3)
+    some = [*range(0x300), *draw.integers(0x300, 0x110000, 4000).tolist()]
+    texts = [f"a{chr(c)}b" for c in some if not 0xD800 <= c < 0xE000]
+    texts += ["".join(chr(c) for c in draw.integers(0, 0x250, 25)) for _ in range(2000)]
+    for x in texts:
+        want = t.encode(x, add_special_tokens=False).ids
+        ids = own.encode(x)
+        assert ids.tolist() == want, x
+        assert own.decode(ids).decode() == t.decode(want, skip_special_tokens=False)
+    with pytest.raises(ValueError):
+        own.word("日")
+
+
+def test_long_urls_and_held_out_ones(spark):
+    base, weights = urls.trained()
+    long = "http://a.example/" + "ab/cd-" * 15_000
+    df = spark.createDataFrame([(1, long), (2, None), (2, "x")], "page_id long, url string")
+    got = {r.verdict for r in urls.judged(df, rules=()).where("page_id = 1").collect()}
+    assert got == {"block" if base + sum(weights[c] for c in urls.cells_of(long)) > 0 else "allow"}
+    assert urls.accuracy() > 0.9
+    with pytest.raises(ValueError):
+        urls.trained(tuple((f"http://{i}", i % 2) for i in range(urls.LABELLED_BOUND + 1)))
+
+
+def test_tokens_and_owners_equal_brute_force(spark):
+    draw = np.random.default_rng(8)
+    word = lambda n: "".join(draw.choice(list("abcdefgXYZ0123456789_-"), n))
+    pool = [word(int(n)) for n in draw.integers(15, 40, 60)]
+    pieces = lambda: [str(draw.choice(["plain", "password=" + pool[draw.integers(60)], pool[draw.integers(60)], "AKIA" + "B" * 18, "0a" * 14, pool[draw.integers(60)] + "é"])) for _ in range(draw.integers(1, 9))]
+    rows = [(i, " ".join(pieces()), f"s{draw.integers(8)}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    token = lambda t: [(m.start(), 3, "token", m.end()) for m in re.finditer(r"[A-Za-z0-9_-]{20,}", t) if re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[0-9].*[0-9].*[0-9]", m[0])]
+    value = lambda t, s: re.match(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(.*)""", t[s[0] : s[3]])[1] if s[1] == 0 else t[s[0] : s[3]]
+    owners, texts = defaultdict(set), defaultdict(set)
+    for _, t, o in rows:
+        for s in base_spans(t) + token(t):
+            owners[value(t, s)].add(o)
+            texts[value(t, s)].add(t)
+    live = lambda v: len(owners[v]) < secrets.COPIED_OWNERS and len(texts[v]) < secrets.COPIED_DOCUMENTS
+    added = 0
+    for r in secrets.digests(secrets.secrets(df)).collect():
+        t = rows[r.doc_id][1]
+        base = base_spans(t)
+        more = [s for s in token(t) if len(owners[value(t, s)]) == 1 and live(value(t, s)) and not any(b[0] < s[3] and s[0] < b[3] for b in base)]
+        added += len(more)
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(base + more))
+        assert r.n_live == sum(live(value(t, s)) for s in base) + len(more)
+    assert added > 5
+
+
+def test_secrets_of_hard_rows_and_many_spans(spark, hard):
+    assert secrets.digests(secrets.secrets(hard)).count() == 11 and secrets.masked(hard).count() == 11
+    draw = np.random.default_rng(1)
+    text = " ".join(f"{a:016x}{b:016x}" for a, b in draw.integers(1 << 60, 1 << 62, (20_000, 2)))
+    df = spark.createDataFrame([(1, text, "s"), (2, "password=abcdefgh1", "t")], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secrets.digests(secrets.secrets(df)).collect()}
+    want = base_spans(text)
+    assert got[1].n_hex == len(want) == 20_000 and got[2].n_assign == 1
+    assert got[1].base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, k, e in want).encode()).hexdigest()
+
+
+def all_segments(s, at=0):
+    """Maximal segments by their definition: the best one (the shortest of equals, then the first), then those on either side."""
+    best, where = 0.0, None
+    for i in range(len(s)):
+        total = 0.0
+        for j in range(i, len(s)):
+            total += s[j]
+            if total > best + 1e-12:
+                best, where = total, (i, j)
+    if where is None:
+        return []
+    i, j = where
+    return [*all_segments(s[:i], at), (at + i, at + j), *all_segments(s[j + 1 :], at + j + 1)]
+
+
+def test_all_segments_and_scores_equal_brute_force(spark):
+    draw = np.random.default_rng(9)
+    for _ in range(40):
+        s = draw.standard_normal(30) - 0.2
+        assert sorted((f, t) for _, f, t in toxicity.segments(s)) == sorted(all_segments(s))
+    sf = "/root/testdata/sf0.01"
+    docs = queries.table(spark, sf, "documents")
+    model = toxicity.fitted(docs, queries.table(spark, sf, "labels"))
+    some = docs.where("length(text) < 600").limit(60)
+    got = {r.doc_id: (r.score, r.predicted, [(p.first_word, p.last_word) for p in r.passages]) for r in toxicity.scored(some, model).collect()}
+    for r in some.collect():
+        own = [model.token(w) for w in toxicity.words(r.text)]
+        found = all_segments(own)
+        score = model.score(len(own), [sum(own[f : t + 1]) for f, t in found])
+        passages = [(f, t) for f, t in found if model.scale * len(own) * np.exp(-model.rate * sum(own[f : t + 1])) <= toxicity.SIGNIFICANT]
+        assert got[r.doc_id][0] == pytest.approx(score, abs=1e-9) and got[r.doc_id][1] == int(score >= 0.5)
+        assert sorted(got[r.doc_id][2]) == sorted(passages)
