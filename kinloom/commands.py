@@ -57,8 +57,10 @@ def clustered(ws: Workspace, sketches: DataFrame, params: dict, state: dict[str,
             t = params["threshold"] = thresholds.best(thresholds.candidates(keep["forest"]), thresholds.edge_stats(keep["forest"]).first())["threshold"]
     if method == "mst":
         return graph.clusters(ws, sketches, graph.cut(keep["forest"], t)).select("id", "cluster"), keep
-    ratio = 2.0 if method in ("louvain", "leiden") else formulas.max_size_ratio(t, k) if metric == "mash" else None
-    edges = ws.store(pairs.edges(pairs.pair_counts(sketches, max_ratio=ratio), k, metric=metric, threshold=t))
+    counts = pairs.near_counts(sketches, formulas.min_jaccard(t, k)) if metric == "mash" else pairs.pair_counts(sketches)
+    if method in ("louvain", "leiden"):
+        counts = counts.where("least(n_i, n_j) * 2 >= greatest(n_i, n_j)")
+    edges = ws.store(pairs.edges(counts, k, metric=metric, threshold=t))
     if method == "greedy":
         return greedy.greedy_clusters(ws, sketches, edges).select("id", "cluster"), keep
     if method == "dbscan":

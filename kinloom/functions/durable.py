@@ -6,13 +6,19 @@ without that setting.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of local sessions that name none, removed when the driver ends.
+_MADE: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a temporary one only in local sessions that name none."""
     named = dict(spark.sparkContext.getConf().getAll()).get("spark.checkpoint.dir")
@@ -27,9 +33,12 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="kinloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _MADE:
+        own = tempfile.mkdtemp(prefix="kinloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _MADE[app] = "file://" + own
+    return _MADE[app]
 
 
 def python_ready(spark: SparkSession) -> None:

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from kinloom.functions.durable import Workspace, python_ready
 
-#: Fixed hash partitions in which edges that close a circle are shed before the global rounds.
-LOCAL_PARTS = 64
-
 
 def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     """(id, component) of all ids of edges (u, v), component being the smallest id reachable.
@@ -99,7 +96,7 @@ def spanning_forest(ws: Workspace, edges: DataFrame) -> DataFrame:
         if kept is not None:
             yield _kruskal(kept)
 
-    own = edges.select("i", "j", "dist").repartition(LOCAL_PARTS, "j").mapInPandas(shed, "i long, j long, dist double")
+    own = edges.select("i", "j", "dist").repartition("j").mapInPandas(shed, "i long, j long, dist double")
     rest, forest, place = ws.store(own), None, None
     while not rest.isEmpty():
         ends = rest if place is None else rest

@@ -7,6 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinloom.functions import formulas
 from kinloom.functions.durable import Workspace
 from kinloom.operators import graph, greedy, pairs, sketch
 from kinloom.streaming import repdb
@@ -77,7 +78,7 @@ def distances(spark, sf_dir):
 
 @stored
 def near_edges(spark, sf_dir):
-    return pairs.edges(counts(spark, sf_dir), K, threshold=NEAR)
+    return pairs.edges(pairs.near_counts(sketches(spark, sf_dir), formulas.min_jaccard(NEAR, K)), K, threshold=NEAR)
 
 
 @stored

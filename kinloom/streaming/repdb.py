@@ -24,6 +24,10 @@ from kinloom.operators.order import numbered
 from kinloom.sources import tables
 
 
+#: Folders of one version, at most; then all is written into one.
+FOLDERS = 32
+
+
 @dataclass
 class RepDB:
     """Representatives and members in memory as tables; params: k, threshold, metric, kind."""
@@ -31,6 +35,9 @@ class RepDB:
     params: dict
     reps: DataFrame
     members: DataFrame
+    #: Where it was loaded from, and (reps, members) that a greedy append has added since.
+    stored: tuple[str, tuple[str, ...]] | None = None
+    added: tuple[DataFrame, DataFrame] | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -104,7 +111,8 @@ class RepDB:
         added = ws.store(joined.union(new.select("id", F.col("id").alias("cluster"))))
         reps = rest.join(new, "id", "left_semi").select(F.col("id").alias("rep"), F.col("id").alias("cluster"), "hashes", "n")
         ws.drop(near, edges)
-        return RepDB(self.params, self.reps.unionByName(reps), self.members.unionByName(added))
+        fresh = None if self.added else (reps, added)
+        return RepDB(self.params, self.reps.unionByName(reps), self.members.unionByName(added), self.stored if fresh else None, fresh)
 
     def _append_mst(self, batch: DataFrame) -> RepDB:
         """New items, representatives and the pairs within the threshold form a graph; each of its components becomes one
@@ -131,23 +139,28 @@ class RepDB:
         """Write the next version under path and mark it; returns its number.
 
         Tables go to a folder of a name of its own, which the mark tells: what a failed save left is never met again.
+        Where a loaded database has only grown, its old folders are named again and only what was added is written,
+        until there are FOLDERS of them.
         """
         number, folder = max(versions(self.spark, path), default=0) + 1, uuid.uuid4().hex
-        tables.save(f"{path}/{folder}", self.params, reps=self.reps, members=self.members)
-        self.spark.createDataFrame([(number, folder)], "version long, folder string").coalesce(1).write.parquet(f"{path}/marks/{folder}")
+        before = self.stored[1] if self.stored and self.stored[0] == path and self.added and len(self.stored[1]) < FOLDERS else ()
+        reps, members = self.added if before else (self.reps, self.members)
+        tables.save(f"{path}/{folder}", self.params, reps=reps, members=members)
+        mark = self.spark.createDataFrame([(number, [*before, folder])], "version long, folders array<string>")
+        mark.coalesce(1).write.parquet(f"{path}/marks/{folder}")
         return number
 
 
-def versions(spark: SparkSession, path: str) -> dict[int, str]:
-    """Number and folder of each version that is whole, in order; of two writers of one number the smaller folder name counts."""
+def versions(spark: SparkSession, path: str) -> dict[int, tuple[str, ...]]:
+    """Number and folders of each version that is whole; of two writers of one number the smaller folder name counts."""
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/marks")
     files = where.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(where):
         return {}
     done = spark._jvm.org.apache.hadoop.fs.Path
     whole = [str(s.getPath()) for s in files.listStatus(where) if files.exists(done(s.getPath(), "_SUCCESS"))]
-    marks = spark.read.schema("version long, folder string").parquet(*whole).collect() if whole else []
-    return dict(sorted(((m.version, m.folder) for m in marks), key=lambda m: (m[0], m[1]), reverse=True))
+    marks = spark.read.schema("version long, folders array<string>").parquet(*whole).collect() if whole else []
+    return dict(sorted(((m.version, tuple(m.folders)) for m in marks), reverse=True))
 
 
 def build(sketches: DataFrame, clusters: DataFrame, *, k: int, threshold: float, metric: str = "mash", kind: str = "greedy", reps: DataFrame | None = None) -> RepDB:
@@ -160,8 +173,10 @@ def build(sketches: DataFrame, clusters: DataFrame, *, k: int, threshold: float,
 
 def load(spark: SparkSession, path: str, version: int | None = None) -> RepDB:
     known = versions(spark, path)
-    params, found = tables.load(spark, f"{path}/{known[version or max(known)]}", "reps", "members")
-    return RepDB(params, found["reps"], found["members"])
+    folders = known[version or max(known)]
+    params, _ = tables.load(spark, f"{path}/{folders[-1]}")
+    reps, members = (spark.read.parquet(*[f"{path}/{f}/{name}" for f in folders]) for name in ("reps", "members"))
+    return RepDB(params, reps, members, (path, folders))
 
 
 def append_stream(stream: DataFrame, path: str, checkpoint: str):
