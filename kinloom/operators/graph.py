@@ -5,12 +5,16 @@ Edges are (i, j, dist). Every loop cuts its lineage by a stored table.
 
 from __future__ import annotations
 
-import pandas as pd
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kinloom.functions.durable import Workspace, python_ready
 
+if TYPE_CHECKING:  # workers of other stages import this module and have no use for pandas
+    import pandas as pd
+
 
 def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     """(id, component) of all ids of edges (u, v), component being the smallest id reachable.
@@ -87,6 +91,8 @@ def spanning_forest(ws: Workspace, edges: DataFrame) -> DataFrame:
     python_ready(ws.spark)
 
     def shed(batches):
+        import pandas as pd
+
         kept, size = None, 0
         for b in batches:
             kept = b if kept is None else pd.concat([kept, b])
