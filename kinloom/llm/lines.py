@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from kinloom.llm import linking
 from kinloom.llm.linking import Setting, mixed
 from kinloom.llm.neardup import row_key
-from kinloom.llm.shared import Workspace, bounded_batches, columns_checked, components, touched
+from kinloom.llm.shared import Workspace, bounded_batches, columns_checked, components, tidied, touched
 
 SHINGLE = 7
 LINES = Setting(num=80, den=100, bands=14, width=4)
@@ -156,7 +156,7 @@ def sketched(docs: DataFrame, setting: Setting) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sig, pa.binary()), *parts, pa.array(own, pa.string()), *spots], ["id", "sig", "keys", "pivots", "crowds", "text", "docs", "rows", "places"])
 
     schema = "id long, sig binary, keys binary, pivots array<long>, crowds array<long>, text string, docs array<long>, rows array<long>, places array<int>"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def duplicate_lines(df: DataFrame, *, setting: Setting = LINES) -> DataFrame:
@@ -208,4 +208,4 @@ def without_lines(df: DataFrame, removed: DataFrame, column: str = "text") -> Da
     places = removed.select(F.col("row_key").alias(key), F.col("removed").alias(gone))
     some, others = touched(rows, places, key)
     both = some.join(places, key, "left").select(*[f"`{c}`" for c in names], gone)
-    return others.select(*[f"`{c}`" for c in names]).unionByName(both.mapInArrow(run, df.schema))
+    return others.select(*[f"`{c}`" for c in names]).unionByName(both.mapInArrow(tidied(run), df.schema))

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.llm.shared import Workspace, components, touched
+from kinloom.llm.shared import Workspace, components, tidied, touched
 
 #: Kinds of rows that bands make.
 STAR, SMALL, MEMBER = 0, 1, 2
@@ -38,7 +38,7 @@ KEYS_AT_ONCE = 2_000_000
 BLOCK = 4000
 #: Hash buckets in which shingles of crowds are counted, as a power of two; the driver and the workers hold one byte of each.
 BUCKET_BITS = 20
-PARITY_BITS = 1024
+PARITY_BITS = 512
 SLICE_BYTES = 1 << 21
 #: Elements of sets that are intersected at once.
 ELEMENTS = 2_000_000
@@ -242,7 +242,7 @@ def candidates(ws: Workspace, sketched: DataFrame) -> Candidates:
     """What bands have in common, from sketched(id, keys, pivots, crowds)."""
     buckets = 1 + sketched.select(F.sum(F.length("keys"))).first()[0] // (8 * KEYS_AT_ONCE) if not sketched.isEmpty() else 1
     bands = sketched.select("id", "keys").mapInArrow(packed(buckets), "bucket int, keys binary, ids binary")
-    found = ws.store(bands.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run_bands, "kind byte, a long, b long"))
+    found = ws.store(bands.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidied(run_bands), "kind byte, a long, b long"))
     batch = sketched.select("id", F.explode("pivots").alias("p")).where("id <> p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
     stars = ws.store(found.where(f"kind = {STAR}").select("a", "b").union(batch).distinct())
     inside = sketched.select(F.explode("crowds").alias("key"), "id")
@@ -274,7 +274,7 @@ def near_signatures(pairs: DataFrame, signatures: DataFrame, setting: Setting) -
             yield pa.RecordBatch.from_arrays([x.column(0).filter(pa.array(good)), x.column(1).filter(pa.array(good))], ["a", "b"])
 
     both = pairs.join(one, "a").join(two, "b").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(tidied(run), "a long, b long")
 
 
 def crowd_pairs(ws: Workspace, crowds: DataFrame, part: DataFrame, texts: DataFrame, sets, setting: Setting) -> DataFrame:
@@ -302,7 +302,7 @@ def crowd_pairs(ws: Workspace, crowds: DataFrame, part: DataFrame, texts: DataFr
         for k in range(0, len(at), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 100_000].astype(np.int32)), pa.array(total[at[k : k + 100_000]])], ["bucket", "c"])
 
-    counted = own.select("text").mapInArrow(count, "bucket int, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
+    counted = own.select("text").mapInArrow(tidied(count), "bucket int, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
     level = np.zeros(1 << BUCKET_BITS, np.uint8)
     level[counted.column("bucket").to_numpy()] = 1 + (8 * np.log2(counted.column("c").to_numpy())).astype(np.int64).clip(0, 250)
 
@@ -320,9 +320,9 @@ def crowd_pairs(ws: Workspace, crowds: DataFrame, part: DataFrame, texts: DataFr
             row, place, code = row[use], place[use], codes[order][use]
             for k in range(0, len(code), 100_000):
                 r = row[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(code[k : k + 100_000]), pa.array(ids[r]), pa.array(component[r]), pa.array(n[r]), pa.array(place[k : k + 100_000])], ["code", "id", "component", "n", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(code[k : k + 100_000]), pa.array(ids[r]), pa.array(component[r]), pa.array(n[r].astype(np.int32)), pa.array(place[k : k + 100_000].astype(np.int32))], ["code", "id", "component", "n", "place"])
 
-    listed = ws.store(own.select("id", "component", "text").mapInArrow(index, "code long, id long, component long, n long, place long"))
+    listed = ws.store(own.select("id", "component", "text").mapInArrow(tidied(index), "code long, id long, component long, n int, place int"))
     # an entry needs a partner of another component, and one small enough for what is left of its set
     room = (F.col("n") - F.col("place")) * (num + den) >= num * (F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * num / den)))
     for _ in range(2):
@@ -339,7 +339,7 @@ def crowd_pairs(ws: Workspace, crowds: DataFrame, part: DataFrame, texts: DataFr
             odd = (np.bincount(cell, minlength=x.num_rows * PARITY_BITS) & 1).astype(np.uint8).reshape(x.num_rows, PARITY_BITS)
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array([y.tobytes() for y in np.packbits(odd, 1)], pa.binary())], ["id", "parity"])
 
-    listed = listed.join(own.select("id", "text").mapInArrow(parities, "id long, parity binary"), "id")
+    listed = listed.join(own.select("id", "text").mapInArrow(tidied(parities), "id long, parity binary"), "id")
     blocks = F.ceil(F.col("c") / F.lit(BLOCK)).cast("int")
     own_block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = listed.select("code", "id", "component", "n", "place", "parity", blocks.alias("blocks")).withColumn("at", own_block)
@@ -368,13 +368,13 @@ def _joined(num: int, den: int):
 
     def pairs(x: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         _, i, j, at, ids, component, n, place, parity = x
-        na, nb = n[a], n[b]
+        na, nb = n[a].astype(np.int64), n[b].astype(np.int64)
         ok = (component[a] != component[b]) & (np.minimum(na, nb) * den >= np.maximum(na, nb) * num)
         ok &= (num + den) * np.minimum(na - place[a], nb - place[b]) >= num * (na + nb)
         ok &= (i[a] == j[a]) | (at[a] != at[b])
         a, b = a[ok], b[ok]
         apart = np.concatenate([np.zeros(0, np.int64)] + [np.bitwise_count(parity[a[k : k + 50_000]] ^ parity[b[k : k + 50_000]]).sum(1, dtype=np.int64) for k in range(0, len(a), 50_000)])
-        ok = (num + den) * apart <= (den - num) * (n[a] + n[b])
+        ok = (num + den) * apart <= (den - num) * (n[a].astype(np.int64) + n[b])
         a, b = ids[a[ok]], ids[b[ok]]
         return np.minimum(a, b), np.maximum(a, b)
 
@@ -478,7 +478,7 @@ def verified(pairs: DataFrame, texts: DataFrame, sets: Callable[[list[str]], tup
             good = pa.array((common * den >= (size[a] + size[b] - common) * num) & (common > 0))
             yield pa.RecordBatch.from_arrays([x.column(0).filter(good), x.column(1).filter(good)], ["u", "v"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "u long, v long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(tidied(run), "u long, v long")
 
 
 def ends(pairs: DataFrame) -> DataFrame:

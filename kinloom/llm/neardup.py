@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from kinloom.llm import linking
 from kinloom.llm.linking import Setting, mixed
-from kinloom.llm.shared import Workspace, bounded_batches, columns_checked, components, touched
+from kinloom.llm.shared import Workspace, bounded_batches, columns_checked, components, tidied, touched
 
 WORDS_REMEMBERED = 200_000
 _KNOWN: dict[bytes, int] = {}
@@ -82,7 +82,7 @@ def sketched(df: DataFrame, width: int, setting: Setting) -> DataFrame:
             )
         _KNOWN.clear()  # other stages run in the same worker
 
-    return df.mapInArrow(run, "id long, n long, k1 long, k2 long, keys binary, pivots array<long>, crowds array<long>, sig binary, doc long")
+    return df.mapInArrow(tidied(run), "id long, n long, k1 long, k2 long, keys binary, pivots array<long>, crowds array<long>, sig binary, doc long")
 
 
 def row_key(doc, text):

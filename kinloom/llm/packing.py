@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kinloom.llm.shared import bounded_batches, columns_checked
+from kinloom.llm.shared import bounded_batches, columns_checked, tidied
 
 DIMENSIONS, BITS = 3, 10
 SAMPLED = 20_000
 RANGE_BYTES = 8 << 20
+#: Bytes of text whose keys are made at once.
+BYTES_AT_ONCE = 1 << 20
 SEQUENCE = 2048
 #: Bits of a dimension's count in the shared number; longer texts are counted apart.
 FIELD = 21
@@ -72,7 +74,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def curve_keys(column: pa.Array) -> np.ndarray:
-    """Hilbert keys of texts."""
+    """Hilbert keys of texts, some BYTES_AT_ONCE at a time."""
+    ends, at, parts = text_bytes(column)[1][1:], 0, [np.zeros(0, np.int64)]
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES_AT_ONCE, "right")))
+        parts.append(_curve_keys(column.slice(at, end - at)))
+        at = end
+    return np.concatenate(parts)
+
+
+def _curve_keys(column: pa.Array) -> np.ndarray:
     data, borders = text_bytes(column)
     grams = np.zeros(len(data) + 4, "<u4")
     padded = np.concatenate([data, np.zeros(12, np.uint8)]).tobytes()
@@ -143,7 +154,7 @@ def range_borders(docs: DataFrame, rows: int, ranges: int) -> list[tuple[int, in
             size = np.diff(text_bytes(b.column(1))[1]) + 1
             yield pa.RecordBatch.from_arrays([pa.array(curve_keys(b.column(1)), pa.int64()), b.column(2), pa.array(size, pa.int64())], ["key", "tie", "size"])
 
-    found = sample.mapInArrow(run, "key long, tie long, size long").orderBy("key", "tie").collect()
+    found = sample.mapInArrow(tidied(run), "key long, tie long, size long").orderBy("key", "tie").collect()
     size = np.cumsum([r.size for r in found]) if found else np.zeros(1)
     at = np.searchsorted(size, np.linspace(0, size[-1], ranges + 1)[1:-1])
     return [(r.key, r.tie) for r in (found[min(i, len(found) - 1)] for i in at)] if found else []
@@ -187,7 +198,7 @@ def packed(df: DataFrame, files: tuple[str, str, str], *, closing: int = 1, sequ
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:8]), *([pa.array(columns[8], pa.binary())] if keep_ids else [])], names)
 
     spread = placed.repartition(max(ranges, 1), "part").sortWithinPartitions("part", "key", "tie", "doc_id")
-    return spread.select("part", "key", "doc_id", "text").mapInArrow(pack, fields)
+    return spread.select("part", "key", "doc_id", "text").mapInArrow(tidied(pack), fields)
 
 
 def _placed(docs: DataFrame, borders: list[tuple[int, int]]) -> DataFrame:
@@ -203,4 +214,4 @@ def _placed(docs: DataFrame, borders: list[tuple[int, int]]) -> DataFrame:
                 part[i] += np.searchsorted(ties[low[i] : high[i]], tie[i], "right")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key, pa.int64()), pa.array(part, pa.int64())], ["doc_id", "text", "tie", "key", "part"])
 
-    return docs.mapInArrow(run, "doc_id long, text string, tie long, key long, part long")
+    return docs.mapInArrow(tidied(run), "doc_id long, text string, tie long, key long, part long")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.functions.durable import Workspace, python_ready
 from kinloom.operators.graph import components
 
-__all__ = ["Workspace", "bounded_batches", "columns_checked", "components", "touched"]
+__all__ = ["Workspace", "bounded_batches", "columns_checked", "components", "tidied", "touched"]
 
 #: Hash buckets of keys that may be broadcast.
 BUCKETS = 1 << 22
@@ -16,14 +19,31 @@ BATCH_BYTES = 4 << 20
 BATCH_ROWS = 4000
 
 
+def tidied(run):
+    """run(batches) that gives a worker's free memory back at its end: workers stay for other stages."""
+
+    def own(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not every C library has it
+            pass
+
+    return own
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Limit the Arrow batches handed to Python by bytes and rows, as texts have no length limit.
 
-    Python workers also get this package's folder on their path, where the session's start didn't give it.
+    Only memory depends on it, no result. Tighter limits of the session stay. Python workers also get this
+    package's folder on their path, where the session's start didn't give it.
     """
     python_ready(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(f"spark.sql.execution.arrow.{key}"))
+        if now <= 0 or now > most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def columns_checked(df: DataFrame, needed: dict[str, str]) -> DataFrame:

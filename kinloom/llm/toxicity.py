@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.llm.shared import bounded_batches, columns_checked
+from kinloom.llm.shared import bounded_batches, columns_checked, tidied
 
 SAMPLED = 40_000
 HASH_BITS = 18
@@ -145,7 +145,7 @@ def fitted(documents: DataFrame, labels: DataFrame, *, sampled: int = SAMPLED) -
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind)), pa.array(at), pa.array(seen[kind, 1, at]), pa.array(seen[kind, 0, at])], ["kind", "cell", "toxic", "clean"])
         yield pa.RecordBatch.from_arrays([pa.array([2]), pa.array([0]), pa.array(docs_seen[1:]), pa.array(docs_seen[:1])], ["kind", "cell", "toxic", "clean"])
 
-    counts = docs.mapInArrow(count, "kind long, cell long, toxic long, clean long").groupBy("kind", "cell").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toPandas()
+    counts = docs.mapInArrow(tidied(count), "kind long, cell long, toxic long, clean long").groupBy("kind", "cell").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toPandas()
     dense = np.zeros((3, 2, 1 << HASH_BITS), np.float32)
     dense[counts.kind, 0, counts.cell], dense[counts.kind, 1, counts.cell] = counts.toxic, counts.clean
     toxic_docs, clean_docs = dense[2, :, 0]
@@ -169,7 +169,7 @@ def _calibrated(model: Model, docs: DataFrame) -> Model:
             c = list(zip(*out)) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.list_(pa.float64())), pa.array(c[3], pa.binary())], ["toxic", "n", "top", "hist"])
 
-    rows = docs.mapInArrow(scan, "toxic int, n long, top array<double>, hist binary").toPandas()
+    rows = docs.mapInArrow(tidied(scan), "toxic int, n long, top array<double>, hist binary").toPandas()
     clean, y = rows[rows.toxic == 0], rows.toxic.to_numpy(float)
     if not len(clean) or not y.any():
         model.flat = float(y.mean()) if len(y) else 0.0
@@ -216,7 +216,7 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
                 passages.append([dict(zip(("first_word", "last_word", "score", "expected"), o)) for o in odd if o[3] <= SIGNIFICANT])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(passages, kind)], ["doc_id", "score", "predicted", "passages"])
 
-    return columns_checked(documents, {"doc_id": "long", "text": "string"}).mapInArrow(run, fields)
+    return columns_checked(documents, {"doc_id": "long", "text": "string"}).mapInArrow(tidied(run), fields)
 
 
 def accepted(documents: DataFrame, model: Model, column: str = "text") -> DataFrame:
@@ -232,4 +232,4 @@ def accepted(documents: DataFrame, model: Model, column: str = "text") -> DataFr
                 keep.append(model.score(len(tokens), [s for s, *_ in found]) < 0.5)
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidied(run), documents.schema)
