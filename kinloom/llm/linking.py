@@ -33,11 +33,11 @@ CROWD = 16
 #: How far on in a larger band are the rows that a row meets besides the first.
 CHAIN = (1, 2)
 #: Band keys that a worker holds at once, about.
-KEYS_AT_ONCE = 2_000_000
+KEYS_AT_ONCE = 500_000
 #: Rows of one group that are compared with each other in a task.
 BLOCK = 4000
 #: Hash buckets in which shingles of crowds are counted, as a power of two; the driver and the workers hold one byte of each.
-BUCKET_BITS = 20
+BUCKET_BITS = 18
 PARITY_BITS = 512
 SLICE_BYTES = 1 << 21
 #: Elements of sets that are intersected at once.
@@ -290,7 +290,7 @@ def crowd_pairs(ws: Workspace, crowds: DataFrame, part: DataFrame, texts: DataFr
     rows = ws.store(member.join(several, "key", "left_semi").select("id", "component").distinct())
     if rows.isEmpty():
         return crowds.select(F.col("key").alias("a"), F.col("id").alias("b")).limit(0)
-    own = ws.store(texts.join(rows, "id").select("id", "component", "text"))
+    own = ws.store(touched(texts, rows, "id")[0].join(rows, "id").select("id", "component", "text"))
     shift, num, den = CODE_BITS - BUCKET_BITS, setting.num, setting.den
 
     def count(batches):
@@ -501,7 +501,8 @@ def linked(ws: Workspace, found: Candidates, signatures: DataFrame, texts: DataF
     crowded = crowd_pairs(ws, found.crowds, part, text, sets, setting)
     rest = between(found.small, part).union(crowded).distinct()
     near = ws.store(near_signatures(rest, own, setting))
+    rest_text = touched(text, ends(near), "id")[0]
     ws.drop(part, crowded, wanted, *found.tables)
-    more = edges if near.isEmpty() else ws.store(verified(near, text, sets, setting).union(edges))
+    more = edges if near.isEmpty() else ws.store(verified(near, rest_text, sets, setting).union(edges))
     ws.drop(near, own, text, *([] if more is edges else [edges]))
     return more
