@@ -285,3 +285,32 @@ def test_numbers_in_order(spark):
     rows, n = numbered(Workspace(spark, "test"), spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v int, i int").repartition(7), "v", "i")
     want = {i: k for k, (v, i) in enumerate(sorted((v, i) for i, v in enumerate(values)))}
     assert {x.i: x.r for x in rows.collect()} == want and n.first().n == 500
+
+
+def test_matching_has_no_pair_that_both_prefer_and_scores_follow(spark):
+    from kinloom.functions.durable import Workspace
+    from kinloom.operators import evaluate
+
+    r = random.Random(12)
+    rows = [(c, f"l{x}", r.randint(1, 6)) for c in range(9) for x in range(7) if r.random() < 0.5]
+    table = spark.createDataFrame(rows, "cluster long, label string, c long")
+    matching = evaluate.matched_labels(Workspace(spark, "test"), table)
+    got = {x.cluster: x.label for x in matching.collect()}
+    count = {(c, x): n for c, x, n in rows}
+    holder = {x: c for c, x in got.items() if x is not None}
+    assert len(holder) == sum(x is not None for x in got.values()) and set(got) == {c for c, _, _ in rows}
+    for (c, x), n in count.items():
+        mine, other = got[c], holder.get(x)
+        wants = mine is None or (-n, x) < (-count[c, mine], mine)
+        wanted = other is None or (-n, c) < (-count[other, x], other)
+        assert mine == x or not (wants and wanted), (c, x)
+    size = {x: sum(n for (_, y), n in count.items() if y == x) for _, x, _ in rows}
+    total, want = sum(size.values()), [0.0, 0.0, 0.0]
+    for x, n in size.items():
+        c = holder.get(x)
+        hit = count[c, x] if c is not None else 0
+        told = sum(m for (d, _), m in count.items() if d == c) if c is not None else 0
+        p, q = (hit / told if told else 0.0), hit / n
+        for k, v in enumerate((p, q, 2 * p * q / (p + q) if p + q else 0.0)):
+            want[k] += v * n / total
+    assert list(evaluate.scores(table, matching).first()) == pytest.approx(want, abs=1e-6)
