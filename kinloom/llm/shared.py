@@ -54,10 +54,21 @@ def columns_checked(df: DataFrame, needed: dict[str, str]) -> DataFrame:
 def touched(rows: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """rows in two parts: all that may have one of keys(column), and others; rows without a key are among the others.
 
-    Only the keys' hash buckets, at most BUCKETS, are broadcast. Where few keys are wanted, most rows thus
-    need no shuffle for an exact join with them; where many are, nearly all rows are in the first part.
+    Only the keys' buckets under two hashes, at most BUCKETS of each, are broadcast, as a Bloom filter. Where few
+    keys are wanted, most rows thus need no shuffle for an exact join with them; where many are, nearly all rows
+    are in the first part.
     """
-    bucket = F.pmod(F.xxhash64(column), F.lit(BUCKETS)).alias("__bucket")
-    buckets = F.broadcast(keys.where(F.col(column).isNotNull()).select(bucket).distinct())
-    marked = rows.select("*", F.when(F.col(column).isNotNull(), bucket).alias("__bucket"))
-    return tuple(marked.join(buckets, "__bucket", how).drop("__bucket") for how in ("left_semi", "left_anti"))
+    known, marked = keys.where(F.col(column).isNotNull()), rows
+    for name, salt in _MARKS:
+        marked = marked.withColumn(name, F.when(F.col(column).isNotNull(), _bucket(column, salt)))
+    (one, two), filters = [name for name, _ in _MARKS], [F.broadcast(known.select(_bucket(column, salt).alias(name)).distinct()) for name, salt in _MARKS]
+    first = marked.join(filters[0], one, "left_semi")
+    others = marked.join(filters[0], one, "left_anti").unionByName(first.join(filters[1], two, "left_anti"))
+    return first.join(filters[1], two, "left_semi").drop(one, two), others.drop(one, two)
+
+
+_MARKS = (("__bucket_1", 1), ("__bucket_2", 2))
+
+
+def _bucket(column: str, salt: int):
+    return F.pmod(F.xxhash64(F.col(column), F.lit(salt)), F.lit(BUCKETS))
