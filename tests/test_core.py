@@ -5,7 +5,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from kinloom.functions import formulas, kmers
+from kinloom.functions import durable, formulas, kmers
 from kinloom.functions.durable import Workspace
 from kinloom.operators import community, dbscan, evaluate, graph, greedy, pairs, postprocess, sketch, trees
 from kinloom.sources import clusterfile, fasta, simulate, tables
@@ -83,6 +83,26 @@ def test_forest_and_components(spark, ws, seed):
     assert [r.cluster for r in graph.clusters(ws, nodes, graph.cut(forest, 0.04)).orderBy("id").collect()] == near
 
 
+@pytest.mark.parametrize("most", [graph.ONE_TASK, 3])
+def test_components_by_one_task_or_by_rounds(spark, ws, monkeypatch, most):
+    monkeypatch.setattr(graph, "ONE_TASK", most)
+    draw = random.Random(most)
+    edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(200)] + [(k + 1, k) for k in range(400, 700)] + [(7, 7), (900, 900)]
+    tables = ws.n
+    found = graph.components(ws, spark.createDataFrame(edges, "u long, v long").repartition(5))
+    assert most == 3 or ws.n - tables == 2  # few edges take no round of joins
+    part = united(901, edges)
+    assert sorted(map(tuple, found.select("id", "component").collect())) == [(i, part[i]) for i in sorted({x for e in edges if e[0] != e[1] for x in e})]
+
+
+def test_driver_gives_native_memory_back(spark, ws, monkeypatch):
+    assert durable.trimmed(spark)
+    calls = []
+    monkeypatch.setattr(durable, "trimmed", calls.append)
+    ws.store(spark.range(3))
+    assert calls == [spark]
+
+
 def test_empty_graph(spark, ws):
     none = spark.createDataFrame([], "i long, j long, dist double")
     assert graph.spanning_forest(ws, none).count() == 0
