@@ -28,6 +28,8 @@ SHINGLE = 7
 LINES = Setting(num=80, den=100, bands=14, width=4)
 LETTERS = 1 << 20
 _CELLS = 1 << 18
+#: Of those, how many are hashed at once.
+_TILE = 1 << 16
 _P = 0x2545F491
 
 
@@ -117,7 +119,7 @@ def _batch_minima(lines: list[str], setting: Setting) -> np.ndarray:
         own = order[at : at + many]
         longest = int(n[own[-1]])
         least = np.full((setting.permutations, many), 0xFFFFFFFF, np.uint32)
-        step = max(1, _CELLS // many)
+        step = max(1, _TILE // many)
         for k in range(0, longest, step):
             place = np.arange(k, min(longest, k + step))[:, None]
             x = rolled[first[own][None, :] + np.minimum(place, n[own][None, :] - 1)]
@@ -172,15 +174,15 @@ def duplicate_lines(df: DataFrame, *, setting: Setting = LINES) -> DataFrame:
     edges = linking.linked(ws, linking.candidates(ws, table), table.select("id", "sig", "text"), None, shingle_sets, setting)
     part = components(ws, edges)
     ws.drop(edges)
-    found = table.select(F.col("id").alias("line"), "docs", "rows", "places")
-    some, others = touched(found, part.select(F.col("id").alias("line")), "line")
-    moved = some.join(part.select(F.col("id").alias("line"), "component"), "line", "left").select(F.coalesce("component", "line").alias("line"), "docs", "rows", "places")
-    placed = ws.store(others.unionByName(moved))
-    ws.drop(table, part)
+    # only lines that stand at several places, or have near ones, can go
+    often = table.groupBy("id").agg(F.sum(F.size("rows")).alias("c")).where("c > 1").select("id")
+    several = ws.store(often.join(part, "id", "full").select("id", F.coalesce("component", "id").alias("line")))
+    placed = ws.store(touched(table.select("id", "docs", "rows", "places"), several, "id")[0].join(several, "id").select("line", "docs", "rows", "places"))
+    ws.drop(table, part, several)
     # each row's places are sorted
     at = F.struct(F.col("docs")[0].alias("doc"), F.col("rows")[0].alias("row"), F.col("places")[0].alias("place"))
-    first = ws.store(placed.groupBy("line").agg(F.min(at).alias("first"), F.sum(F.size("rows")).alias("c")).where("c > 1").select("line", "first"))
-    each = touched(placed, first, "line")[0].join(first, "line").select("first", F.explode(F.arrays_zip("docs", "rows", "places")).alias("x"))
+    first = ws.store(placed.groupBy("line").agg(F.min(at).alias("first")))  # stored, so that the join can split a very common line
+    each = placed.join(first, "line").select("first", F.explode(F.arrays_zip("docs", "rows", "places")).alias("x"))
     gone = each.select("first", F.struct(F.col("x.docs").alias("doc"), F.col("x.rows").alias("row"), F.col("x.places").alias("place")).alias("at")).where("at <> first").select("at.*")
     removed = ws.store(gone.groupBy("doc", "row").agg(F.sort_array(F.collect_set("place")).alias("removed")))
     ws.drop(placed, first)

@@ -73,7 +73,8 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     removed = lines.duplicate_lines(documents).select("row_key", "removed")
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    feeds = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(1 + feeds).cast("long")
     own = documents.select("doc_id", n_lines.alias("n_lines"), neardup.row_key(F.col("doc_id"), F.col("text")).alias("row_key"))
     gone = F.coalesce("removed", F.array().cast("array<int>"))
     return own.join(removed, "row_key", "left").select("doc_id", "n_lines", (F.col("n_lines") - F.size(gone)).alias("n_kept"), gone.alias("removed"))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -415,6 +416,23 @@ def test_lines_equal_brute_force(spark, small):
     assert {r.doc_id: r.removed for r in lines.duplicate_lines(df).collect()} == removed_lines(texts)
 
 
+def test_lines_without_partners_are_stored_once(spark, monkeypatch, tmp_path):
+    rows, store = [], lines.Workspace.store
+
+    def counted(self, df):
+        out = store(self, df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines.Workspace, "store", counted)
+    texts = ["\n".join(random.Random(f"{i} {k}").randbytes(30).hex() for k in range(4)) for i in range(50)] + ["", None, "\n", "é\r\n\nü\u2028b\n"]
+    at = f"file://{tmp_path}/documents.parquet"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(at)
+    got = {r.doc_id: tuple(r)[1:] for r in queries.op10_lines(spark, f"file://{tmp_path}").collect()}
+    assert got == {i: (0 if t is None else len(t.split("\n")),) * 2 + ([],) for i, t in enumerate(texts)}
+    assert sum(rows) == 4 * 50 + 2  # the lines, and nothing of them again
+
+
 def test_lines_of_hard_rows(hard, empty):
     gone = lines.duplicate_lines(hard)
     assert {r.doc_id: r.removed for r in gone.collect()} == {2: [0], 7: [0]}
