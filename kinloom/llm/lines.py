@@ -26,15 +26,18 @@ from kinloom.llm.shared import Workspace, bounded_batches, columns_checked, comp
 
 SHINGLE = 7
 LINES = Setting(num=80, den=100, bands=14, width=4)
-LETTERS = 1 << 20
-_CELLS = 1 << 18
-#: Of those, how many are hashed at once.
+LETTERS = 1 << 19
+#: Shingles that are hashed at once.
 _TILE = 1 << 16
 _P = 0x2545F491
 
 
 def normal(line: str) -> str:
-    return " ".join(line.lower().split())
+    line = line.lower()
+    # all white space but the space itself is unprintable
+    if line.isprintable() and "  " not in line and line[:1] != " " and line[-1:] != " ":
+        return line
+    return " ".join(line.split())
 
 
 def line_id(line: str) -> int:
@@ -68,13 +71,13 @@ def _shingle_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
     c = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4").astype(np.uint64)
     rolled = np.zeros(max(len(c) - SHINGLE + 1, 0), np.uint64)
     for k in range(SHINGLE):
-        rolled = rolled * np.uint64(0x100000001B3 * 0x9E37 + 2 * k + 1) + c[k : k + len(rolled)]
-    rolled = mixed(rolled)
-    owner, ends = np.repeat(np.arange(len(lines)), size), np.repeat(np.cumsum(size), size)
-    inside = np.flatnonzero(np.arange(len(rolled)) + SHINGLE <= ends[: len(rolled)])
+        rolled *= np.uint64(0x100000001B3 * 0x9E37 + 2 * k + 1)
+        rolled += c[k : k + len(rolled)]
+    n = np.maximum(size - SHINGLE + 1, 0)
+    inside = np.arange(n.sum()) + np.repeat(np.cumsum(size) - size - np.cumsum(n) + n, n)
     short = [(i, shingles(lines[i])) for i in np.flatnonzero(size < SHINGLE)]
-    hashes = np.concatenate([rolled[inside], *(x for _, x in short)])
-    owner = np.concatenate([owner[inside], *(np.full(len(x), i) for i, x in short)])
+    hashes = np.concatenate([mixed(rolled[inside]), *(x for _, x in short)])
+    owner = np.concatenate([np.repeat(np.arange(len(lines)), n), *(np.full(len(x), i) for i, x in short)])
     many = 1 << linking.CODE_BITS
     key = np.sort(owner * many + (hashes >> np.uint64(64 - linking.CODE_BITS)).astype(np.int64))
     key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
@@ -94,10 +97,8 @@ def batch_minima(lines: list[str], setting: Setting) -> np.ndarray:
 
 def _batch_minima(lines: list[str], setting: Setting) -> np.ndarray:
     a, b = setting.coefficients()
-    out = np.empty((len(lines), setting.permutations), np.uint32)
-    size = np.array([len(x) for x in lines])
+    size = np.array([len(x) for x in lines], np.int64)
     codes = np.frombuffer("".join(lines).encode("utf-32-le") + bytes(4 * SHINGLE), "<u4")
-    first = np.cumsum(size) - size
     rolled = np.zeros(len(codes) - SHINGLE + 1, np.uint32)
     for k in range(SHINGLE):
         rolled *= np.uint32(_P)
@@ -105,32 +106,25 @@ def _batch_minima(lines: list[str], setting: Setting) -> np.ndarray:
     rolled ^= rolled >> np.uint32(16)
     rolled *= np.uint32(0x7FEB352D)
     rolled ^= rolled >> np.uint32(15)
+    # the shingles of all lines one after another, without those that reach over a line's end
     n = np.maximum(size - SHINGLE + 1, 1)
+    ends = np.cumsum(n)
+    starts = ends - n
+    x = rolled[np.arange(ends[-1]) + np.repeat(np.cumsum(size) - size - starts, n)]
     short = np.flatnonzero(size < SHINGLE)
-    rolled = np.concatenate([rolled, np.array([line_id(lines[i]) & 0xFFFFFFFF for i in short], np.uint32)])
-    first[short] = len(rolled) - len(short) + np.arange(len(short))
-    order = np.argsort(n, kind="stable")
-    at = 0
-    while at < len(order):
-        # as many lines of about one length as fit in the cache; the longest of all may stand alone
-        many = max(1, min(len(order) - at, _CELLS // int(n[order[at]])))
-        while many > 1 and many * int(n[order[at + many - 1]]) > 2 * _CELLS:
-            many //= 2
-        own = order[at : at + many]
-        longest = int(n[own[-1]])
-        least = np.full((setting.permutations, many), 0xFFFFFFFF, np.uint32)
-        step = max(1, _TILE // many)
-        for k in range(0, longest, step):
-            place = np.arange(k, min(longest, k + step))[:, None]
-            x = rolled[first[own][None, :] + np.minimum(place, n[own][None, :] - 1)]
-            h = np.empty_like(x)
-            for p in range(setting.permutations):
-                np.multiply(x, a[p], out=h)
-                h += b[p]
-                np.minimum(least[p], h.min(0), out=least[p])
-        out[own] = least.T
-        at += many
-    return out
+    x[starts[short]] = np.array([line_id(lines[i]) & 0xFFFFFFFF for i in short], np.uint32)
+    out = np.full((setting.permutations, len(lines)), 0xFFFFFFFF, np.uint32)
+    room = np.empty(min(_TILE, len(x)), np.uint32)
+    for k in range(0, len(x), _TILE):
+        tile = x[k : k + _TILE]
+        h = room[: len(tile)]
+        first, last = np.searchsorted(ends, [k, k + len(tile) - 1], "right")
+        own, at = out[:, first : last + 1], np.maximum(starts[first : last + 1] - k, 0)
+        for p in range(setting.permutations):
+            np.multiply(tile, a[p], out=h)
+            h += b[p]
+            np.minimum(own[p], np.minimum.reduceat(h, at), out=own[p])
+    return out.T
 
 
 def sketched(docs: DataFrame, setting: Setting) -> DataFrame:

@@ -453,7 +453,7 @@ def common_counts(codes: np.ndarray, borders: np.ndarray, many: int, a: np.ndarr
         sets, pair = np.concatenate([a[at:end], b[at:end]]), np.tile(np.arange(end - at), 2)
         n = size[sets]
         where = np.arange(int(n.sum())) + np.repeat(borders[sets] - np.cumsum(n) + n, n)
-        key = np.sort(np.repeat(pair, n) * many + codes[where])
+        key = np.sort(np.repeat(pair, n) * many + codes[where], kind="stable")  # two sorted runs: merged, not sorted anew
         out[at:end] = np.bincount(key[1:][key[1:] == key[:-1]] // many, minlength=end - at)
         at = end
     return out
@@ -472,7 +472,8 @@ def verified(pairs: DataFrame, texts: DataFrame, sets: Callable[[list[str]], tup
             ids = np.concatenate([x.column(i).to_numpy() for i in (0, 1)])
             _, first, at = np.unique(ids, return_index=True, return_inverse=True)
             n = x.num_rows
-            codes, borders, many = sets([x.column(2 + int(k >= n))[int(k % n)].as_py() for k in first])
+            one, two = (iter(x.column(2 + side).take(pa.array(first[(first >= n) == side] - side * n)).to_pylist()) for side in (0, 1))
+            codes, borders, many = sets([next(two if second else one) for second in (first >= n).tolist()])
             a, b = at[:n], at[n:]
             size, common = np.diff(borders), common_counts(codes, borders, many, a, b)
             good = pa.array((common * den >= (size[a] + size[b] - common) * num) & (common > 0))

@@ -3,13 +3,14 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kinloom.llm import bpe, lines, neardup, packing, queries, secrets, sharding, topk, toxicity, urls, vectors
+from kinloom.llm import bpe, linking, lines, neardup, packing, queries, secrets, sharding, topk, toxicity, urls, vectors
 
 
 def documents(spark, small):
@@ -450,6 +451,46 @@ def test_lines_of_a_repeated_id_are_told_apart(spark):
     assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, [(1, line), (2, "zz"), (2, "zz"), (2, rows[2][1]), (None, line)]))
 
 
+def test_minima_hash_each_shingle_once(monkeypatch):
+    """Lines of mixed lengths, some over several tiles: the minima are those of each line alone, and no padding is hashed."""
+    monkeypatch.setattr(lines, "_TILE", 64)
+    draw = random.Random(5)
+    own = ["".join(draw.choices("abc é🎉", k=k)) for k in (300, 1, 6, 7, 8, 64, 70, 71, 2, 1000, 40)]
+    hashed, counted = [], lambda x, *y, **z: (hashed.append(x.size), np.multiply(x, *y, **z))[1]
+    monkeypatch.setattr(lines, "np", SimpleNamespace(**{**vars(np), "multiply": counted}))
+    got = lines.batch_minima(own, lines.LINES)
+    assert sum(hashed) == lines.LINES.permutations * sum(max(len(x) - 6, 1) for x in own)
+
+    def mixed(window):
+        x = 0
+        for c in window:
+            x = (x * lines._P + ord(c)) % (1 << 32)
+        x = (x ^ x >> 16) * 0x7FEB352D % (1 << 32)
+        return x ^ x >> 15
+
+    a, b = (x.tolist() for x in lines.LINES.coefficients())
+    for line, row in zip(own, got):
+        x = [mixed(line[k : k + 7]) for k in range(len(line) - 6)] or [lines.line_id(line) % (1 << 32)]
+        assert row.tolist() == [min((p * y + q) % (1 << 32) for y in x) for p, q in zip(a, b)]
+
+
+def test_common_counts_of_pairs(monkeypatch):
+    draw = random.Random(9)
+    own = ["".join(draw.choices("ab", k=k)) for k in (1, 3, 6, 7, 8, 30, 30, 200, 200, 900)]
+    codes, borders, many = lines.shingle_sets(own)
+    sets = [set(codes[i:j].tolist()) for i, j in zip(borders, borders[1:])]
+    a, b = (np.array(draw.choices(range(10), k=300)) for _ in range(2))
+    for most in (1, 500, 2_000_000):
+        monkeypatch.setattr(linking, "ELEMENTS", most)
+        assert linking.common_counts(codes, borders, many, a, b).tolist() == [len(sets[i] & sets[j]) for i, j in zip(a, b)]
+
+
+def test_normal_lines_of_every_white_space():
+    for c in map(chr, [*range(0x3001), 0xFEFF, 0x1D7D9]):
+        for x in (c, f"a{c}B", f"{c}{c}É", f" {c}x ", f"a {c}b", f"x{c}"):
+            assert lines.normal(x) == " ".join(x.lower().split())
+
+
 def test_sets_of_many_lines():
     own = [f"line number {i} of a long list" for i in range(9000)] + ["b", "ab"]
     codes, borders, _ = lines.shingle_sets(own)
