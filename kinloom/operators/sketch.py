@@ -1,4 +1,4 @@
-"""Sketches: each item's set of hashes, made inside its row without a shuffle.
+"""Sketches: each item's set of hashes, made inside its task without a shuffle.
 
 Columns: id, hashes (sorted, distinct), n. Items without shingles have an empty sketch, which is in no
 pair and stays a cluster of its own.
@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.functions import formulas, kmers
+from kinloom.functions import kmers, shingled
+from kinloom.functions.durable import python_ready
 
 
-def shingle_sets(df: DataFrame, id: str, text: str, width: int) -> DataFrame:
-    """Full sets of word-shingle hashes."""
-    hashes = F.coalesce(kmers.distinct_hashes(kmers.word_shingles(F.col(text), width)), F.array().cast("array<long>"))
-    return _sized(df.select(F.col(id).cast("long").alias("id"), hashes.alias("hashes")))
+def shingle_sets(df: DataFrame, id: str, text: str, width: int, most: int | None = None) -> DataFrame:
+    """Full sets of word-shingle hashes, or of each set the `most` smallest."""
+    python_ready(df.sparkSession)
+    own = df.select(F.col(id).cast("long").alias("id"), F.lower(F.col(text)).alias("text"))
+    return _sized(own.mapInArrow(shingled.sets(width, most), "id long, hashes array<long>"))
 
 
 def kmer_sets(df: DataFrame, id: str, sequence: Column, k: int) -> DataFrame:

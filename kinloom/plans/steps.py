@@ -63,7 +63,7 @@ def full_sets(spark, sf_dir):
 
 @stored
 def sketches(spark, sf_dir):
-    return sketch.bottom(full_sets(spark, sf_dir), SIZE)
+    return sketch.shingle_sets(table(spark, sf_dir, "documents"), "doc_id", "text", K, SIZE)
 
 
 @stored
@@ -119,7 +119,7 @@ def database(spark: SparkSession, sf_dir: str, kind: str = "greedy", *, base: bo
 
 @stored
 def benchmark_sketches(spark, sf_dir):
-    return sketch.bottom(sketch.shingle_sets(table(spark, sf_dir, "benchmark"), "item_id", "text", K), SIZE)
+    return sketch.shingle_sets(table(spark, sf_dir, "benchmark"), "item_id", "text", K, SIZE)
 
 
 def truth(spark: SparkSession, sf_dir: str, label: str = "lang") -> DataFrame:
