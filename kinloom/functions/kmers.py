@@ -47,17 +47,17 @@ def canonical(kmer: Column) -> Column:
 def canonical_kmers(sequence: Column, k: int, block: int = 256) -> Column:
     """Canonical k-mers of a sequence; a window with a letter other than A, C, G, T has none.
 
-    Blocks that overlap by k - 1 letters keep each window's place near the start of a short string.
+    Only runs of these letters that hold a window are cut. Blocks that overlap by k - 1 letters keep each window's
+    place near the start of a short string.
     """
 
-    def of(s: Column) -> Column:
-        starts = F.transform(windows(F.length(s), k), lambda i: i)
-        cuts = F.filter(starts, lambda i: (i - 1) % block == 0)
-        parts = F.transform(cuts, lambda i: F.substring(s, i, F.lit(block + k - 1)))
-        return F.flatten(F.transform(parts, lambda x: F.transform(windows(F.length(x), k), lambda j: F.substring(x, j, F.lit(k)))))
+    def blocks(s: Column) -> Column:
+        cuts = F.sequence(F.lit(1), F.length(s) - k + 1, F.lit(block))
+        return F.transform(cuts, lambda i: F.substring(s, i, F.lit(block + k - 1)))
 
-    every = bound(F.regexp_replace(F.upper(sequence), f"[^{BASES}]", "N"), of)
-    return F.transform(F.filter(every, lambda x: ~F.contains(x, F.lit("N"))), canonical)
+    runs = F.filter(F.split(F.upper(sequence), f"[^{BASES}]+"), lambda s: F.length(s) >= k)
+    parts = F.flatten(F.transform(runs, blocks))
+    return F.transform(F.flatten(F.transform(parts, lambda x: F.transform(windows(F.length(x), k), lambda j: F.substring(x, j, F.lit(k))))), canonical)
 
 
 def mixed_dimension(x, bits: int, xor=lambda a, b: a.bitwiseXOR(b), right=lambda a, n: F.shiftright(a, n), low=lambda a, m: a.bitwiseAND(F.lit(m))):
