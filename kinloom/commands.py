@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from kinloom.functions import formulas, kmers
 from kinloom.functions.durable import Workspace
-from kinloom.operators import community, dbscan, graph, greedy, pairs, sketch, thresholds, trees
+from kinloom.operators import community, dbscan, graph, greedy, near, pairs, sketch, thresholds, trees
 from kinloom.sources import clusterfile, fasta, tables
 from kinloom.streaming import repdb
 
@@ -57,7 +57,7 @@ def clustered(ws: Workspace, sketches: DataFrame, params: dict, state: dict[str,
             t = params["threshold"] = thresholds.best(thresholds.candidates(keep["forest"]), thresholds.edge_stats(keep["forest"]).first())["threshold"]
     if method == "mst":
         return graph.clusters(ws, sketches, graph.cut(keep["forest"], t)).select("id", "cluster"), keep
-    counts = pairs.near_counts(sketches, formulas.min_jaccard(t, k)) if metric == "mash" else pairs.pair_counts(sketches)
+    counts = near.all_counts(ws, sketches, formulas.min_jaccard(t, k)) if metric == "mash" else pairs.pair_counts(sketches)
     if method in ("louvain", "leiden"):
         counts = counts.where("least(n_i, n_j) * 2 >= greatest(n_i, n_j)")
     edges = ws.store(pairs.edges(counts, k, metric=metric, threshold=t))

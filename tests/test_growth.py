@@ -1,15 +1,18 @@
 """Steps whose work must not grow faster than their tables."""
 
 import hashlib
+import math
 import random
+from itertools import permutations
 
 import pytest
 from pyspark.sql import functions as F
 
-from kinloom.functions import kmers, shingled
+from kinloom.functions import formulas, kmers, shingled
 from kinloom.functions.durable import Workspace
-from kinloom.operators import sketch
-from kinloom.plans import steps
+from kinloom.operators import dbscan, graph, greedy, near, pairs, sketch
+from kinloom.operators.order import by_group
+from kinloom.plans import catalog, steps
 
 
 @pytest.fixture
@@ -53,3 +56,66 @@ def test_hashes_of_any_length():
     ends = list(range(0, 400, 7)) + [55, 56, 63, 64, 119, 120, 247, 248, 700]
     got = shingled.hashes60(shingled.np.frombuffer(data, shingled.np.uint8), shingled.np.zeros(len(ends), int), shingled.np.array(ends))
     assert got.tolist() == [int(hashlib.md5(data[:e]).hexdigest()[:15], 16) for e in ends]
+
+
+def near_by_hand(rows, jaccard):
+    """(i, j, common, n_i, n_j) of sets (id, hashes) whose Jaccard similarity reaches a bound."""
+    out = []
+    for (i, a), (j, b) in permutations(rows, 2):
+        if j < i and a and len(set(a) & set(b)) >= math.ceil(jaccard / (1 + jaccard) * (len(a) + len(b)) - 1e-9) and set(a) & set(b):
+            out.append((i, j, len(set(a) & set(b)), len(a), len(b)))
+    return sorted(out)
+
+
+@pytest.fixture
+def crowd(spark):
+    """A crowd of near copies, equal ones too, small sets and others."""
+    draw = random.Random(11)
+    whole, rows = draw.sample(range(10**6), 40), []
+    for i in range(70):
+        rows.append((i, sorted(draw.sample(whole, draw.randrange(22, 40)))))
+    for i in range(70, 130):
+        rows.append((i, sorted(draw.sample(range(10**6), draw.randrange(6)) + [whole[0]])))
+    rows += [(i, rows[i - 130][1]) for i in range(130, 150)] + [(i, []) for i in range(150, 155)] + [(i, whole[:9]) for i in range(155, 175)]
+    rows = [(i, sorted(set(h))) for i, h in rows]
+    draw.shuffle(rows)
+    return rows, spark.createDataFrame([(i, h, len(h)) for i, h in rows], "id long, hashes array<long>, n long").repartition(4)
+
+
+@pytest.mark.parametrize("jaccard, block, pack", [(0.43, 2048, 512), (0.43, 16, 4), (0.7, 16, 1), (0.1, 7, 3)])
+def test_near_counts_by_classes_and_blocks(spark, ws, monkeypatch, crowd, jaccard, block, pack):
+    monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "PACK", pack)
+    rows, sets = crowd
+    got = near.all_counts(ws, sets, jaccard).select("i", "j", "common", "n_i", "n_j").collect()
+    assert sorted(map(tuple, got)) == near_by_hand(rows, jaccard)
+
+
+def test_forest_greedy_and_density_by_classes(spark, ws, crowd):
+    rows, sets = crowd
+    classed = ws.store(near.classes(sets))
+    own = ws.store(pairs.edges(near.counts(ws, near.representing(sets, classed), formulas.min_jaccard(0.1, 5)), 5, threshold=0.1))
+    every = ws.store(pairs.edges(pairs.pair_counts(sets), 5, threshold=0.1))
+    told = lambda df: sorted(map(str, df.collect()))
+    assert told(graph.spanning_forest(ws, own).unionByName(near.class_edges(classed))) == told(graph.spanning_forest(ws, every))
+    for order in (greedy.by_size, greedy.by_input):
+        assert told(greedy.class_clusters(ws, sets, classed, own, order)) == told(greedy.greedy_clusters(ws, sets, every, order))
+    assert told(dbscan.of_classes(ws, classed, own, min_points=3)) == told(dbscan.dbscan(ws, sets, every, min_points=3))
+    some, few = near.of_some(classed, own, "id % 5 <> 0")
+    rest = sets.where("id % 5 <> 0")
+    assert told(greedy.class_clusters(ws, rest, some, few)) == told(greedy.greedy_clusters(ws, rest, every.where("i % 5 <> 0 and j % 5 <> 0")))
+
+
+@pytest.mark.parametrize("name", ["components", "forest_edges", "dedup_groups", "dedup_medoids", "k_reps", "stability", "min_common", "array_intersections", "composition", "leiden"])
+def test_near_queries_store_no_far_pairs(spark, small, name):
+    steps.forget(spark)
+    catalog.QUERIES[name](spark, small).collect()
+    assert not {"counts", "distances", "forest"} & {k[1] for k in steps._STORED}
+
+
+def test_groups_are_dealt_over_all_partitions(spark):
+    rows = spark.createDataFrame([(g, x) for g in range(60) for x in range(g % 4 + 1)], "g long, x long")
+    run = lambda own: own.groupby("g", as_index=False)["x"].sum()
+    got = by_group(rows, "g", run, "g long, x long")
+    assert sorted(map(tuple, got.collect())) == [(g, sum(range(g % 4 + 1))) for g in range(60)]
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 4
