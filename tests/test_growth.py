@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kinloom.functions import formulas, kmers, shingled
 from kinloom.functions.durable import Workspace
-from kinloom.operators import dbscan, graph, greedy, near, pairs, sketch
+from kinloom.operators import dbscan, graph, greedy, grid, near, pairs, sketch
 from kinloom.operators.order import by_group
 from kinloom.plans import catalog, steps
 
@@ -119,3 +119,33 @@ def test_groups_are_dealt_over_all_partitions(spark):
     got = by_group(rows, "g", run, "g long, x long")
     assert sorted(map(tuple, got.collect())) == [(g, sum(range(g % 4 + 1))) for g in range(60)]
     assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
+def pairs_by_hand(rows, least=1):
+    """(i, j, common, n_i, n_j) of sets (id, hashes) with `least` common hashes."""
+    own = {i: set(h) for i, h in rows}
+    return sorted((i, j, len(own[i] & own[j]), len(own[i]), len(own[j])) for i, j in permutations(own, 2) if j < i and len(own[i] & own[j]) >= least)
+
+
+@pytest.mark.parametrize("held, few, rows_out", [(1 << 22, 2, 100_000), (1000, 2, 50)])
+def test_all_pairs_in_blocks(spark, ws, monkeypatch, crowd, held, few, rows_out):
+    for name, value in (("HELD", held), ("FEW", few), ("LEAST", 500), ("ROWS", rows_out)):
+        monkeypatch.setattr(grid, name, value)
+    rows, sets = crowd
+    lists, told = ws.store(pairs.shared_lists(sets)), lambda df: sorted(map(str, df.collect()))
+    every = grid.over(lists, grid.Pairs)
+    assert sorted(map(tuple, every.collect())) == pairs_by_hand(rows)
+    assert sorted(map(tuple, pairs.pair_counts(sets, least=9).collect())) == pairs_by_hand(rows, 9)
+    edges = ws.store(pairs.edges(every, 5))
+    assert told(pairs.nearest_of(lists, 3, 5)) == told(pairs.nearest(edges, 3))
+    assert told(pairs.density_of(lists, 5)) == told(pairs.density(edges))
+    assert told(pairs.kinds_of(lists, 5).groupBy(F.round("dist", 9).alias("d")).agg(F.sum("c").alias("c"))) == told(edges.groupBy(F.round("dist", 9).alias("d")).agg(F.count("*").alias("c")))
+    assert told(graph.spanning_forest(ws, pairs.forest_candidates(lists, 5))) == told(graph.spanning_forest(ws, edges))
+
+
+@pytest.mark.parametrize("name", ["topk_neighbors", "four_levels", "gap_candidates", "jaccard_pairs", "posting_cap"])
+def test_pairs_are_not_stored_or_joined(spark, small, name):
+    steps.forget(spark)
+    plan = catalog.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert not {"counts", "distances"} & {k[1] for k in steps._STORED}
+    assert name == "gap_candidates" or "Join" not in plan
